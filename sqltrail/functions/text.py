@@ -221,8 +221,8 @@ def keywords_in_quotes(text: Column, words: Sequence[str]) -> Column:
     parts = F.split(text, '"', -1)
     inner = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0)))
     segments = F.filter(inner, lambda part: part.rlike(has_word))
-    found = [F.when(F.exists(segments, lambda s, w=w: s.contains(w)), F.lit(w)) for w in sorted(words)]
-    return F.array_compact(F.array(*found))
+    listed = F.array(*[F.lit(w) for w in sorted(words)])
+    return F.filter(listed, lambda word: F.exists(segments, lambda segment: segment.contains(word)))
 
 
 def quoted_pattern(word: str) -> str:

@@ -51,7 +51,7 @@ def catalog_by_type(objects: DataFrame) -> DataFrame:
     """Each object of an owner under its kind and under `all`; types without a kind are only in `all`."""
     kind = F.create_map(*[F.lit(x) for pair in CATALOG_KINDS.items() for x in pair])
     upper = objects.select(*[F.upper(c).alias(c) for c in ("owner", "object_type", "object_name")])
-    kinds = F.array_compact(F.array(F.lit("all"), F.get(F.array(F.try_element_at(kind, F.col("object_type"))), 0)))
+    kinds = F.array_compact(F.array(F.lit("all"), F.try_element_at(kind, F.col("object_type"))))
     return upper.dropDuplicates().select("owner", F.explode(kinds).alias("kind"), "object_type", "object_name")
 
 
