@@ -81,7 +81,7 @@ def split_statements(content: Column) -> Column:
 
 
 def without_comments(text: Column) -> Column:
-    return F.regexp_replace(text, rf"({LITERAL})|{COMMENT}", "$1")
+    return F.when(text.contains("/"), F.regexp_replace(text, rf"({LITERAL})|{COMMENT}", "$1")).otherwise(text)
 
 
 def end_mark(raw: Column) -> Column:
@@ -94,10 +94,15 @@ def lead_of(raw: Column) -> Column:
     return F.regexp_extract(raw, LEAD, 0)
 
 
-def body_of(raw: Column) -> Column:
-    """The statement without lead, comments and end mark."""
-    rest = F.regexp_replace(raw, LEAD, "")
-    return F.regexp_replace(without_comments(rest), r"^\s++|\s*+[;{}]?\s*+\z|\s++\z", "")
+def core_of(raw: Column, lead: Column, mark: Column) -> Column:
+    """The statement between lead and end mark, comments included."""
+    width = F.length(raw) - F.length(lead) - F.length(mark)
+    return F.substring(raw, F.length(lead) + 1, width)
+
+
+def body_of(core: Column) -> Column:
+    """The statement without comments and outer white space."""
+    return F.trim(without_comments(core), F.lit(" \t\n\r\f"))
 
 
 def compact(text: Column) -> Column:
@@ -182,7 +187,8 @@ def annotations_of(lead: Column, first_line: Column) -> Column:
     pieces = _all(lead, piece)
     numbered = F.transform(pieces, lambda text, index: F.struct(text.alias("text"), index.alias("index")))
     kept = F.filter(numbered, lambda p: p["text"].startswith("@"))
-    return F.transform(kept, lambda p: described(p["text"], p["index"], pieces))
+    found = F.transform(kept, lambda p: described(p["text"], p["index"], pieces))
+    return F.when(lead.contains("@"), found).otherwise(F.slice(found, 1, 0))
 
 
 def parameter(annotation: Column, key: str) -> Column:

@@ -19,6 +19,12 @@ from sqltrail.functions import text as X
 from sqltrail.schemas import FILE_KEY
 
 
+def _partitions(df: DataFrame) -> int:
+    """Tasks for work on file texts: as many as the session shuffles into, and one per core at least."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def statements(files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str = "content") -> DataFrame:
     """Statements in order, with line, brace depth and the scope each stands in.
 
@@ -29,37 +35,33 @@ def statements(files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str =
     keys = list(keys)
     rows = (
         files.select(*keys, F.col(content).alias("_content"))
-        .repartition(*keys)
+        .repartition(_partitions(files), *keys)
         .select(*keys, F.posexplode(J.split_statements(F.col("_content"))).alias("pos", "raw"))
         .filter(F.col("raw") != "")
-        .withColumns(
-            {
-                "end_mark": J.end_mark(F.col("raw")),
-                "lead": J.lead_of(F.col("raw")),
-                "body": J.body_of(F.col("raw")),
-                "_newlines": J.newlines(F.col("raw")),
-            }
-        )
+        .withColumns({"end_mark": J.end_mark(F.col("raw")), "lead": J.lead_of(F.col("raw"))})
+        .withColumn("core", J.core_of(F.col("raw"), F.col("lead"), F.col("end_mark")))
+        .withColumns({"body": J.body_of(F.col("core")), "_newlines": J.newlines(F.col("raw"))})
     )
     opens = F.col("end_mark") == "{"
+    calls = F.col("body").contains("(")
     body = F.col("body")
-    kind = (
-        F.when(body.rlike(J.TYPE_HEADER), "type")
-        .when(opens & body.rlike(J.ANONYMOUS_HEADER), "anonymous")
-        .when(body.rlike(J.METHOD_HEADER), "method")
-        .when(opens & body.rlike(J.CONSTRUCTOR_HEADER), "constructor")
+    shape = (
+        F.when(opens & body.rlike(J.TYPE_HEADER), "type")
+        .when(opens & calls & body.rlike(J.ANONYMOUS_HEADER), "anonymous")
+        .when(calls & body.rlike(J.METHOD_HEADER), "method")
+        .when(opens & calls & body.rlike(J.CONSTRUCTOR_HEADER), "constructor")
         .otherwise("block")
     )
     name = (
-        F.when(kind == "type", F.regexp_extract(body, J.TYPE_HEADER, 2))
-        .when(kind == "method", F.regexp_extract(body, J.METHOD_HEADER, 2))
-        .when(kind == "constructor", F.regexp_extract(body, J.CONSTRUCTOR_HEADER, 1))
+        F.when(F.col("shape") == "type", F.regexp_extract(body, J.TYPE_HEADER, 2))
+        .when(F.col("shape") == "method", F.regexp_extract(body, J.METHOD_HEADER, 2))
+        .when(F.col("shape") == "constructor", F.regexp_extract(body, J.CONSTRUCTOR_HEADER, 1))
         .otherwise("")
     )
     in_file = Window.partitionBy(*keys).orderBy("pos")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(F.col("end_mark") == "{", 1).when(F.col("end_mark") == "}", -1).otherwise(0)
-    placed = rows.withColumns({"shape": kind, "name": name}).withColumns(
+    placed = rows.withColumn("shape", shape).withColumn("name", name).withColumns(
         {
             "first_line": (F.coalesce(F.sum("_newlines").over(before), F.lit(0)) + 1).cast("int"),
             "depth": F.coalesce(F.sum(step).over(before), F.lit(0)).cast("int"),
@@ -219,7 +221,7 @@ def _field_rows(stmts: DataFrame, keys: Sequence[str]) -> DataFrame:
         _is_member() & (F.col("shape").isin("block", "anonymous")) & F.col("end_mark").isin(";", "{")
         & F.col("body").rlike(J.FIELD_HEADER)
     )
-    return with_owner(stmts, wanted, ["body", "raw", "lead", "line_number", "first_line"], keys)
+    return with_owner(stmts, wanted, ["body", "core", "lead", "line_number", "first_line"], keys)
 
 
 def fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
@@ -238,18 +240,16 @@ def fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
 
 def string_fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     """String fields, a row per name: line and joined text of the initialiser; empty if not a literal."""
-    rest = F.regexp_replace(F.regexp_replace("raw", J.LEAD, ""), rf"^String\s++|\s*+[;{{]\s*+\z", "")
-    rows = _field_rows(stmts, keys).filter(F.col("body").rlike(rf"^String\s++{J.ID}"))
-    named = rows.withColumn("_rest", F.regexp_replace("raw", J.LEAD, "")).select(
-        *keys, "pos", "type_name", "line_number", "_rest", F.inline(J.declarators(rest))
-    )
     value = F.col("value")
-    at = F.instr(F.col("_rest"), value)
-    line = F.col("line_number") + J.newlines(F.substring(F.col("_rest"), F.lit(1), at))
-    literal = value.rlike(r'"') & ~value.rlike(rf"^{J.ID}++\s*+\(|^new\s")
-    return named.select(
-        *keys, "type_name", F.col("name").alias("field_name"),
-        F.when(value != "", line).otherwise(F.col("line_number")).cast("int").alias("line_number"),
+    before = F.substring(F.col("core"), F.lit(1), F.instr(F.col("core"), value))
+    line = F.when(value != "", F.col("line_number") + J.newlines(before)).otherwise(F.col("line_number"))
+    literal = value.contains('"') & ~value.rlike(rf"^{J.ID}++\s*+\(|^new\s")
+    rows = _field_rows(stmts, keys).filter(F.col("body").rlike(rf"^String\s++{J.ID}"))
+    return rows.select(
+        *keys, "type_name", "line_number", "core",
+        F.inline(J.declarators(F.regexp_replace("core", r"^String\s++", ""))),
+    ).select(
+        *keys, "type_name", F.col("name").alias("field_name"), line.cast("int").alias("line_number"),
         F.when(literal, X.join_literals(value)).otherwise("").alias("content"),
     )
 

@@ -153,7 +153,7 @@ SELECT 'S' || s_suppkey AS code, s_name AS name, 'N' || s_nationkey AS domain_co
     "object_type": "SELECT DISTINCT p_type AS code, lower(p_type) AS name FROM part",
     "code_object": """
 SELECT 'P' || p_partkey AS code, p_name AS name, p_type AS type_code, 'src/' || p_brand || '.java' AS source_file,
-  'S' || (p_partkey % 100) AS component_code FROM part""",
+  CASE WHEN p_size < 3 THEN 'X' || p_size ELSE 'S' || (p_partkey % 100) END AS component_code FROM part""",
     "map": """
 SELECT 'P' || l_partkey AS from_code, 'P' || l_suppkey AS to_code,
   CASE l_returnflag WHEN 'R' THEN 'read' WHEN 'A' THEN 'modify' ELSE 'call' END AS map_type, l_linestatus AS db_operation,
@@ -196,11 +196,19 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text)
 
 
+def _over_spread(spark: SparkSession, sf_dir: str, base: str, columns: list[str], name: str) -> DataFrame:
+    """A text input over narrow columns that are spread before any text is built."""
+    spread(table(spark, sf_dir, base).select(*columns)).createOrReplaceTempView(base)
+    return spark.sql(VIEWS[name])
+
+
 def src_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`src_lines` over events that are spread first: three narrow columns, before any text is built."""
-    columns = ["event_id", "user_id", "event_type"]
-    spread(table(spark, sf_dir, "events").select(*columns)).createOrReplaceTempView("events")
-    return spark.sql(VIEWS["src_lines"])
+    return _over_spread(spark, sf_dir, "events", ["event_id", "user_id", "event_type"], "src_lines")
+
+
+def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+    return _over_spread(spark, sf_dir, "orders", columns, "java_files")
 
 
 def with_views(sql: str, *names: str) -> str:

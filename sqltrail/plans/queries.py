@@ -23,7 +23,7 @@ from sqltrail.operators import references as ref
 from sqltrail.operators import report as rep
 from sqltrail.operators import upsert as ups
 from sqltrail.operators import usage as use
-from sqltrail.plans.inputs import src_lines, table, view, with_views
+from sqltrail.plans.inputs import java_files, src_lines, table, view, with_views
 from sqltrail.schemas import CATALOG_TABLES
 
 Plan = Callable[[SparkSession, str], DataFrame]
@@ -406,7 +406,7 @@ SELECT file_name, CASE WHEN shape <> 1 THEN 'app.' || CASE shape WHEN 0 THEN 'm'
     "java_keys",
 )
 def package_class(spark, sf_dir):
-    found = use.with_package_class(view(spark, sf_dir, "java_files"))
+    found = use.with_package_class(java_files(spark, sf_dir))
     return found.select("file_name", "package_name", "class_name")
 
 
@@ -420,7 +420,7 @@ usage AS (SELECT file_name, table_name, regexp_matches(content, '(?is)SELECT.*?F
 @query(f"WITH {_FILE_USAGE} SELECT * FROM usage", "java_files", "catalog")
 def file_usage_flags(spark, sf_dir):
     return use.classify_file_usage(
-        view(spark, sf_dir, "java_files"), view(spark, sf_dir, "catalog"), keys=["file_name"]
+        java_files(spark, sf_dir), view(spark, sf_dir, "catalog"), keys=["file_name"]
     )
 
 
@@ -433,7 +433,7 @@ FROM usage JOIN found ON usage.file_name = found.file_name AND usage.table_name
     "java_files", "catalog",
 )
 def usage_simple(spark, sf_dir):
-    files = view(spark, sf_dir, "java_files").select("file_name", "content")
+    files = java_files(spark, sf_dir).select("file_name", "content")
     found = use.usage_simple(files, ref.to_lines(files), view(spark, sf_dir, "catalog"), keys=["file_name"])
     return found.withColumn("lines", _joined(F.col("lines").cast("array<string>"), ", "))
 
@@ -443,9 +443,9 @@ WORDS = ("page", "ref", "The", "en", "and")
 
 @query(
     f"""
-SELECT page_id, array_to_string(list_filter([{_sql_list(sorted(WORDS))}], w -> len(list_filter(segments, s -> contains(s, w))) > 0), '|') AS found
+SELECT page_id, array_to_string(list_filter([{_sql_list(sorted(WORDS))}], lambda w: len(list_filter(segments, lambda s: contains(s, w))) > 0), '|') AS found
 FROM (SELECT page_id, list_filter(string_split(html, '"')[2:-2],
-    s -> regexp_matches(s, '(?:^|[^{RE_WORD}])(?:{"|".join(WORDS)})(?:$|[^{RE_WORD}])')) AS segments FROM pages) t"""
+    lambda s: regexp_matches(s, '(?:^|[^{RE_WORD}])(?:{"|".join(WORDS)})(?:$|[^{RE_WORD}])')) AS segments FROM pages) t"""
 )
 def keywords_in_quotes(spark, sf_dir):
     return table(spark, sf_dir, "pages").select(
@@ -698,7 +698,7 @@ def workspace_text(spark, sf_dir):
 
 
 def _statements(spark, sf_dir) -> DataFrame:
-    return jav.statements(view(spark, sf_dir, "java_files"))
+    return jav.statements(java_files(spark, sf_dir))
 
 
 def _rows_sql(columns: str, *rows: str) -> str:
