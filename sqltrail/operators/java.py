@@ -26,21 +26,31 @@ def _partitions(df: DataFrame) -> int:
 
 
 def statements(files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str = "content") -> DataFrame:
-    """Statements in order, with line, brace depth and the scope each stands in.
+    """Statements in order, with line, brace depth and, where a scope begins, what opened it.
 
     `keys` identify a file. `line_number` is where the declaration or expression starts, past
-    annotations and modifiers. `scope` describes the innermost open brace: the position of its first
-    statement, what opened it (type, anonymous, method or block), name, line and header.
+    annotations and modifiers. `opener` is set on the first statement of a scope: its kind (type,
+    anonymous, method, constructor or block), name, line and, for a type, header.
     """
     keys = list(keys)
     rows = (
         files.select(*keys, F.col(content).alias("_content"))
         .repartition(_partitions(files), *keys)
-        .select(*keys, F.posexplode(J.split_statements(F.col("_content"))).alias("pos", "raw"))
-        .filter(F.col("raw") != "")
-        .withColumns({"end_mark": J.end_mark(F.col("raw")), "lead": J.lead_of(F.col("raw"))})
-        .withColumn("core", J.core_of(F.col("raw"), F.col("lead"), F.col("end_mark")))
-        .withColumns({"body": J.body_of(F.col("core")), "_newlines": J.newlines(F.col("raw"))})
+        .select(*keys, F.posexplode(J.split_statements(F.col("_content"))).alias("pos", "_raw"))
+        .filter(F.col("_raw") != "")
+        .withColumns({"end_mark": J.end_mark(F.col("_raw")), "lead": J.lead_of(F.col("_raw"))})
+        .withColumn("_core", J.core_of(F.col("_raw"), F.col("lead"), F.col("end_mark")))
+        .withColumns(
+            {
+                "body": J.body_of(F.col("_core")),
+                # With its comments, where it has any.
+                "commented": F.when(F.col("_core").contains("/"), F.col("_core")),
+                "newlines": J.newlines(F.col("_raw")),
+                "lead_newlines": J.newlines(F.col("lead")),
+            }
+        )
+        .withColumn("lead", F.when(F.col("lead").contains("@"), F.col("lead")))
+        .drop("_raw", "_core")
     )
     opens = F.col("end_mark") == "{"
     calls = F.col("body").contains("(")
@@ -60,46 +70,34 @@ def statements(files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str =
     )
     in_file = Window.partitionBy(*keys).orderBy("pos")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    step = F.when(F.col("end_mark") == "{", 1).when(F.col("end_mark") == "}", -1).otherwise(0)
+    step = F.when(opens, 1).when(F.col("end_mark") == "}", -1).otherwise(0)
+    opener = F.when(
+        opens,
+        F.struct(
+            F.col("shape").alias("kind"), F.col("name").alias("name"), F.col("lead_newlines").alias("lines"),
+            F.when(F.col("shape") == "type", body).alias("header"),
+        ),
+    )
     placed = rows.withColumn("shape", shape).withColumn("name", name).withColumns(
         {
-            "first_line": (F.coalesce(F.sum("_newlines").over(before), F.lit(0)) + 1).cast("int"),
+            "first_line": (F.coalesce(F.sum("newlines").over(before), F.lit(0)) + 1).cast("int"),
             "depth": F.coalesce(F.sum(step).over(before), F.lit(0)).cast("int"),
+            "_opener": F.lag(opener).over(in_file),
+            "_opener_newlines": F.lag("newlines").over(in_file),
         }
     )
-    placed = placed.withColumn(
-        "line_number", (F.col("first_line") + J.newlines(F.col("lead"))).cast("int")
-    )
-    opener = F.lag(
-        F.when(
-            F.col("end_mark") == "{",
-            F.struct(
-                F.col("pos").alias("opener"), F.col("shape").alias("kind"), F.col("name").alias("name"),
-                F.col("line_number").alias("line_number"), F.col("body").alias("header"),
-            ),
-        )
-    ).over(in_file)
-    at_depth = Window.partitionBy(*keys, "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.withColumn("_opener", opener)
-        .withColumn(
-            "scope",
-            F.last(
-                F.when(
-                    F.col("_opener").isNotNull(),
-                    F.struct(
-                        F.col("pos").alias("id"), F.col("_opener.kind").alias("kind"),
-                        F.col("_opener.name").alias("name"), F.col("_opener.line_number").alias("line_number"),
-                        F.col("_opener.header").alias("header"),
-                    ),
-                ),
-                ignorenulls=True,
-            ).over(at_depth),
-        )
-        .withColumn("starts_scope", F.col("_opener").isNotNull())
-        .drop("_opener", "_newlines")
-        .withColumn("scope", F.when(F.col("depth") > 0, F.col("scope")))
+    opened = F.struct(
+        F.col("pos").alias("id"), F.col("_opener.kind").alias("kind"), F.col("_opener.name").alias("name"),
+        # The statement before ends where this one begins.
+        (F.col("first_line") - F.col("_opener_newlines") + F.col("_opener.lines")).cast("int").alias("line_number"),
+        F.col("_opener.header").alias("header"),
     )
+    return placed.withColumns(
+        {
+            "line_number": (F.col("first_line") + F.col("lead_newlines")).cast("int"),
+            "opener": F.when(F.col("_opener").isNotNull(), opened),
+        }
+    ).drop("_opener", "_opener_newlines", "lead_newlines")
 
 
 def enclosing(
@@ -108,35 +106,35 @@ def enclosing(
     """One row per wanted statement and enclosing scope, `level` 1 outermost.
 
     The scope at a level is the last one that began at that level. Every wanted statement is repeated
-    once per level, which is its nesting depth and not the size of the file.
+    once per level, which is its nesting depth and not the size of the file; other statements are
+    dropped first unless a scope begins at them.
     """
     keys = list(keys)
-    levels = (
-        F.when(wanted, F.sequence(F.lit(1), F.greatest(F.col("depth"), F.lit(1))))
-        .when(F.col("starts_scope"), F.array("depth"))
-        .otherwise(F.array().cast("array<int>"))
-    )
-    data = F.when(wanted, F.struct(*payload))
-    starts = F.col("_starts") & (F.col("level") == F.col("_depth"))
-    exploded = stmts.select(
-        *keys, "pos", data.alias("_data"), F.col("scope").alias("_scope"), F.col("depth").alias("_depth"),
-        F.col("starts_scope").alias("_starts"), F.explode(levels).alias("level"),
+    begins = F.col("opener").isNotNull()
+    levels = F.when(
+        F.col("_data").isNotNull(), F.sequence(F.lit(1), F.greatest(F.col("depth"), F.lit(1)))
+    ).otherwise(F.array("depth"))
+    exploded = (
+        stmts.select(*keys, "pos", "depth", "opener", F.when(wanted, F.struct(*payload)).alias("_data"))
+        .filter(F.col("_data").isNotNull() | begins)
+        .select("*", F.explode(levels).alias("level"))
     )
     at_level = Window.partitionBy(*keys, "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    found = exploded.withColumn(
-        "ancestor", F.last(F.when(starts, F.col("_scope")), ignorenulls=True).over(at_level)
-    )
+    begun = F.when(begins & (F.col("level") == F.col("depth")), F.col("opener"))
     return (
-        found.filter(F.col("_data").isNotNull())
-        .withColumn("ancestor", F.when(F.col("_depth") >= F.col("level"), F.col("ancestor")))
-        .select(*keys, "pos", "level", "ancestor", "_data.*")
+        exploded.withColumn("_ancestor", F.last(begun, ignorenulls=True).over(at_level))
+        .filter(F.col("_data").isNotNull())
+        .select(
+            *keys, "pos", "level", F.when(F.col("depth") >= F.col("level"), F.col("_ancestor")).alias("ancestor"),
+            "_data.*",
+        )
     )
 
 
 def with_owner(
     stmts: DataFrame, wanted: Column, payload: Sequence[str], keys: Sequence[str] = FILE_KEY
 ) -> DataFrame:
-    """Wanted statements with the innermost named type and method around them."""
+    """Wanted statements with their scope, and the innermost named type and method around them."""
     scope = F.col("ancestor")
     is_type = scope["kind"] == "type"
     is_method = scope["kind"].isin("method", "constructor")
@@ -145,9 +143,11 @@ def with_owner(
         F.any_value(F.struct(*payload)).alias("_data"),
         F.max_by(F.when(is_type, scope), F.when(is_type, F.col("level"))).alias("_type"),
         F.max_by(F.when(is_method, scope), F.when(is_method, F.col("level"))).alias("_method"),
+        F.max_by(scope["kind"], F.col("level")).alias("scope_kind"),
     )
     return grouped.select(
-        *keys, "pos", "_data.*",
+        *keys, "pos", "scope_kind", "_data.*",
+        F.col("_type.id").alias("type_id"),
         F.col("_type.name").alias("type_name"),
         F.col("_type.header").alias("type_header"),
         F.col("_method.id").alias("method_id"),
@@ -156,12 +156,23 @@ def with_owner(
     )
 
 
-def _is_member() -> Column:
-    return F.col("scope.kind").isin("type", "anonymous")
+# Kinds of scope whose statements are members.
+_MEMBER_SCOPES = ("type", "anonymous")
+
+
+def _maybe_method() -> Column:
+    return (F.col("depth") > 0) & F.col("shape").isin("method", "constructor") & F.col("end_mark").isin("{", ";")
+
+
+def _maybe_field() -> Column:
+    return (
+        (F.col("depth") > 0) & F.col("shape").isin("block", "anonymous") & F.col("end_mark").isin("{", ";")
+        & F.col("body").rlike(J.FIELD_HEADER)
+    )
 
 
 def _annotations() -> Column:
-    return J.annotations_of(F.col("lead"), F.col("first_line"))
+    return J.annotations_of(F.coalesce("lead", F.lit("")), F.col("first_line"))
 
 
 def package_decls(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
@@ -205,23 +216,25 @@ def methods(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
 
     Methods of an anonymous class belong to the type around it.
     """
-    wanted = _is_member() & F.col("shape").isin("method", "constructor") & F.col("end_mark").isin("{", ";")
     payload = ["name", "line_number", "shape", "body", "lead", "first_line"]
     returned = F.when(F.col("shape") == "constructor", "").otherwise(
         J.compact(F.regexp_extract("body", J.METHOD_HEADER, 1))
     )
-    return with_owner(stmts, wanted, payload, keys).select(
+    members = with_owner(stmts, _maybe_method(), payload, keys).filter(F.col("scope_kind").isin(*_MEMBER_SCOPES))
+    return members.select(
         *keys, "pos", "type_name", "type_header", F.col("name").alias("method_name"), "line_number",
         returned.alias("return_type"), _annotations().alias("annotations"),
     )
 
 
-def _field_rows(stmts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    wanted = (
-        _is_member() & (F.col("shape").isin("block", "anonymous")) & F.col("end_mark").isin(";", "{")
-        & F.col("body").rlike(J.FIELD_HEADER)
-    )
-    return with_owner(stmts, wanted, ["body", "core", "lead", "line_number", "first_line"], keys)
+def _field_rows(stmts: DataFrame, keys: Sequence[str], wanted: Column | None = None) -> DataFrame:
+    payload = ["body", "commented", "lead", "line_number", "first_line"]
+    candidates = _maybe_field() if wanted is None else _maybe_field() & wanted
+    return with_owner(stmts, candidates, payload, keys).filter(F.col("scope_kind").isin(*_MEMBER_SCOPES))
+
+
+def _first_declared() -> Column:
+    return F.element_at(J.declarators(F.regexp_replace("body", J.FIELD_HEADER, "")), 1)
 
 
 def fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
@@ -229,8 +242,7 @@ def fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
 
     A declaration of several names gives its first.
     """
-    first = F.element_at(J.declarators(F.regexp_replace("body", J.FIELD_HEADER, "")), 1)
-    return _field_rows(stmts, keys).withColumn("_first", first).select(
+    return _field_rows(stmts, keys).withColumn("_first", _first_declared()).select(
         *keys, "pos", "type_name", F.col("_first.name").alias("field_name"), "line_number",
         J.compact(F.regexp_extract("body", J.FIELD_HEADER, 1)).alias("field_type"),
         X.nullif_empty(J.compact(F.col("_first.value"))).alias("value"),
@@ -240,14 +252,14 @@ def fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
 
 def string_fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     """String fields, a row per name: line and joined text of the initialiser; empty if not a literal."""
-    value = F.col("value")
-    before = F.substring(F.col("core"), F.lit(1), F.instr(F.col("core"), value))
+    value, text = F.col("value"), F.coalesce("commented", "body")
+    before = F.substring(F.col("_text"), F.lit(1), F.instr(F.col("_text"), value))
     line = F.when(value != "", F.col("line_number") + J.newlines(before)).otherwise(F.col("line_number"))
     literal = value.contains('"') & ~value.rlike(rf"^{J.ID}++\s*+\(|^new\s")
-    rows = _field_rows(stmts, keys).filter(F.col("body").rlike(rf"^String\s++{J.ID}"))
+    rows = _field_rows(stmts, keys, F.col("body").rlike(rf"^String\s++{J.ID}")).withColumn("_text", text)
     return rows.select(
-        *keys, "type_name", "line_number", "core",
-        F.inline(J.declarators(F.regexp_replace("core", r"^String\s++", ""))),
+        *keys, "type_name", "line_number", "_text",
+        F.inline(J.declarators(F.regexp_replace("_text", r"^String\s++", ""))),
     ).select(
         *keys, "type_name", F.col("name").alias("field_name"), line.cast("int").alias("line_number"),
         F.when(literal, X.join_literals(value)).otherwise("").alias("content"),
@@ -256,18 +268,21 @@ def string_fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame
 
 def annotations(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     """Annotations of types, methods and fields, a row each, with what they stand on."""
+    marked = F.col("lead").isNotNull()
+    wanted = marked & ((F.col("shape") == "type") | _maybe_method() | _maybe_field())
+    payload = ["shape", "name", "body", "lead", "first_line"]
     target = (
-        F.when(F.col("shape") == "type", "type")
-        .when(_is_member() & F.col("shape").isin("method", "constructor"), "method")
-        .when(_is_member() & F.col("body").rlike(J.FIELD_HEADER), "field")
+        F.when(F.col("shape") == "type", "type").when(F.col("shape").isin("method", "constructor"), "method")
+        .otherwise("field")
+    )
+    rows = with_owner(stmts, wanted, payload, keys).filter(
+        (F.col("shape") == "type") | F.col("scope_kind").isin(*_MEMBER_SCOPES)
     )
-    name = F.when(target == "field", F.regexp_extract(
-        F.regexp_replace("body", J.FIELD_HEADER, ""), rf"^({J.ID}++)", 1)).otherwise(F.col("name"))
-    rows = stmts.filter(F.col("lead").contains("@") & target.isNotNull()).select(
+    name = F.when(target == "field", _first_declared()["name"]).otherwise(F.col("name"))
+    return rows.select(
         *keys, "pos", target.alias("target"), name.alias("target_name"),
         F.posexplode(_annotations()).alias("ordinal", "_annotation"),
-    )
-    return rows.select(*keys, "pos", "target", "target_name", "ordinal", "_annotation.*")
+    ).select(*keys, "pos", "target", "target_name", "ordinal", "_annotation.*")
 
 
 def annotation_class(names: DataFrame, column: str = "name") -> DataFrame:
@@ -294,7 +309,7 @@ def entity_tables(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame
     marks = F.col("annotations")
     table_mark = F.element_at(F.filter(marks, lambda a: a["name"] == "Table"), 1)
     types = stmts.filter(
-        ((F.col("shape") == "type") & F.col("lead").contains("@Entity"))
+        ((F.col("shape") == "type") & F.col("lead").isNotNull())
         | ((F.col("depth") == 0) & F.col("body").startswith("package "))
     )
     package = F.nullif(F.regexp_extract("body", rf"^package\s++([{X.WORD}$.]++)", 1), F.lit(""))
@@ -338,19 +353,14 @@ def repositories(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
 # --- string variables -----------------------------------------------------------------------
 
 
-def _is_local() -> Column:
-    return (
-        (F.col("depth") > 0)
-        & ~F.coalesce(_is_member(), F.lit(False))
-        & F.col("body").contains("String")
-        & F.col("body").rlike(J.STRING_LOCAL)
-    )
+def _maybe_local() -> Column:
+    return (F.col("depth") > 0) & F.col("body").contains("String") & F.col("body").rlike(J.STRING_LOCAL)
 
 
 def string_variables(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     """Local String and StringBuilder variables, a row per declared name, with the method around them."""
-    rows = with_owner(stmts, _is_local(), ["body", "line_number"], keys)
-    return rows.select(
+    rows = with_owner(stmts, _maybe_local(), ["body", "line_number"], keys)
+    return rows.filter(~F.col("scope_kind").isin(*_MEMBER_SCOPES)).select(
         *keys, "pos", "type_name", "method_id", "method_name", "method_line", "line_number",
         F.regexp_extract("body", J.STRING_LOCAL, 1).alias("variable_type"),
         F.inline(J.declarators(F.regexp_replace("body", J.STRING_LOCAL, ""))),
@@ -391,6 +401,28 @@ def methods_with_strings(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> Da
     )
 
 
+def _declared_builders() -> Column:
+    """Builder names that a statement declares or assigns anew, if it stands in code."""
+    body = F.col("body")
+    local = _maybe_local() & (F.regexp_extract(body, J.STRING_LOCAL, 1) == "StringBuilder")
+    again = (
+        (F.col("depth") > 0) & body.contains("StringBuilder") & ~body.rlike(J.STRING_LOCAL)
+        & (F.regexp_extract(body, J.REASSIGNED, 2) == "StringBuilder")
+    )
+    return (
+        F.when(local, F.transform(J.declarators(F.regexp_replace(body, J.STRING_LOCAL, "")), lambda d: d["name"]))
+        .when(again, F.array(F.regexp_extract(body, J.REASSIGNED, 1)))
+        .otherwise(F.array().cast("array<string>"))
+    )
+
+
+def _called_chains() -> Column:
+    body = F.col("body")
+    return F.when(body.contains("append"), J.calls_of(body)).otherwise(
+        F.array().cast("array<struct<variable:string,chain:string>>")
+    )
+
+
 def builder_calls(stmts: DataFrame, by: str = "instance", keys: Sequence[str] = FILE_KEY) -> DataFrame:
     """Append chains, each with the declaration its variable resolves to, NULL if none is in scope.
 
@@ -402,32 +434,20 @@ def builder_calls(stmts: DataFrame, by: str = "instance", keys: Sequence[str] =
     name), so calls and declarations are never paired with one another.
     """
     keys = list(keys)
-    body = F.col("body")
-    local = F.coalesce(_is_local(), F.lit(False))
-    declared = F.when(
-        local & (F.regexp_extract(body, J.STRING_LOCAL, 1) == "StringBuilder"),
-        F.transform(J.declarators(F.regexp_replace(body, J.STRING_LOCAL, "")), lambda d: d["name"]),
-    ).when(
-        ~local & ~F.coalesce(_is_member(), F.lit(False)) & body.contains("new")
-        & (F.regexp_extract(body, J.REASSIGNED, 2) == "StringBuilder"),
-        F.array(F.regexp_extract(body, J.REASSIGNED, 1)),
-    )
-    called = F.when(body.contains("append"), J.calls_of(body))
-    marked = stmts.withColumns({"_declared": declared, "_called": called})
-    wanted = F.col("_declared").isNotNull() | (F.size(F.coalesce("_called", F.array())) > 0)
+    marked = stmts.withColumns({"_declared": _declared_builders(), "_called": _called_chains()})
+    wanted = (F.size("_declared") > 0) | (F.size("_called") > 0)
     levels = enclosing(marked, wanted, ["_declared", "_called", "line_number", "depth"], keys)
 
     # An event is a declaration at its own level, or a call at each level.
-    own_level = F.col("level") == F.greatest(F.col("depth"), F.lit(1))
-    empty = F.array().cast("array<struct<variable:string,chain:string,idx:int,declares:boolean>>")
+    declares_here = (F.col("level") == F.col("depth")) & ~F.col("ancestor.kind").isin(*_MEMBER_SCOPES)
     declares = F.transform(
-        F.coalesce(F.col("_declared"), F.array().cast("array<string>")),
+        F.col("_declared"),
         lambda v: F.struct(
             v.alias("variable"), F.lit("").alias("chain"), F.lit(-1).alias("idx"), F.lit(True).alias("declares")
         ),
     )
     calls = F.transform(
-        F.coalesce(F.col("_called"), F.array().cast("array<struct<variable:string,chain:string>>")),
+        F.col("_called"),
         lambda c, i: F.struct(
             c["variable"].alias("variable"), c["chain"].alias("chain"), i.alias("idx"),
             F.lit(False).alias("declares"),
@@ -435,7 +455,7 @@ def builder_calls(stmts: DataFrame, by: str = "instance", keys: Sequence[str] =
     )
     events = levels.select(
         *keys, "pos", "level", F.col("ancestor.id").alias("_scope"), "line_number",
-        F.inline(F.concat(F.when(own_level, declares).otherwise(empty), calls)),
+        F.inline(F.concat(F.when(declares_here, declares).otherwise(F.slice(declares, 1, 0)), calls)),
     )
     same_name = Window.partitionBy(*keys, "_scope", "variable").orderBy("pos", "idx").rowsBetween(
         Window.unboundedPreceding, 0
@@ -486,27 +506,22 @@ def string_builders(stmts: DataFrame, by: str = "instance", keys: Sequence[str]
 
 def _builders_by_name(stmts: DataFrame, keys: list[str]) -> DataFrame:
     body = F.col("body")
-    local = F.coalesce(_is_local(), F.lit(False))
-    names = F.when(
-        local & (F.regexp_extract(body, J.STRING_LOCAL, 1) == "StringBuilder"),
-        F.transform(
-            J.declarators(F.regexp_replace(body, J.STRING_LOCAL, "")),
-            lambda d: F.struct(d["name"].alias("variable"), F.lit(True).alias("declares"), F.lit("").alias("text")),
-        ),
-    ).otherwise(F.array().cast("array<struct<variable:string,declares:boolean,text:string>>"))
-    calls = F.when(
-        body.contains("append"),
-        F.transform(
-            J.calls_of(body),
-            lambda c: F.struct(
-                c["variable"].alias("variable"), F.lit(False).alias("declares"),
-                F.coalesce(J.first_literal(c["chain"]), F.lit("")).alias("text"),
-            ),
+    local = _maybe_local() & (F.regexp_extract(body, J.STRING_LOCAL, 1) == "StringBuilder")
+    declared = F.transform(
+        J.declarators(F.regexp_replace(body, J.STRING_LOCAL, "")),
+        lambda d: F.struct(d["name"].alias("variable"), F.lit(True).alias("declares"), F.lit("").alias("text")),
+    )
+    calls = F.transform(
+        _called_chains(),
+        lambda c: F.struct(
+            c["variable"].alias("variable"), F.lit(False).alias("declares"),
+            F.coalesce(J.first_literal(c["chain"]), F.lit("")).alias("text"),
         ),
-    ).otherwise(F.array().cast("array<struct<variable:string,declares:boolean,text:string>>"))
-    marked = stmts.withColumn("_events", F.concat(names, calls))
-    rows = with_owner(marked, F.size("_events") > 0, ["_events", "line_number"], keys)
-    events = rows.filter(F.col("method_id").isNotNull()).select(
+    )
+    found = F.concat(F.when(local, declared).otherwise(F.slice(declared, 1, 0)), calls)
+    wanted = F.size("_events") > 0
+    rows = with_owner(stmts.withColumn("_events", found), wanted, ["_events", "line_number"], keys)
+    events = rows.filter(F.col("method_id").isNotNull() & ~F.col("scope_kind").isin(*_MEMBER_SCOPES)).select(
         *keys, "method_id", "method_name", "pos", "line_number", F.posexplode("_events").alias("idx", "_event")
     ).select(*keys, "method_id", "method_name", "pos", "idx", "line_number", "_event.*")
     # The text is put together once per method and name, then repeated for each declaration.
@@ -522,18 +537,20 @@ def _builders_by_name(stmts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def scopes(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
-    """Scopes with kind, name, level and first and last line."""
-    return (
-        stmts.filter(F.col("scope").isNotNull())
-        .groupBy(*keys, F.col("scope.id").alias("scope_id"))
-        .agg(
-            F.any_value("depth").alias("level"),
-            F.any_value("scope.kind").alias("kind"),
-            F.any_value("scope.name").alias("name"),
-            F.any_value("scope.line_number").alias("line_number"),
-            F.max(F.when(F.col("end_mark") == "}", F.col("first_line") + J.newlines(F.col("raw")))).alias("end_line"),
-            F.count(F.lit(1)).alias("statements"),
-        )
+    """Scopes with kind, name, level, number of statements, and first and last line."""
+    keys = list(keys)
+    at_depth = Window.partitionBy(*keys, "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    inside = stmts.filter(F.col("depth") > 0).select(
+        *keys, "depth", "end_mark", (F.col("first_line") + F.col("newlines")).alias("_last_line"),
+        F.last("opener", ignorenulls=True).over(at_depth).alias("scope"),
+    )
+    return inside.groupBy(*keys, F.col("scope.id").alias("scope_id")).agg(
+        F.any_value("depth").alias("level"),
+        F.any_value("scope.kind").alias("kind"),
+        F.any_value("scope.name").alias("name"),
+        F.any_value("scope.line_number").alias("line_number"),
+        F.max(F.when(F.col("end_mark") == "}", F.col("_last_line"))).cast("int").alias("end_line"),
+        F.count(F.lit(1)).alias("statements"),
     )
 
 
@@ -543,29 +560,21 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
     All facts of a file come from its own row, so the groups are no larger than the file.
     """
     keys = list(keys)
-    member = F.coalesce(_is_member(), F.lit(False))
+    at_top = F.col("depth") == 0
     package = F.regexp_extract("body", rf"^package\s++([{X.WORD}$.]++)", 1)
     imported = F.regexp_extract("body", rf"^import\s++(?:static\s++)?+({J.ID}++(?:\.{J.ID}++)*+)", 1)
-    is_type = F.col("shape") == "type"
-    is_method = member & F.col("shape").isin("method", "constructor") & F.col("end_mark").isin("{", ";")
-    is_field = member & ~is_method & F.col("shape").isin("block", "anonymous") & F.col("end_mark").isin(";", "{") & F.col("body").rlike(J.FIELD_HEADER)
-    is_head = (F.col("depth") == 0) & ((package != "") | (imported != ""))
-    first = F.element_at(J.declarators(F.regexp_replace("body", J.FIELD_HEADER, "")), 1)
     fact = (
-        F.when(is_type, "type").when(is_method, "method").when(is_field, "field")
-        .when(package != "", "package").when(imported != "", "import")
+        F.when(F.col("shape") == "type", "type").when(_maybe_method(), "method").when(_maybe_field(), "field")
+        .when(at_top & (package != ""), "package").when(at_top & (imported != ""), "import")
     )
-    facts = stmts.withColumn("fact", F.when(is_type | is_method | is_field | is_head, fact))
     payload = ["fact", "shape", "name", "body", "line_number", "lead", "first_line"]
-    rows = enclosing(facts, F.col("fact").isNotNull(), payload, keys)
-    scope = F.col("ancestor")
-    owned = rows.groupBy(*keys, "pos").agg(
-        F.any_value(F.struct(*payload)).alias("_data"),
-        F.max(F.when(scope["kind"] == "type", scope["id"])).alias("_type_id"),
-    ).select(*keys, "pos", "_data.*", "_type_id")
+    owned = with_owner(stmts.withColumn("fact", fact), F.col("fact").isNotNull(), payload, keys).filter(
+        ~F.col("fact").isin("method", "field") | F.col("scope_kind").isin(*_MEMBER_SCOPES)
+    )
     owner = F.when(F.col("fact") == "type", F.col("pos") + 1).when(
-        F.col("fact").isin("method", "field"), F.col("_type_id")
+        F.col("fact").isin("method", "field"), F.col("type_id")
     )
+    first = _first_declared()
     detailed = owned.select(
         *keys, "pos", "fact", owner.alias("_owner"),
         F.when(F.col("fact") == "package", package).when(F.col("fact") == "import", imported).alias("text"),
