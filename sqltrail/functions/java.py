@@ -61,7 +61,7 @@ DECLARATOR = rf"({ID}++)\s*+(?:\[\s*+\]\s*+)*+(?:=\s*+({_VALUE}))?+(?:,\s*+|\s*+
 ANNOTATION_PAIR = rf"\s*+({ID}++)\s*+=\s*+({_VALUE})(?:,|$)"
 REASSIGNED = rf"(?:^|[\s);:])((?:this\.)?+{ID}++)\s*+=\s*+new\s++(String|StringBuilder)\s*+[(<]"
 # `.append(…)` calls on one name; literals are matched first, so that text inside them is not read.
-CHAIN = rf"(?:{LITERAL})|((?:this\s*+\.\s*+)?+(?<!{ID}){ID}++)((?:\s*+\.\s*+append\s*+\({ARGS}(?:\)|\z))++)"
+CHAIN = rf"(?:{LITERAL})|(?<!{ID})(?:this\s*+\.\s*+)?+{ID}++(?:\s*+\.\s*+append\s*+\({ARGS}(?:\)|\z))++"
 APPEND = rf"\.\s*+append\s*+\(({ARGS})(?:\)|\z)"
 LITERAL_TEXT = rf'{CHAR}|"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"'
 NUMBER = rf"(?<![{WORD}.$])[0-9][0-9A-Fa-f_.xXlLdD]*+"
@@ -197,12 +197,15 @@ def parameter(annotation: Column, key: str) -> Column:
 
 def calls_of(code: Column) -> Column:
     """`.append` chains of a statement: variable and chain text."""
-    zipped = F.arrays_zip(_all(code, CHAIN, 1).alias("v"), _all(code, CHAIN, 2).alias("c"))
-    named = F.transform(
-        zipped,
-        lambda p: F.struct(F.regexp_replace(p["v"], r"\s++", "").alias("variable"), p["c"].alias("chain")),
+    found = F.filter(_all(code, CHAIN), lambda text: ~text.substr(1, 1).isin('"', "'"))
+    variable = rf"^(?:this\s*+\.\s*+)?+{ID}++"
+    return F.transform(
+        found,
+        lambda text: F.struct(
+            F.regexp_replace(F.regexp_extract(text, variable, 0), r"\s++", "").alias("variable"),
+            F.regexp_replace(text, variable, "").alias("chain"),
+        ),
     )
-    return F.filter(named, lambda p: p["variable"] != "")
 
 
 def first_literal(chain: Column) -> Column:

@@ -19,6 +19,11 @@ from sqltrail.functions import text as X
 from sqltrail.schemas import FILE_KEY
 
 
+def _ids(keys: Sequence[str]) -> list[str]:
+    """Columns that tell files apart, a number first: rows are sorted by it faster than by names."""
+    return ["file_id", *keys]
+
+
 def _partitions(df: DataFrame) -> int:
     """Tasks for work on file texts: as many as the session shuffles into, and one per core at least."""
     spark = df.sparkSession
@@ -34,9 +39,9 @@ def statements(files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str =
     """
     keys = list(keys)
     rows = (
-        files.select(*keys, F.col(content).alias("_content"))
-        .repartition(_partitions(files), *keys)
-        .select(*keys, F.posexplode(J.split_statements(F.col("_content"))).alias("pos", "_raw"))
+        files.select(F.xxhash64(*keys).alias("file_id"), *keys, F.col(content).alias("_content"))
+        .repartition(_partitions(files), "file_id")
+        .select(*_ids(keys), F.posexplode(J.split_statements(F.col("_content"))).alias("pos", "_raw"))
         .filter(F.col("_raw") != "")
         .withColumns({"end_mark": J.end_mark(F.col("_raw")), "lead": J.lead_of(F.col("_raw"))})
         .withColumn("_core", J.core_of(F.col("_raw"), F.col("lead"), F.col("end_mark")))
@@ -68,7 +73,7 @@ def statements(files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str =
         .when(F.col("shape") == "constructor", F.regexp_extract(body, J.CONSTRUCTOR_HEADER, 1))
         .otherwise("")
     )
-    in_file = Window.partitionBy(*keys).orderBy("pos")
+    in_file = Window.partitionBy(*_ids(keys)).orderBy("pos")
     before = in_file.rowsBetween(Window.unboundedPreceding, -1)
     step = F.when(opens, 1).when(F.col("end_mark") == "}", -1).otherwise(0)
     opener = F.when(
@@ -101,7 +106,7 @@ def statements(files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str =
 
 
 def enclosing(
-    stmts: DataFrame, wanted: Column, payload: Sequence[str], keys: Sequence[str] = FILE_KEY
+    stmts: DataFrame, wanted: Column, payload: Sequence[str | Column], keys: Sequence[str] = FILE_KEY
 ) -> DataFrame:
     """One row per wanted statement and enclosing scope, `level` 1 outermost.
 
@@ -109,24 +114,26 @@ def enclosing(
     once per level, which is its nesting depth and not the size of the file; other statements are
     dropped first unless a scope begins at them.
     """
-    keys = list(keys)
     begins = F.col("opener").isNotNull()
     levels = F.when(
-        F.col("_data").isNotNull(), F.sequence(F.lit(1), F.greatest(F.col("depth"), F.lit(1)))
+        F.col("_wanted"), F.sequence(F.lit(1), F.greatest(F.col("depth"), F.lit(1)))
     ).otherwise(F.array("depth"))
     exploded = (
-        stmts.select(*keys, "pos", "depth", "opener", F.when(wanted, F.struct(*payload)).alias("_data"))
-        .filter(F.col("_data").isNotNull() | begins)
+        stmts.filter(wanted | begins)
+        .select(
+            *_ids(keys), "pos", "depth", "opener", wanted.alias("_wanted"),
+            F.when(wanted, F.struct(*payload)).alias("_data"),
+        )
         .select("*", F.explode(levels).alias("level"))
     )
-    at_level = Window.partitionBy(*keys, "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    at_level = Window.partitionBy(*_ids(keys), "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     begun = F.when(begins & (F.col("level") == F.col("depth")), F.col("opener"))
     return (
         exploded.withColumn("_ancestor", F.last(begun, ignorenulls=True).over(at_level))
-        .filter(F.col("_data").isNotNull())
+        .filter("_wanted")
         .select(
-            *keys, "pos", "level", F.when(F.col("depth") >= F.col("level"), F.col("_ancestor")).alias("ancestor"),
-            "_data.*",
+            *_ids(keys), "pos", "level",
+            F.when(F.col("depth") >= F.col("level"), F.col("_ancestor")).alias("ancestor"), "_data.*",
         )
     )
 
@@ -139,14 +146,14 @@ def with_owner(
     is_type = scope["kind"] == "type"
     is_method = scope["kind"].isin("method", "constructor")
     levels = enclosing(stmts, wanted, payload, keys)
-    grouped = levels.groupBy(*keys, "pos").agg(
+    grouped = levels.groupBy(*_ids(keys), "pos").agg(
         F.any_value(F.struct(*payload)).alias("_data"),
         F.max_by(F.when(is_type, scope), F.when(is_type, F.col("level"))).alias("_type"),
         F.max_by(F.when(is_method, scope), F.when(is_method, F.col("level"))).alias("_method"),
         F.max_by(scope["kind"], F.col("level")).alias("scope_kind"),
     )
     return grouped.select(
-        *keys, "pos", "scope_kind", "_data.*",
+        *_ids(keys), "pos", "scope_kind", "_data.*",
         F.col("_type.id").alias("type_id"),
         F.col("_type.name").alias("type_name"),
         F.col("_type.header").alias("type_header"),
@@ -313,7 +320,7 @@ def entity_tables(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame
         | ((F.col("depth") == 0) & F.col("body").startswith("package "))
     )
     package = F.nullif(F.regexp_extract("body", rf"^package\s++([{X.WORD}$.]++)", 1), F.lit(""))
-    in_file = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    in_file = Window.partitionBy(*_ids(keys)).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return (
         types.withColumn("_package", F.last(package, ignorenulls=True).over(in_file))
         .filter((F.col("shape") == "type") & (J.type_kind(F.col("body")) == "class"))
@@ -361,7 +368,7 @@ def string_variables(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFr
     """Local String and StringBuilder variables, a row per declared name, with the method around them."""
     rows = with_owner(stmts, _maybe_local(), ["body", "line_number"], keys)
     return rows.filter(~F.col("scope_kind").isin(*_MEMBER_SCOPES)).select(
-        *keys, "pos", "type_name", "method_id", "method_name", "method_line", "line_number",
+        *_ids(keys), "pos", "type_name", "method_id", "method_name", "method_line", "line_number",
         F.regexp_extract("body", J.STRING_LOCAL, 1).alias("variable_type"),
         F.inline(J.declarators(F.regexp_replace("body", J.STRING_LOCAL, ""))),
     )
@@ -395,9 +402,9 @@ def methods_with_strings(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> Da
     return (
         string_variables(stmts, keys)
         .filter(F.col("method_id").isNotNull())
-        .groupBy(*keys, "method_id", "method_name", "method_line")
+        .groupBy(*_ids(keys), "method_id", "method_name", "method_line")
         .agg(F.count_if(is_string).alias("strings"), F.count_if(~is_string).alias("builders"))
-        .drop("method_id")
+        .drop("method_id", "file_id")
     )
 
 
@@ -433,10 +440,11 @@ def builder_calls(stmts: DataFrame, by: str = "instance", keys: Sequence[str] =
     Calls are repeated per enclosing scope and meet the declarations in a window over (file, scope,
     name), so calls and declarations are never paired with one another.
     """
-    keys = list(keys)
-    marked = stmts.withColumns({"_declared": _declared_builders(), "_called": _called_chains()})
-    wanted = (F.size("_declared") > 0) | (F.size("_called") > 0)
-    levels = enclosing(marked, wanted, ["_declared", "_called", "line_number", "depth"], keys)
+    candidates = F.col("body").contains("append") | F.col("body").contains("StringBuilder")
+    payload = [
+        _declared_builders().alias("_declared"), _called_chains().alias("_called"), F.col("line_number"), F.col("depth"),
+    ]
+    levels = enclosing(stmts, candidates, payload, keys)
 
     # An event is a declaration at its own level, or a call at each level.
     declares_here = (F.col("level") == F.col("depth")) & ~F.col("ancestor.kind").isin(*_MEMBER_SCOPES)
@@ -454,10 +462,10 @@ def builder_calls(stmts: DataFrame, by: str = "instance", keys: Sequence[str] =
         ),
     )
     events = levels.select(
-        *keys, "pos", "level", F.col("ancestor.id").alias("_scope"), "line_number",
+        *_ids(keys), "pos", "level", F.col("ancestor.id").alias("_scope"), "line_number",
         F.inline(F.concat(F.when(declares_here, declares).otherwise(F.slice(declares, 1, 0)), calls)),
     )
-    same_name = Window.partitionBy(*keys, "_scope", "variable").orderBy("pos", "idx").rowsBetween(
+    same_name = Window.partitionBy(*_ids(keys), "_scope", "variable").orderBy("pos", "idx").rowsBetween(
         Window.unboundedPreceding, 0
     )
     declaration = F.when(F.col("declares"), F.struct(F.col("pos").alias("decl_id"), F.col("line_number").alias("decl_line")))
@@ -465,13 +473,13 @@ def builder_calls(stmts: DataFrame, by: str = "instance", keys: Sequence[str] =
     found = events.withColumn("_decl", pick(declaration, ignorenulls=True).over(same_name))
     has = F.col("_decl").isNotNull()
     return (
-        found.groupBy(*keys, "pos", "idx", "variable", "declares")
+        found.groupBy(*_ids(keys), "pos", "idx", "variable", "declares")
         .agg(
             F.any_value("chain").alias("chain"),
             F.any_value("line_number").alias("line_number"),
             F.max_by(F.when(has, F.col("_decl")), F.when(has, F.col("level"))).alias("_decl"),
         )
-        .select(*keys, "pos", "idx", "variable", "declares", "chain", "line_number", "_decl.*")
+        .select(*_ids(keys), "pos", "idx", "variable", "declares", "chain", "line_number", "_decl.*")
     )
 
 
@@ -492,7 +500,7 @@ def string_builders(stmts: DataFrame, by: str = "instance", keys: Sequence[str]
         appended,
         F.struct("pos", "idx", F.array_join(J.literal_texts(F.col("chain")), "").alias("text")),
     )
-    grouped = calls.groupBy(*keys, "variable", "decl_id", "decl_line").agg(
+    grouped = calls.groupBy(*_ids(keys), "variable", "decl_id", "decl_line").agg(
         F.array_sort(F.collect_list(piece)).alias("_pieces"),
         F.coalesce(
             F.sum(F.when(appended, F.size(F.regexp_extract_all("chain", F.lit(J.APPEND), F.lit(0))))), F.lit(0)
@@ -519,13 +527,13 @@ def _builders_by_name(stmts: DataFrame, keys: list[str]) -> DataFrame:
         ),
     )
     found = F.concat(F.when(local, declared).otherwise(F.slice(declared, 1, 0)), calls)
-    wanted = F.size("_events") > 0
-    rows = with_owner(stmts.withColumn("_events", found), wanted, ["_events", "line_number"], keys)
+    candidates = body.contains("append") | body.contains("StringBuilder")
+    rows = with_owner(stmts, candidates, ["body", "depth", "line_number"], keys)
     events = rows.filter(F.col("method_id").isNotNull() & ~F.col("scope_kind").isin(*_MEMBER_SCOPES)).select(
-        *keys, "method_id", "method_name", "pos", "line_number", F.posexplode("_events").alias("idx", "_event")
-    ).select(*keys, "method_id", "method_name", "pos", "idx", "line_number", "_event.*")
+        *_ids(keys), "method_id", "method_name", "pos", "line_number", F.posexplode(found).alias("idx", "_event")
+    ).select(*_ids(keys), "method_id", "method_name", "pos", "idx", "line_number", "_event.*")
     # The text is put together once per method and name, then repeated for each declaration.
-    grouped = events.groupBy(*keys, "method_id", "method_name", "variable").agg(
+    grouped = events.groupBy(*_ids(keys), "method_id", "method_name", "variable").agg(
         F.array_sort(F.collect_list(F.when(~F.col("declares"), F.struct("pos", "idx", "text")))).alias("_pieces"),
         F.collect_list(F.when(F.col("declares"), F.col("line_number"))).alias("_lines"),
         F.count_if(~F.col("declares")).cast("int").alias("appends"),
@@ -539,12 +547,12 @@ def _builders_by_name(stmts: DataFrame, keys: list[str]) -> DataFrame:
 def scopes(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     """Scopes with kind, name, level, number of statements, and first and last line."""
     keys = list(keys)
-    at_depth = Window.partitionBy(*keys, "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    at_depth = Window.partitionBy(*_ids(keys), "depth").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     inside = stmts.filter(F.col("depth") > 0).select(
-        *keys, "depth", "end_mark", (F.col("first_line") + F.col("newlines")).alias("_last_line"),
+        *_ids(keys), "depth", "end_mark", (F.col("first_line") + F.col("newlines")).alias("_last_line"),
         F.last("opener", ignorenulls=True).over(at_depth).alias("scope"),
     )
-    return inside.groupBy(*keys, F.col("scope.id").alias("scope_id")).agg(
+    grouped = inside.groupBy(*_ids(keys), F.col("scope.id").alias("scope_id")).agg(
         F.any_value("depth").alias("level"),
         F.any_value("scope.kind").alias("kind"),
         F.any_value("scope.name").alias("name"),
@@ -552,6 +560,7 @@ def scopes(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
         F.max(F.when(F.col("end_mark") == "}", F.col("_last_line"))).cast("int").alias("end_line"),
         F.count(F.lit(1)).alias("statements"),
     )
+    return grouped.drop("file_id")
 
 
 def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
@@ -576,7 +585,7 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
     )
     first = _first_declared()
     detailed = owned.select(
-        *keys, "pos", "fact", owner.alias("_owner"),
+        *_ids(keys), "pos", "fact", owner.alias("_owner"),
         F.when(F.col("fact") == "package", package).when(F.col("fact") == "import", imported).alias("text"),
         F.when(
             F.col("fact") == "type",
@@ -604,7 +613,7 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
             ),
         ).alias("field"),
     )
-    per_type = detailed.groupBy(*keys, "_owner").agg(
+    per_type = detailed.groupBy(*_ids(keys), "_owner").agg(
         F.max("pos").alias("pos"),
         F.max(F.when(F.col("fact") == "package", F.col("text"))).alias("package_name"),
         F.array_sort(F.collect_list(F.when(F.col("fact") == "import", F.struct("pos", "text")))).alias("_imports"),
@@ -613,7 +622,7 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
         F.array_sort(F.collect_list("method")).alias("methods"),
     )
     types = F.when(F.col("_owner").isNotNull(), F.struct("_owner", "_type", "fields", "methods"))
-    return per_type.groupBy(*keys).agg(
+    documents = per_type.groupBy(*_ids(keys)).agg(
         F.max("package_name").alias("package_name"),
         F.flatten(F.collect_list(F.transform("_imports", lambda i: i["text"]))).alias("imports"),
         F.transform(
@@ -626,3 +635,4 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
             ),
         ).alias("types"),
     )
+    return documents.drop("file_id")
