@@ -192,7 +192,7 @@ def annotations_of(lead: Column, first_line: Column) -> Column:
 
 def parameter(annotation: Column, key: str) -> Column:
     """Value of one parameter, NULL if absent."""
-    return F.element_at(F.filter(annotation["parameters"], lambda p: p["key"] == key), -1)["value"]
+    return F.try_element_at(F.filter(annotation["parameters"], lambda p: p["key"] == key), F.lit(-1))["value"]
 
 
 def calls_of(code: Column) -> Column:
@@ -210,7 +210,7 @@ def calls_of(code: Column) -> Column:
 
 def first_literal(chain: Column) -> Column:
     """First argument of the first call when it is one literal, quotes dropped; else empty."""
-    first = F.element_at(_all(chain, APPEND, 1), 1)
+    first = F.try_element_at(_all(chain, APPEND, 1), F.lit(1))
     alone = F.regexp_extract(first, rf"^\s*+({LITERAL}|-?{NUMBER}|true|false|null)\s*+(?:,|$)", 1)
     return F.replace(alone, F.lit('"'), F.lit(""))
 

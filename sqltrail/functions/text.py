@@ -192,6 +192,14 @@ def nullif_empty(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
 
+def cast_or_null(value: Column, kind: str) -> Column:
+    """Cast, NULL where the text does not fit; text that is no whole number is not tried as one."""
+    cast = value.try_cast(kind)
+    if kind.lower() in ("int", "integer", "long", "bigint", "smallint", "tinyint"):
+        return F.when(value.cast("string").rlike(r"^\s*[+-]?[0-9]+\s*$"), cast)
+    return cast
+
+
 def package_name(content: Column) -> Column:
     return nullif_empty(F.regexp_extract(content, rf"package[{WS}]+([{WORD}.]+);", 1))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqltrail.constants import CATALOG_KINDS, KNOWN_OBJECT_TYPES, RELATION_TYPES
-from sqltrail.functions.text import nullif_empty
+from sqltrail.functions.text import cast_or_null, nullif_empty
 from sqltrail.operators.sizing import scaled_join
 from sqltrail.schemas import CATALOG_TABLES, TableSpec
 
@@ -117,19 +117,11 @@ def map_columns(
         target = renamed.get(name.lower(), name.lower())
         value = F.col(f"`{name}`")
         if types and target in types:
-            value = _cast_or_null(value, types[target])
+            value = cast_or_null(value, types[target])
         columns.append(value.alias(target))
     return df.select(*columns)
 
 
-def _cast_or_null(value: Column, kind: str) -> Column:
-    """Cast, NULL where the text does not fit; text that is no whole number is not tried as one."""
-    cast = value.try_cast(kind)
-    if kind.lower() in ("int", "integer", "long", "bigint", "smallint", "tinyint"):
-        return F.when(value.cast("string").rlike(r"^\s*[+-]?[0-9]+\s*$"), cast)
-    return cast
-
-
 def empty_to_null(df: DataFrame) -> DataFrame:
     """Empty text becomes NULL in every text column."""
     return df.select(

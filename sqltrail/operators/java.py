@@ -241,7 +241,7 @@ def _field_rows(stmts: DataFrame, keys: Sequence[str], wanted: Column | None = N
 
 
 def _first_declared() -> Column:
-    return F.element_at(J.declarators(F.regexp_replace("body", J.FIELD_HEADER, "")), 1)
+    return F.try_element_at(J.declarators(F.regexp_replace("body", J.FIELD_HEADER, "")), F.lit(1))
 
 
 def fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
@@ -314,7 +314,7 @@ def method_class(names: DataFrame, column: str = "method_name") -> DataFrame:
 def entity_tables(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     """Entity classes as package.Class with the name of their table."""
     marks = F.col("annotations")
-    table_mark = F.element_at(F.filter(marks, lambda a: a["name"] == "Table"), 1)
+    table_mark = F.try_element_at(F.filter(marks, lambda a: a["name"] == "Table"), F.lit(1))
     types = stmts.filter(
         ((F.col("shape") == "type") & F.col("lead").isNotNull())
         | ((F.col("depth") == 0) & F.col("body").startswith("package "))
@@ -340,14 +340,14 @@ def repositories(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
 
     The base and entity come from the header of the interface, so nothing is joined.
     """
-    base = F.element_at(J.extends_of(F.col("type_header")), 1)
+    base = F.try_element_at(J.extends_of(F.col("type_header")), F.lit(1))
     listed = methods(stmts, keys).filter(F.col("type_header").rlike(r"^interface\s"))
     return (
         listed.withColumn("_base", base)
         .filter(F.size(F.col("_base.generics")) > 0)
         .select(
             *keys, "type_name", F.col("_base.name").alias("base_name"),
-            F.element_at("_base.generics", 1).alias("entity_name"), "method_name",
+            F.try_element_at("_base.generics", F.lit(1)).alias("entity_name"), "method_name",
             F.explode("annotations").alias("_mark"),
         )
         .select(

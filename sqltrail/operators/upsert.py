@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqltrail.functions.text import cast_or_null
 from sqltrail.operators.sizing import scaled_join
 
 
@@ -21,6 +22,11 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return last.select(*keys, "_row.*")
 
 
+def _as_type(df: DataFrame, name: str, kind: str) -> Column:
+    """The column in the table's type; text that does not fit is NULL."""
+    return F.col(name) if dict(df.dtypes)[name] == kind else cast_or_null(F.col(name), kind)
+
+
 def upsert(
     existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str
 ) -> DataFrame:
@@ -35,7 +41,7 @@ def upsert(
     winners = latest_by_key(checked, keys, order).drop(order)
     kept = scaled_join(existing, incoming.select(*keys).distinct(), keys, "left_anti")
     columns = [
-        F.col(name).cast(kind).alias(name) if name in winners.columns else F.lit(None).cast(kind).alias(name)
+        (_as_type(winners, name, kind) if name in winners.columns else F.lit(None).cast(kind)).alias(name)
         for name, kind in existing.dtypes
     ]
     return kept.select(*existing.columns).unionByName(winners.select(*columns))
