@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from sqltrail.constants import CP1252_HIGH, MODIFY_KEYWORDS, READ_KEYWORDS
 
-WS = (
-    r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
-WORD = r"\p{L}\p{N}_"
-_NOT_DELIMITER = rf"[^,;:{WS}]"
-_DELIMITER = rf"[,;:{WS}]"
+WS = r"\x20\t-\r\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Common characters come first in a class: the regex engine tries its parts in order.
+WORD = r"a-z_A-Z0-9\p{L}\p{N}"
+_WIDE_WS = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_NOT_DELIMITER = rf"[<-\x7f\--9!-+\x00-\x08\x0e-\x1b[^\x00-\x7f{_WIDE_WS}]]"
+_DELIMITER = rf"[\x20,;:\t-\r\x1c-\x1f{_WIDE_WS}]"
 
 DOUBLE_QUOTED = r'(?d)"(.*?)"'
 SINGLE_QUOTED = r"(?d)'(.*?)'"
@@ -40,10 +40,10 @@ STARTS_MODIFY = rf"^(?:{_MODIFY})(?!{_NOT_DELIMITER})"
 _DELETE_FROM = rf"(?<!{_NOT_DELIMITER})DELETE{_DELIMITER}+FROM(?!{_NOT_DELIMITER})"
 
 UPPER_IDENTIFIER = rf"(?<![{WORD}])[A-Z_][A-Z0-9_]*+(?![{WORD}])"
-_LAST_FROM = rf"(?isu)^.*[{WS}]FROM[{WS}]+[{WORD}]+"
-_SELECT_FROM = rf"(?isu)SELECT[{WS}].*?[{WS}]FROM[{WS}]+([{WORD}]+)"
-_JOIN = rf"(?iu)JOIN[{WS}]+([{WORD}]+)[{WS}]"
-_CHANGE = rf"(?iu)(INSERT INTO|UPDATE|DELETE FROM)[{WS}]+([{WORD}]+)"
+_LAST_FROM = rf"(?s)^.*[{WS}](?iu:FROM)[{WS}]+[{WORD}]+"
+_SELECT_FROM = rf"(?s)(?iu:SELECT)[{WS}].*?[{WS}](?iu:FROM)[{WS}]+([{WORD}]+)"
+_JOIN = rf"(?iu:JOIN)[{WS}]+([{WORD}]+)[{WS}]"
+_CHANGE = rf"(?iu:(INSERT INTO|UPDATE|DELETE FROM))[{WS}]+([{WORD}]+)"
 
 Extractor = Callable[[Column], Column]
 

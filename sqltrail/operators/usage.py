@@ -103,13 +103,17 @@ def classify_file_usage(
     def tagged(names: Column, source: int) -> Column:
         return F.transform(names, lambda n: F.struct(n.alias("table_name"), F.lit(source).alias("_source")))
 
-    found = files.select(
+    texts = files.select(
+        *keys, F.array_distinct(X.upper_identifiers_of(F.col(content))).alias("_named"),
+        words(after_from).alias("_read"), words(after_change).alias("_changed"),
+    )
+    found = texts.select(
         *keys,
         F.inline(
             F.concat(
-                tagged(F.array_distinct(X.upper_identifiers_of(F.col(content))), 0),
-                tagged(words(after_from), 1),
-                tagged(words(after_change), 2),
+                tagged(F.col("_named"), 0),
+                tagged(F.array_intersect("_named", "_read"), 1),
+                tagged(F.array_intersect("_named", "_changed"), 2),
             )
         ),
     )
