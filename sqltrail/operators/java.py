@@ -579,7 +579,7 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
     payload = ["fact", "shape", "name", "body", "line_number", "lead", "first_line"]
     owned = with_owner(stmts.withColumn("fact", fact), F.col("fact").isNotNull(), payload, keys).filter(
         ~F.col("fact").isin("method", "field") | F.col("scope_kind").isin(*_MEMBER_SCOPES)
-    )
+    ).withColumn("annotations", _annotations())
     owner = F.when(F.col("fact") == "type", F.col("pos") + 1).when(
         F.col("fact").isin("method", "field"), F.col("type_id")
     )
@@ -592,7 +592,7 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
             F.struct(
                 F.col("name").alias("name"), J.type_kind(F.col("body")).alias("kind"), "line_number",
                 J.extends_of(F.col("body")).alias("extends"), J.implements_of(F.col("body")).alias("implements"),
-                _annotations().alias("annotations"),
+                "annotations",
             ),
         ).alias("type"),
         F.when(
@@ -601,7 +601,7 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
                 F.col("pos").alias("pos"), F.col("name").alias("name"), "line_number",
                 F.when(F.col("shape") == "constructor", "").otherwise(
                     J.compact(F.regexp_extract("body", J.METHOD_HEADER, 1))).alias("return_type"),
-                _annotations().alias("annotations"),
+                "annotations",
             ),
         ).alias("method"),
         F.when(
@@ -609,7 +609,7 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
             F.struct(
                 F.col("pos").alias("pos"), first["name"].alias("name"), "line_number",
                 J.compact(F.regexp_extract("body", J.FIELD_HEADER, 1)).alias("type"),
-                X.nullif_empty(J.compact(first["value"])).alias("value"), _annotations().alias("annotations"),
+                X.nullif_empty(J.compact(first["value"])).alias("value"), "annotations",
             ),
         ).alias("field"),
     )
