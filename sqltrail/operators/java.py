@@ -30,17 +30,22 @@ def _partitions(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def statements(files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str = "content") -> DataFrame:
+def statements(
+    files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str = "content", partitions: int | None = None
+) -> DataFrame:
     """Statements in order, with line, brace depth and, where a scope begins, what opened it.
 
     `keys` identify a file. `line_number` is where the declaration or expression starts, past
     annotations and modifiers. `opener` is set on the first statement of a scope: its kind (type,
     anonymous, method, constructor or block), name, line and, for a type, header.
+
+    `partitions` is the number of tasks the files are shuffled into, the session's by default; one
+    per 128 MB of text is a good size.
     """
     keys = list(keys)
     rows = (
         files.select(F.xxhash64(*keys).alias("file_id"), *keys, F.col(content).alias("_content"))
-        .repartition(_partitions(files), "file_id")
+        .repartition(partitions or _partitions(files), "file_id")
         .select(*_ids(keys), F.posexplode(J.split_statements(F.col("_content"))).alias("pos", "_raw"))
         .filter(F.col("_raw") != "")
         .withColumns({"end_mark": J.end_mark(F.col("_raw")), "lead": J.lead_of(F.col("_raw"))})

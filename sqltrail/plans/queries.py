@@ -1033,3 +1033,31 @@ def file_documents(spark, sf_dir):
     return documents.select(
         "file_name", "package_name", _joined(F.col("imports")).alias("imports"), _joined(types).alias("types")
     )
+
+
+@query(
+    """SELECT file_name, 'Package: app.m' || m || chr(10) || 'Imports: java.util.List, app.util.Sql' || chr(10) || 'Class: Item' || k || chr(10)
+  || 'Annotation: Entity with no parameters' || chr(10) || 'Annotation: Table with parameters: [name: "TB_' || p || '", schema: "S' || c5 || '"]' || chr(10)
+  || '  Extends: Base<Long>' || chr(10) || '  Implements: Serializable, Comparable<Item' || k || '>' || chr(10) || '  Fields:' || chr(10)
+  || '    QUERY,  Type: String, Value: "SELECT a FROM T_' || c7 || ' t "+"WHERE u = ' || c9 || '"' || chr(10)
+  || '    qty,  Type: int, Value: ' || c9 || chr(10) || '      Annotation: Column with parameters: [name: "QTY"]' || chr(10)
+  || '  Methods:' || chr(10) || '    Item' || k || ',  Return Type: ' || chr(10) || '    load,  Return Type: String' || chr(10) || '      Annotation: Override' AS description
+FROM java_keys WHERE shape = 0
+UNION ALL SELECT file_name, 'Package: None' || chr(10) || 'Imports: java.sql.Connection, app.dao.Base' || c7 || chr(10) || 'Class: Dao' || k || chr(10)
+  || '  Extends: BaseDao' || chr(10) || '  Fields:' || chr(10) || '    status,  Type: String, Value: "' || s || '"' || chr(10)
+  || '    cache,  Type: List<Map<String,Long>>, Value: newHashMap<>()' || chr(10) || '  Methods:' || chr(10) || '    fill,  Return Type: void' || chr(10)
+  || 'Class: Inner' || k || chr(10) || '  Implements: Runnable' || chr(10) || '  Fields:' || chr(10) || '  Methods:' || chr(10) || '    run,  Return Type: void'
+FROM java_keys WHERE shape = 1
+UNION ALL SELECT file_name, 'Package: app.repo.r' || m || chr(10) || 'Imports: org.data.JpaRepository' || chr(10) || 'Class: Item' || k || 'Repo' || chr(10)
+  || 'Annotation: Repository with no parameters' || chr(10) || '  Extends: JpaRepository<Item' || c || ', Long>' || chr(10) || '  Fields:' || chr(10) || '  Methods:' || chr(10)
+  || '    findAll,  Return Type: List<Item' || c || '>' || chr(10)
+  || '      Annotation: Query with parameters: [value: "SELECT i FROM T_' || c7 || ' i", nativeQuery: true]' || chr(10)
+  || '    deleteById,  Return Type: void' || chr(10) || '      Annotation: Modifying' || chr(10)
+  || '      Annotation: Query with parameters: [Query: "DELETE FROM T_' || c9 || '"]' || chr(10)
+  || '    findById,  Return Type: Item' || c
+FROM java_keys WHERE shape = 2""",
+    "java_keys",
+)
+def document_text(spark, sf_dir):
+    documents = jav.file_documents(_statements(spark, sf_dir))
+    return rep.describe_documents(documents).select("file_name", "description")

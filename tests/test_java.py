@@ -162,3 +162,21 @@ def test_one_shuffle(spark):
     plan = J.string_builders(stmts(spark, SCOPED))._jdf.queryExecution().executedPlan().toString()
     shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
     assert len(shuffled) == 1, plan
+
+
+def test_described_document(spark):
+    from sqltrail.operators.report import describe_documents
+
+    code = """package p.q;
+import a.B; import c.D;
+@Entity @Table(name = "T", schema = "S") class A extends Base<X, Y> implements I {
+  @Id int id = 1; String none;
+  @Override void go() { }
+}"""
+    text = describe_documents(J.file_documents(stmts(spark, code))).first()["description"]
+    assert text.split("\n") == [
+        "Package: p.q", "Imports: a.B, c.D", "Class: A", "Annotation: Entity with no parameters",
+        'Annotation: Table with parameters: [name: "T", schema: "S"]', "  Extends: Base<X, Y>", "  Implements: I",
+        "  Fields:", "    id,  Type: int, Value: 1", "      Annotation: Id", "    none,  Type: String, Value: None",
+        "  Methods:", "    go,  Return Type: void", "      Annotation: Override",
+    ]
