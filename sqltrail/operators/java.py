@@ -408,7 +408,9 @@ def methods_with_strings(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> Da
         string_variables(stmts, keys)
         .filter(F.col("method_id").isNotNull())
         .groupBy(*_ids(keys), "method_id", "method_name", "method_line")
-        .agg(F.count_if(is_string).alias("strings"), F.count_if(~is_string).alias("builders"))
+        .agg(
+            F.count_if(is_string).cast("int").alias("strings"), F.count_if(~is_string).cast("int").alias("builders")
+        )
         .drop("method_id", "file_id")
     )
 
@@ -563,7 +565,7 @@ def scopes(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
         F.any_value("scope.name").alias("name"),
         F.any_value("scope.line_number").alias("line_number"),
         F.max(F.when(F.col("end_mark") == "}", F.col("_last_line"))).cast("int").alias("end_line"),
-        F.count(F.lit(1)).alias("statements"),
+        F.count(F.lit(1)).cast("int").alias("statements"),
     )
     return grouped.drop("file_id")
 

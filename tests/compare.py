@@ -18,6 +18,10 @@ def connect(sf_dir: str):
     return connection
 
 
+# Spark type by the other engine's type.
+TYPES = {"VARCHAR": "string", "INTEGER": "int", "BIGINT": "bigint", "BOOLEAN": "boolean", "DOUBLE": "double"}
+
+
 def _plain(value):
     if isinstance(value, float):
         return None if math.isnan(value) else round(value, 9)
@@ -40,6 +44,10 @@ def differences(spark, connection, name, plan, sql, sf_dir):
     wanted = cursor.fetchall()
     if sorted(columns) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(columns)}", len(found), seconds
+    types = {d[0]: TYPES.get(str(d[1]).upper(), str(d[1])) for d in cursor.description}
+    if types != dict(df.dtypes):
+        wrong = {c: (t, types[c]) for c, t in df.dtypes if types[c] != t}
+        return f"types {wrong}", len(found), seconds
     left, right = _rows(found, df.columns), _rows(wanted, columns)
     if left != right:
         extra, missing = left - right, right - left
