@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqltrail import constants as C
-from sqltrail.functions import java as J
 from sqltrail.functions import text as X
 from sqltrail.operators import catalog as cat
 from sqltrail.operators import edges as edg
