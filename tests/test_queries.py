@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as contract
 from compare import connect, differences
+from sqltrail.plans.queries import REGISTRY
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not there")
@@ -32,10 +33,10 @@ def connection():
 
 def test_every_operator_has_a_query_and_sql():
     assert set(EXPECTED) <= set(contract.queries())
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert all(query.sql is not None for query in REGISTRY.values())
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_query_equals_sql(spark, connection, name):
     problem, rows, _ = differences(
         spark, connection, name, contract.queries()[name], contract.oracle_sql()[name], SF_DIR
