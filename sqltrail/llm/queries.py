@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqltrail.llm.bpe import encode_documents
+from sqltrail.llm.brown_lm import class_model_scores
 from sqltrail.llm.exact_dedup import exact_groups
 from sqltrail.llm.packing import pack_documents
 from sqltrail.llm.simhash import simhash_groups
@@ -33,6 +34,10 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), vocabulary(), digests=True)
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_model_scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -48,7 +53,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op6_best_fit_packing, op8_simhash, op10_exact_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op5_brown_lm, op6_best_fit_packing, op8_simhash, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
