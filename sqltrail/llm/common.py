@@ -43,6 +43,23 @@ def remainder(column: str, by: int) -> Column:
     return F.crc32(F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))) % by
 
 
+def slot_of(*key: Column, slots: int) -> Column:
+    """The slot of a key in a map of `slots` bytes."""
+    return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
+
+
+def slot_map(found: DataFrame, slots: int) -> Column:
+    """A byte for each slot, 1 for those in `found` (column `slot`). At most `slots` ints reach the driver."""
+    marks = bytearray(slots)
+    for slot in found.select("slot").distinct().toPandas()["slot"]:
+        marks[slot] = 1
+    return F.lit(bytes(marks))
+
+
+def in_map(marks: Column, slot: Column) -> Column:
+    return F.substring(marks, slot + 1, F.lit(1)) == F.lit(b"\x01")
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of a piece hold about `most` bytes."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqltrail.llm.common import stored, text_of
+from sqltrail.llm.common import in_map, slot_map, slot_of, stored, text_of
 
 #: Characters of the second step.
 PREFIX_CHARS = 256
@@ -14,20 +14,12 @@ SLOTS = 1 << 18
 
 
 def _slot(*key: Column) -> Column:
-    return F.pmod(F.xxhash64(*key), F.lit(SLOTS)).cast("int")
+    return slot_of(*key, slots=SLOTS)
 
 
 def _repeated(slots: DataFrame) -> Column:
-    """A byte for each slot: 1 where more than one row of `slots` fell. At most SLOTS ints reach the driver."""
-    found = slots.groupBy("slot").count().where("count > 1").select("slot").toPandas()["slot"]
-    marks = bytearray(SLOTS)
-    for slot in found:
-        marks[slot] = 1
-    return F.lit(bytes(marks))
-
-
-def _marked(marks: Column, slot: Column) -> Column:
-    return F.substring(marks, slot + 1, F.lit(1)) == F.lit(b"\x01")
+    """The map of slots in which more than one row fell."""
+    return slot_map(slots.groupBy("slot").count().where("count > 1"), SLOTS)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -49,9 +41,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     prefix = F.xxhash64(F.substring("text", 1, PREFIX_CHARS))
 
     lengths = _repeated(rows.select(_slot(size).alias("slot")))
-    sized = rows.where(_marked(lengths, _slot(size)))
+    sized = rows.where(in_map(lengths, _slot(size)))
     starts = _repeated(sized.select(_slot(size, prefix).alias("slot")))
-    survives = _marked(lengths, _slot(size)) & _marked(starts, _slot(size, prefix))
+    survives = in_map(lengths, _slot(size)) & in_map(starts, _slot(size, prefix))
 
     columns = [F.col("doc_id"), size.cast("long").alias("n_bytes"), F.when(survives, F.sha2("text", 256)).alias("full_hash")]
     if digest:

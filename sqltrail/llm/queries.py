@@ -12,6 +12,7 @@ from sqltrail.llm.brown_lm import class_model_scores
 from sqltrail.llm.exact_dedup import exact_groups
 from sqltrail.llm.packing import pack_documents
 from sqltrail.llm.simhash import simhash_groups
+from sqltrail.llm.suffix_dedup import removal_digests
 from sqltrail.llm.toxicity import toxicity_scores
 
 
@@ -47,13 +48,17 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digests(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_groups(_table(spark, sf_dir, "documents"), digest=True)
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op5_brown_lm, op6_best_fit_packing, op8_simhash, op10_exact_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op5_brown_lm, op6_best_fit_packing, op8_simhash, op9_suffix_array_dedup, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
