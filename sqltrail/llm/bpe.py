@@ -184,7 +184,7 @@ class BytePairs:
 class Encoder:
     """Encodes whole texts and remembers a bounded number of words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = True):
         import regex
 
         self.pairs, self.words = BytePairs(path), regex.compile(WORDS)
@@ -194,7 +194,7 @@ class Encoder:
         self.latin_words = re.compile(
             rf" ?[{letters}]+| ?[{digits}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{spaces}{letters}{digits}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
         )
-        self.cuts = regex.compile("(" + "|".join(map(regex.escape, self.pairs.special)) + ")") if self.pairs.special else None
+        self.cuts = regex.compile("(" + "|".join(map(regex.escape, self.pairs.special)) + ")") if special and self.pairs.special else None
         self.known: dict[str, bytes] = {}
 
     def _cut(self, text: str) -> list[str]:
@@ -213,7 +213,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
-        special = {s: np.array([i], "<u4").tobytes() for s, i in self.pairs.special.items()}
+        special = {s: np.array([i], "<u4").tobytes() for s, i in self.pairs.special.items()} if self.cuts else {}
         cut = [self._cut(text) for text in texts]
         words = set().union(*cut) - special.keys()
         known = self.known
@@ -230,14 +230,14 @@ class Encoder:
                 del known[word]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The encoder of this Python worker for a vocabulary file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, special: bool = True) -> Encoder:
+    """The encoder of this Python worker for a vocabulary file; without `special`, special tokens are ordinary text."""
+    if (path, special) not in _ENCODERS:
+        _ENCODERS[path, special] = Encoder(path, special)
+    return _ENCODERS[path, special]
 
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"

@@ -51,7 +51,7 @@ def slot_of(*key: Column, slots: int) -> Column:
 def slot_map(found: DataFrame, slots: int) -> Column:
     """A byte for each slot, 1 for those in `found` (column `slot`). At most `slots` ints reach the driver."""
     marks = bytearray(slots)
-    for slot in found.select("slot").distinct().toPandas()["slot"]:
+    for slot in found.select("slot").distinct().agg(F.collect_list("slot")).first()[0]:
         marks[slot] = 1
     return F.lit(bytes(marks))
 

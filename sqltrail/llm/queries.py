@@ -10,12 +10,19 @@ from pyspark.sql import functions as F
 from sqltrail.llm.bpe import encode_documents
 from sqltrail.llm.brown_lm import class_model_scores
 from sqltrail.llm.exact_dedup import exact_groups
+from sqltrail.llm.imatch import edited_likeness
+from sqltrail.llm.licenses import scan_licenses
 from sqltrail.llm.packing import pack_documents
 from sqltrail.llm.simhash import simhash_groups
 from sqltrail.llm.suffix_dedup import removal_digests
+from sqltrail.llm.token_counts import count_tokens, token_blocks, write_token_files
 from sqltrail.llm.toxicity import toxicity_scores
 
 
+#: The end-of-text id of the vocabulary.
+END_OF_TEXT = 50256
+
+
 def vocabulary() -> str:
     """The vocabulary file of the encoding query."""
     import public_tokenizers
@@ -35,6 +42,18 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), vocabulary(), digests=True)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as flat files of tokens, and the tokens of each document found in those files again."""
+    folder = write_token_files(_table(spark, sf_dir, "documents"), vocabulary(), END_OF_TEXT)
+    found = count_tokens(token_blocks(spark, folder), END_OF_TEXT)
+    part = F.regexp_extract("file", r"part-(\d+)", 1).cast("int")
+    return found.select(part.alias("file"), "doc_no", "start", "n_tokens", "ended")
+
+
 def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_model_scores(_table(spark, sf_dir, "documents"))
 
@@ -43,6 +62,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op7_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_groups(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -58,7 +81,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op5_brown_lm, op6_best_fit_packing, op8_simhash, op9_suffix_array_dedup, op10_exact_dedup)
+    f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op3_license_scan, op4_token_counts, op5_brown_lm, op6_best_fit_packing, op7_imatch, op8_simhash, op9_suffix_array_dedup, op10_exact_dedup)
 }
 
 ORACLE_SQL: dict[str, str] = {
