@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sqltrail.llm.common import text_of
+from sqltrail.llm.common import in_map, slot_map, slot_of, text_of
 
 #: Least coefficient of a match.
 LEAST_DICE = 0.8
 #: Most bigrams of all templates that are sent to every task; beyond it they are joined by a shuffle.
 SENT_BIGRAMS = 100_000
+#: Slots of the map of the templates' bigrams.
+SLOTS = 1 << 16
 
 # Notices and texts of well-known licences, by SPDX identifier.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -69,39 +72,42 @@ def words_of(text: Column) -> Column:
 
 
 def bigrams_of(words: Column) -> Column:
-    """Distinct pairs of neighbouring words; a single word is a pair with nothing."""
+    """Hashes of the pairs of neighbouring words, repeats included; a single word is a pair with nothing."""
     n = F.size(words)
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: F.concat_ws(" ", a, b))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.greatest(n, F.lit(1))), lambda a, b: F.xxhash64(a, b))
     # The last word has no neighbour.
-    return F.when(n > 0, F.array_distinct(F.slice(pairs, F.lit(1), F.greatest(n - 1, F.lit(1)))))
+    return F.slice(pairs, F.lit(1), F.greatest(n - 1, F.lit(1)))
 
 
 def _template_bigrams(docs: DataFrame, templates: Mapping[str, tuple[str, ...]]) -> tuple[DataFrame, int]:
-    """`license, template, size, bigram`, and the number of rows at most."""
+    """`license, template, size, bigram, times`, and the number of rows at most."""
     listed = [(name, i, text) for name, texts in templates.items() for i, text in enumerate(texts)]
     values = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(i).alias("template"), F.lit(t).alias("text")) for n, i, t in listed])
     rows = docs.sparkSession.range(1).select(F.explode(values).alias("t")).select("t.*")
     sized = rows.select("license", "template", bigrams_of(words_of(F.col("text"))).alias("pairs"))
-    found = sized.select("license", "template", F.size("pairs").alias("size"), F.explode("pairs").alias("bigram"))
+    spread = sized.select("license", "template", F.size("pairs").alias("size"), F.explode("pairs").alias("bigram"))
+    found = spread.groupBy("license", "template", "size", "bigram").agg(F.count(F.lit(1)).alias("times"))
     return found, sum(len(text.split()) * 2 for _, _, text in listed)
 
 
-def _units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`doc_id, kind, number, words`: lines; paragraphs of several lines; texts of several paragraphs."""
-    text = text_of(text_col)
-    paragraphs = F.split(text, "\\n[ \\t\\r]*\\n")
-    kinds = F.concat(
-        F.transform(F.split(text, "\\n"), lambda x, i: F.struct(F.lit("line").alias("kind"), i.alias("number"), x.alias("text"))),
-        F.filter(
-            F.transform(paragraphs, lambda x, i: F.struct(F.lit("paragraph").alias("kind"), i.alias("number"), x.alias("text"))),
-            lambda p: F.contains(p["text"], F.lit("\n")),
-        ),
-        F.when(F.size(paragraphs) > 1, F.array(F.struct(F.lit("text").alias("kind"), F.lit(0).alias("number"), text.alias("text")))).otherwise(
-            F.array().cast("array<struct<kind: string, number: int, text: string>>")
-        ),
+def _units(docs: DataFrame, id_col: str, text_col: str, high: int) -> DataFrame:
+    """`doc_id, kind, number, words`: lines; paragraphs of several lines; texts of several paragraphs.
+
+    A text is normalised once, line by line. Longer units are put together from their lines, if they are in bounds.
+    """
+    paragraphs = F.transform(
+        F.split(text_of(text_col), "\n[ \t\r]*\n"), lambda p: F.transform(F.split(p, "\n"), lambda line: words_of(line))
+    )
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), paragraphs.alias("paragraphs"))
+    unit = lambda kind, number, words: F.struct(F.lit(kind).alias("kind"), number.alias("number"), words.alias("words"))
+    within = lambda lines: F.aggregate(lines, F.lit(0), lambda n, line: n + F.size(line)) <= high + 1
+    lines = F.transform(F.flatten("paragraphs"), lambda line, i: unit("line", i, line))
+    several = F.transform(
+        "paragraphs", lambda p, i: unit("paragraph", i, F.when((F.size(p) > 1) & within(p), F.flatten(p)))
     )
-    units = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.explode(kinds).alias("u"))
-    return units.select("doc_id", "u.kind", "u.number", words_of(F.col("u.text")).alias("words"))
+    all_lines = F.flatten("paragraphs")
+    text = F.array(unit("text", F.lit(0), F.when((F.size("paragraphs") > 1) & within(all_lines), F.flatten(all_lines))))
+    return rows.select("doc_id", F.explode_outer(F.concat(lines, several, text)).alias("u")).select("doc_id", "u.kind", "u.number", "u.words")
 
 
 def scan_licenses(
@@ -113,26 +119,37 @@ def scan_licenses(
 ) -> DataFrame:
     """`doc_id, kind, number, license, template, dice`: each template that a line, paragraph or text is like.
 
-    Both sides are lower-cased words; the coefficient is 2 |A and B| / (|A| + |B|) over distinct bigrams. A text
-    can reach `least` only if its size lies between least / (2 - least) times the template's and the inverse of
-    that, so units outside all templates' bounds are left out before bigrams are made, and pairs outside before
-    they are counted. Pairs arise from bigrams they share; texts are never shuffled, matches are few.
+    Both sides are lower-cased words; the coefficient is 2 |A and B| / (|A| + |B|) over their bigrams, repeats
+    counted. A text can reach `least` only if its size lies between least / (2 - least) times the template's and
+    the inverse of that: units outside all templates' bounds are left out before bigrams are made, and pairs
+    outside before they are counted. Within the bounds, at least that part of a unit's own bigrams must belong to
+    some template, which a map of fixed size tells. What is left is joined by bigrams; no text is shuffled.
 
-    Null and empty texts match nothing. Repeated rows of one id match as one. Other columns are ignored.
+    Null and empty texts match nothing. Rows that repeat an id match as one if their texts agree. Other columns
+    are ignored.
     """
     pairs, most = _template_bigrams(docs, templates)
     ratio = least / (2 - least)
     sizes = pairs.agg(F.min("size"), F.max("size")).first()
-    low, high = (int(-(-ratio * sizes[0] // 1)), int(sizes[1] / ratio)) if sizes[0] is not None else (1, 0)
-    units = _units(docs, id_col, text_col)
-    # Conditions in place of filters, which would be pushed down and make the arrays anew. Distinct bigrams are fewer
-    # than words, but words may repeat, so the upper bound holds for bigrams only.
-    units = units.select("doc_id", "kind", "number", F.when(F.size("words") >= low, bigrams_of(F.col("words"))).alias("pairs"))
-    n = F.size("pairs")
-    sized = units.select("doc_id", "kind", "number", n.alias("n"), F.when(n.between(low, high), F.col("pairs")).alias("pairs"))
-    spread = sized.select("doc_id", "kind", "number", "n", F.explode_outer("pairs").alias("bigram"))
+    if sizes[0] is None:
+        sizes = (1, 0)
+    low, high = math.ceil(ratio * sizes[0] - 1e-9), math.floor(sizes[1] / ratio + 1e-9)
+    known = slot_map(pairs.select(slot_of(F.col("bigram"), slots=SLOTS).alias("slot")), SLOTS)
+
+    # Conditions in place of filters, which would be pushed below the arrays and make them twice.
+    n = F.size("words") - 1
+    units = _units(docs, id_col, text_col, high).select(
+        "doc_id", "kind", "number", F.when((F.size("words") > 0) & F.greatest(n, F.lit(1)).between(low, high), bigrams_of(F.col("words"))).alias("pairs")
+    )
+    held = units.select(
+        "doc_id", "kind", "number", F.size("pairs").alias("n"), F.filter("pairs", lambda b: in_map(known, slot_of(b, slots=SLOTS))).alias("pairs")
+    )
+    spread = held.select(
+        "doc_id", "kind", "number", "n", F.explode_outer(F.when(F.size("pairs") >= ratio * F.col("n"), F.col("pairs"))).alias("bigram")
+    )
+    counted = spread.groupBy("doc_id", "kind", "number", "n", "bigram").agg(F.count(F.lit(1)).alias("held"))
     side = F.broadcast(pairs) if most <= SENT_BIGRAMS else pairs
-    met = spread.join(side, "bigram").where((F.col("n") >= F.col("size") * ratio) & (F.col("n") <= F.col("size") / ratio))
-    shared = met.groupBy("doc_id", "kind", "number", "license", "template", "n", "size").agg(F.countDistinct("bigram").alias("both"))
+    met = counted.join(side, "bigram").where((F.col("n") >= F.col("size") * ratio) & (F.col("n") <= F.col("size") / ratio))
+    shared = met.groupBy("doc_id", "kind", "number", "license", "template", "n", "size").agg(F.sum(F.least("held", "times")).alias("both"))
     dice = 2 * F.col("both") / (F.col("n") + F.col("size"))
     return shared.select("doc_id", "kind", "number", "license", "template", dice.alias("dice")).where(F.col("dice") >= least)
