@@ -49,15 +49,19 @@ def slot_of(*key: Column, slots: int) -> Column:
 
 
 def slot_map(found: DataFrame, slots: int) -> Column:
-    """A byte for each slot, 1 for those in `found` (column `slot`). At most `slots` ints reach the driver."""
-    marks = bytearray(slots)
+    """A bit for each slot, 1 for those in `found` (column `slot`), seven to a byte so that a byte is an ASCII sign.
+
+    At most `slots` ints reach the driver, and slots / 7 bytes every task.
+    """
+    marks = bytearray(slots // 7 + 1)
     for slot in found.select("slot").distinct().agg(F.collect_list("slot")).first()[0]:
-        marks[slot] = 1
+        marks[slot // 7] |= 1 << slot % 7
     return F.lit(bytes(marks))
 
 
 def in_map(marks: Column, slot: Column) -> Column:
-    return F.substring(marks, slot + 1, F.lit(1)) == F.lit(b"\x01")
+    sign = F.ascii(F.substring(marks, F.floor(slot / 7).cast("int") + 1, F.lit(1)).cast("string"))
+    return F.getbit(sign, slot % 7) == 1
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

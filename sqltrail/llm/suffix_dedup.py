@@ -26,6 +26,8 @@ WINDOW, LEAD = 200, 48
 LEFT = WINDOW - LEAD
 #: Contexts that a task sorts, about, beyond what the session's partitions give.
 SORTED_ROWS = 64_000
+#: Contexts of one lead that are compared in one task; leads with more are compared over many.
+GROUP_ROWS = 32_000
 #: Slots of the map of documents that may hold repeats; its size, whatever the input's.
 SLOTS = 1 << 20
 #: Bytes whose hashes are computed at a time.
@@ -265,6 +267,16 @@ class _Contexts:
         """Rows that might have windows beyond what their neighbours show."""
         return (self.before + self.after >= WINDOW) & ((self.a < self.before) | (self.b < self.after))
 
+    def settle(self, rows: np.ndarray, group: np.ndarray) -> None:
+        """All repeats among `rows`, whose leads are whole and numbered by `group`, after a first comparison by suffix."""
+        number = group[rows].astype(">u8").view(np.uint8).reshape(-1, 8)
+        self.compare(rows[multikey_quicksort(self.words(number, self.lefts[rows], self.rights[rows]))])
+        unsure = np.unique(group[rows][self.incomplete()[rows]])
+        by_group = rows[np.argsort(group[rows], kind="stable")]
+        lows, highs = np.searchsorted(group[by_group], unsure), np.searchsorted(group[by_group], unsure, "right")
+        for low, high in zip(lows, highs):
+            self.enumerate_windows(by_group[low:high])
+
     def enumerate_windows(self, rows: np.ndarray) -> None:
         """Compare every window of contexts of one lead."""
         seen: dict[tuple, int] = {}
@@ -317,20 +329,27 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield _rows_out(doc[o], place[o], rows.a[o], rows.b[o], rows.after[o], part, edge[o], [rows.right[i] for i in o], [rows.left[i] for i in o])
     inner = np.nonzero(~open_)[0]
     if len(inner):
-        number = group[inner].astype(">u8").view(np.uint8).reshape(-1, 8)
-        by_left = inner[multikey_quicksort(rows.words(number, rows.lefts[inner], rows.rights[inner]))]
-        rows.compare(by_left)
-        unsure = np.unique(group[inner][rows.incomplete()[inner]])
-        if len(unsure):
-            by_group = inner[np.argsort(group[inner], kind="stable")]
-            lows, highs = np.searchsorted(group[by_group], unsure), np.searchsorted(group[by_group], unsure, "right")
-            for low, high in zip(lows, highs):
-                rows.enumerate_windows(by_group[low:high])
+        rows.settle(inner, group)
         found = inner[(rows.b[inner] > 0) & ~dup[inner]]
         none = [None] * len(found)
         yield _rows_out(doc[found], place[found], rows.a[found], rows.b[found], rows.after[found], part, np.full(len(found), -1), none, none)
 
 
+def _settle_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All repeats of the leads that have come together in a task."""
+    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+    if table is None or not table.num_rows:
+        return
+    rows = _Contexts(table.column("right").to_pylist(), table.column("left").to_pylist())
+    order = multikey_quicksort(rows.words(rows.rights, rows.lefts))
+    group = np.zeros(len(order), np.int64)
+    group[order] = np.concatenate([[0], np.cumsum(~rows.compare(order))])
+    rows.settle(np.arange(len(order)), group)
+    at = np.nonzero(rows.b)[0]
+    columns = [table.column("doc").to_numpy()[at], table.column("place").to_numpy()[at], rows.a[at].astype(np.int32), rows.b[at].astype(np.int32)]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["doc", "place", "a", "b"])
+
+
 def _sort_lefts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort contexts of open leads by lead and the bytes before the place, and compare neighbours."""
     table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
@@ -357,6 +376,9 @@ def _across_edges(found: DataFrame, side: str) -> DataFrame:
                 by_part.setdefault(row["part"], {})[bit] = row
     parts = sorted(by_part)
     for here, there in zip(parts, parts[1:]):
+        # Other leads may stand at the ends; a lead that goes on has its rows at both.
+        if 2 not in by_part[here] or 1 not in by_part[there]:
+            continue
         pair = (by_part[here][2], by_part[there][1])
         both = _Contexts([bytes(r["right"]) for r in pair], [bytes(r["left"]) for r in pair])
         both.compare(np.arange(2))
@@ -371,11 +393,27 @@ def _tasks(df: DataFrame, rows: int) -> int:
 
 def _open_repeats(found: DataFrame) -> DataFrame:
     """`doc, place, a, b` for places whose lead reaches over the end of a task."""
-    opened = found.where("edge >= 0")
+    lead = F.substring("right", 1, LEAD)
+    opened = found.where("edge >= 0").withColumn("lead", lead)
+    sizes = stored(opened.groupBy("lead").agg(F.count(F.lit(1)).alias("rows")))
+    few = opened.join(sizes.where(f"rows <= {GROUP_ROWS}").select("lead"), "lead").select("doc", "place", "right", "left", "lead")
+    settled = few.repartition("lead").drop("lead").mapInArrow(_settle_leads, "doc long, place long, a int, b int")
+    if sizes.where(f"rows > {GROUP_ROWS}").isEmpty():
+        return settled
+    large = stored(opened.join(sizes.where(f"rows > {GROUP_ROWS}").select("lead"), "lead").drop("lead"))
+    return settled.unionByName(_large_repeats(large))
+
+
+def _large_repeats(opened: DataFrame) -> DataFrame:
+    """`doc, place, a, b` for the leads that no task holds whole, given their rows after the sort by suffix.
+
+    The same contexts are sorted by the bytes before the place too, and neighbours compared across tasks in both
+    orders. Where that leaves windows in doubt, all windows of the lead's contexts are counted by their hash.
+    """
     columns = ["doc", "place", "a", "b", "bound"]
-    rights = opened.select(*columns).unionByName(_across_edges(opened, "right"))
     lead = F.substring("right", 1, LEAD)
-    ordered = opened.select("doc", "place", "right", "left").repartitionByRange(_tasks(found, opened.count()), lead, "left", "right")
+    rights = opened.select(*columns).unionByName(_across_edges(opened, "right"))
+    ordered = opened.select("doc", "place", "right", "left").repartitionByRange(_tasks(opened, opened.count()), lead, "left", "right")
     lefts = stored(ordered.mapInArrow(_sort_lefts, SORTED))
     lefts = lefts.select(*columns).unionByName(_across_edges(lefts, "left"))
     sides = rights.withColumns({"after": F.col("bound"), "before": F.lit(0)}).unionByName(
