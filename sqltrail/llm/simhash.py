@@ -91,11 +91,12 @@ def links(nodes: DataFrame, most_bits: int = MOST_BITS, paired: int = PAIRED) ->
     counted = variants.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     counted = stored(counted)
     pairs = counted.where("n = 2").select("a", "b")
-    some = variants.join(counted.where(f"n > 2 AND n <= {paired}").select("key"), "key")
-    some = stored(some)
+    # The signatures are shuffled for this join at every size, so that its cost grows as its input.
+    members = stored(variants.join(counted.where("n > 2").select("key", "n").hint("merge"), "key"))
+    some = members.where(f"n <= {paired}").select("key", "fp")
     joined = some.withColumnRenamed("fp", "a").join(some.withColumnRenamed("fp", "b"), "key").where("a < b").select("a", "b")
     verified = pairs.unionByName(joined).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= most_bits)
-    large = variants.join(counted.where(f"n > {paired}").select("key"), "key", "left_semi").select("fp").distinct()
+    large = members.where(f"n > {paired}").select("fp").distinct()
     return verified.unionByName(_ball_links(large)).distinct()
 
 
