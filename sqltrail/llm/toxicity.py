@@ -16,14 +16,17 @@ from sqltrail.llm.common import pieces, remainder, ship_code, text_of
 
 #: Rows whose crc32(id as text) modulo FOLDS is HELD_OUT are never learnt from; those of CALIBRATION set the thresholds.
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 4
-#: Most labelled rows of each class and most bytes of text that the dictionaries and thresholds are fitted on.
-SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 24 << 20
+#: Most labelled rows and most bytes of text that the dictionaries and thresholds are fitted on.
+SAMPLE_ROWS, SAMPLE_BYTES = 9_000, 32 << 20
 #: Bytes of the dictionary of all text, of the part that tells a class, and of a window.
 COMMON_BYTES, CLASS_BYTES, WINDOW_BYTES = 16_384, 1_024, 48
 #: Bytes saved by the toxic dictionary that count at most, and from which a window counts as toxic.
 MOST_SAVED, TOXIC_SAVED = 8, 4
-#: A word start tells a class if its documents times the log of their ratio reach this; and its length in bytes.
-TELLING, START_BYTES = 30.0, 5
+#: A word start tells a class if its documents times the log of their ratio reach this share of the toxic documents, and
+#: this many at least; and its length in bytes.
+TELLING, LEAST_TELLING, START_BYTES = 0.25, 15.0, 5
+#: Log ratios from which a word start is toxic, or ordinary.
+TOXIC_RATIO, ORDINARY_RATIO = 1.4, 0.4
 
 _WORD = re.compile(rb"[A-Za-z\x80-\xff]{4,}")
 
@@ -102,55 +105,61 @@ def _telling(texts: list[tuple[bytes, int]]) -> dict[bytes, float]:
         counts[label].update({w[:START_BYTES] for w in _words(text)})
         sizes[label] += 1
     found = {}
+    enough = max(LEAST_TELLING, TELLING * sizes[1])
     for start in set(counts[0]) | set(counts[1]):
         ordinary, toxic = counts[0][start], counts[1][start]
         ratio = float(np.log((toxic + 0.5) / (sizes[1] + 1)) - np.log((ordinary + 0.5) / (sizes[0] + 1)))
-        if abs(ratio) * max(ordinary if ratio < 0 else toxic, 1) >= TELLING and toxic + ordinary >= 5:
+        if abs(ratio) * max(ordinary if ratio < 0 else toxic, 1) >= enough and toxic + ordinary >= 5:
             found[start] = ratio
     return found
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and bias of a regularised logistic regression, by Newton's method on scaled columns."""
+def _logistic(x: np.ndarray, y: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and bias of a regularised logistic regression, by Newton's method on scaled columns; rows count `each`."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
     z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w, ridge = np.zeros(z.shape[1]), np.diag([1.0] * x.shape[1] + [1e-6])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        w = w - np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + ridge, z.T @ (p - y) + ridge @ w)
+        w = w - np.linalg.solve((z * (each * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (each * (p - y)) + ridge @ w)
     return w[:-1] / scale, float(w[-1] - (w[:-1] * mean / scale).sum())
 
 
-def fit(texts: list[tuple[bytes, int, bool]]) -> ToxicityModel:
+def fit(texts: list[tuple[bytes, int, bool]], toxic_share: float = 0.5) -> ToxicityModel:
     """A model from (text, label, calibrates) rows; without both classes in each part it scores 0.
 
     The class part of a dictionary is trained on the words whose starts tell that class; the common part,
-    on all text. Weights are fitted and the threshold (best F1) is set on rows the dictionaries have not seen.
+    on all text. Weights are fitted and the threshold is set on rows the dictionaries have not seen, weighted so
+    that the classes have their share among all labelled rows (`toxic_share`). The threshold has the best F0.5,
+    which counts a clean document that is rejected for more than a toxic one that is kept.
     """
     learnt, held = [(t, y) for t, y, c in texts if not c], [(t, y) for t, y, c in texts if c]
     if {y for _, y in learnt} != {0, 1} or {y for _, y in held} != {0, 1}:
         return ToxicityModel(b"", b"")
     telling = _telling(learnt)
     parts = []
-    for label, sign in ((1, 1), (0, -1)):
-        words = ([w for w in _words(t) if telling.get(w[:START_BYTES], 0.0) * sign > 0.4] for t, y in learnt if y == label)
+    for label, sign, least in ((1, 1, TOXIC_RATIO), (0, -1, ORDINARY_RATIO)):
+        words = ([w for w in _words(t) if telling.get(w[:START_BYTES], 0.0) * sign > least] for t, y in learnt if y == label)
         parts.append(_train(CLASS_BYTES, [b" " + b" ".join(w) for w in words if w]))
     common = _train(COMMON_BYTES, [t[:4096].lower() for t, _ in learnt])
     bare = ToxicityModel(common + parts[0], common + parts[1])
     compressors = bare.compressors()
     x = np.array([bare.features(t, compressors) for t, _ in held])
     y = np.array([label for _, label in held], float)
-    weights, bias = _logistic(x, y)
+    each = np.where(y == 1, toxic_share / y.mean(), (1 - toxic_share) / (1 - y.mean()))
+    weights, bias = _logistic(x, y, each)
     z = x @ weights + bias
     order = np.argsort(-z, kind="stable")
-    hits = np.cumsum(y[order])
-    best = int(np.argmax(2 * hits / (np.arange(1, len(y) + 1) + y.sum())))
+    hits, misses = np.cumsum((each * y)[order]), np.cumsum((each * (1 - y))[order])
+    total = (each * y).sum()
+    best = int(np.argmax(1.25 * hits / (1.25 * hits + 0.25 * (total - hits) + misses)))
     below = z[order[best + 1]] if best + 1 < len(y) else z[order[best]] - 1
     return ToxicityModel(bare.toxic, bare.ordinary, tuple(weights.tolist()), bias - float(z[order[best]] + below) / 2)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES):
-    """At most `rows` labelled rows of each class that may be learnt from, by a hash of their ids, within `most_bytes`.
+    """At most `rows` labelled rows that may be learnt from, by a hash of their ids, within `most_bytes`; and the share
+    of toxic ones among all. Single texts of over an eighth of `most_bytes` are not learnt from.
 
     A document with several labels counts as toxic if one says so; null ids and labels are left out.
     """
@@ -158,19 +167,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     known = known.where(remainder("doc_id", FOLDS) != HELD_OUT).withColumn("order", F.xxhash64("doc_id"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).alias("size"))
     known = known.join(ids, "doc_id")
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    share = counts.get(1, 0) / max(1, sum(counts.values()))
     picked: list[tuple[int, int]] = []
-    for label in (0, 1):
-        held = 0
-        for row in known.where(F.col("toxic") == label).orderBy("order", "doc_id").limit(rows).collect():
-            if held + row["size"] <= most_bytes // 2:
-                held += row["size"]
-                picked.append((row["doc_id"], label))
+    held = 0
+    for row in known.orderBy("order", "doc_id").limit(rows).collect():
+        if row["size"] > most_bytes // 8:
+            continue
+        held += row["size"]
+        if held > most_bytes:
+            break
+        picked.append((row["doc_id"], row["toxic"]))
     spark = docs.sparkSession
     small = spark.createDataFrame(picked, "doc_id long, toxic int").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
     found = texts.join(F.broadcast(small), "doc_id").select("text", "toxic", (remainder("doc_id", FOLDS) == CALIBRATION).alias("c"), "doc_id")
     rows_ = sorted(found.collect(), key=lambda r: (r["doc_id"], bytes(r["text"])))
-    return [(bytes(r["text"]), r["toxic"], r["c"]) for r in rows_]
+    return [(bytes(r["text"]), r["toxic"], r["c"]) for r in rows_], share
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -181,7 +194,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     Only the text enters the score. Null and empty texts score as a text without windows. Without labels
     of both classes every score is 0. Other columns are ignored, repeated rows score alike.
     """
-    model = fit(labelled_sample(docs, labels))
+    model = fit(*labelled_sample(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model.compressors()
