@@ -436,7 +436,7 @@ def _large_repeats(opened: DataFrame) -> DataFrame:
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """`_doc, _tag, spans`: for documents with repeats, what repeated windows cover, as (start, end) that may overlap."""
+    """`_doc, _tag, _spans`: for documents with repeats, what repeated windows cover, as (start, end) that may overlap."""
     marks = stored(_marks(docs))
     places = marks.where("rep").select(
         F.col("doc").alias("_doc"),
@@ -460,7 +460,7 @@ def repeats(docs: DataFrame) -> DataFrame:
         F.shiftright("place", 32).alias("_tag"),
         F.struct(F.greatest(F.lit(0), at - F.col("a")).alias("start"), (at + F.col("b")).alias("end")).alias("span"),
     )
-    return spans.groupBy("_doc", "_tag").agg(F.collect_list("span").alias("spans"))
+    return spans.groupBy("_doc", "_tag").agg(F.collect_list("span").alias("_spans"))
 
 
 def merged(spans: list[dict], size: int) -> list[tuple[int, int]]:
@@ -496,7 +496,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with repeats, with their `spans`; and the others. Texts without repeats are not shuffled, as far as a
+    """Rows with repeats, with their `_spans`; and the others. Texts without repeats are not shuffled, as far as a
     map of fixed size tells them apart."""
     spans = stored(repeats(docs))
     slot = slot_of(F.col("_doc"), F.col("_tag"), slots=SLOTS)
@@ -516,7 +516,7 @@ def removal_digests(docs: DataFrame) -> DataFrame:
     """
     some, others = _split(docs.select("doc_id", "text"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    spans = F.coalesce("spans", F.expr("array()").cast("array<struct<start: int, end: int>>")).alias("spans")
+    spans = F.coalesce("_spans", F.expr("array()").cast("array<struct<start: int, end: int>>")).alias("_spans")
     cut = some.select(F.col("doc_id").cast("long").alias("doc_id"), "_text", spans).mapInArrow(_digests, schema)
     zero = F.lit(0).cast("long")
     return cut.unionByName(
@@ -548,11 +548,11 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = batch.schema.names
         for piece in pieces([batch], column=names.index("_text")):
             texts = []
-            for text, spans in zip(piece.column("_text").to_pylist(), piece.column("spans").to_pylist()):
+            for text, spans in zip(piece.column("_text").to_pylist(), piece.column("_spans").to_pylist()):
                 texts.append(_kept(text, _whole_signs(text, merged(spans, len(text)))).decode())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if n == "text" else piece.column(n) for n in names if n not in ("_text", "spans")],
-                [n for n in names if n not in ("_text", "spans")],
+                [pa.array(texts, pa.string()) if n == "text" else piece.column(n) for n in names if n not in ("_text", "_spans")],
+                [n for n in names if n not in ("_text", "_spans")],
             )
 
 
@@ -562,7 +562,7 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
     All other columns pass unchanged; no row is dropped. Rows without repeats keep their text, null included.
     """
     some, others = _split(docs)
-    covered = some.where("spans IS NOT NULL").select(*[F.col(f"`{c}`") for c in docs.columns], "_text", "spans")
+    covered = some.where("_spans IS NOT NULL").select(*[F.col(f"`{c}`") for c in docs.columns], "_text", "_spans")
     cut = covered.mapInArrow(_cut_texts, docs.schema)
-    left = some.where("spans IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
+    left = some.where("_spans IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
     return cut.unionByName(left).unionByName(others.select(*[F.col(f"`{c}`") for c in docs.columns]))

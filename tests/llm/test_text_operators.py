@@ -161,8 +161,10 @@ def test_toxicity_on_held_out_rows(spark):
     assert len(found) == len(rows) + 4
     held = [r for i, r in found.items() if i is not None and i < 5000 and zlib.crc32(str(i).encode()) % 5 == 0]
     assert all(r["held_out"] for r in held) and all(0 <= r["score"] <= 1 for r in found.values())
-    right = [r["predicted"] == (r["doc_id"] % 5 == 0) for r in held]
-    assert np.mean(right) > 0.9 and all((r["score"] >= 0.5) == r["predicted"] for r in found.values())
+    toxic, clean = ([r["score"] for r in held if (r["doc_id"] % 5 == 0) == t] for t in (True, False))
+    above = np.mean([(t > c) + 0.5 * (t == c) for t in toxic for c in clean])
+    assert above > 0.85 and np.mean([c < 0.5 for c in clean]) > 0.95
+    assert all((r["score"] >= 0.5) == r["predicted"] for r in found.values())
 
 
 def test_toxicity_without_labels(spark):
