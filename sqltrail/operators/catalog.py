@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sqltrail.constants import CATALOG_KINDS, KNOWN_OBJECT_TYPES, RELATION_TYPES
 from sqltrail.functions.text import cast_or_null, nullif_empty
-from sqltrail.operators.sizing import scaled_join
+from sqltrail.operators.sizing import fits_broadcast, scaled_join
 from sqltrail.schemas import CATALOG_TABLES, TableSpec
 
 
@@ -177,8 +177,10 @@ def catalog_wide(
 def edges_named(edges: DataFrame, code_object: DataFrame) -> DataFrame:
     """Edges whose two ends are code objects, with the names and types of both."""
     columns = ["name", "type_code"]
-    starts = scaled_join(edges, _prefixed(code_object, "from", "from_code", columns), ["from_code"])
-    return scaled_join(starts, _prefixed(code_object, "to", "to_code", columns), ["to_code"])
+    # Both ends look up the same table, which is measured once.
+    fits = fits_broadcast(code_object.select("code", *columns))
+    starts = scaled_join(edges, _prefixed(code_object, "from", "from_code", columns), ["from_code"], fits=fits)
+    return scaled_join(starts, _prefixed(code_object, "to", "to_code", columns), ["to_code"], fits=fits)
 
 
 def orphans(child: DataFrame, fk: str, parent: DataFrame, parent_key: str = "code") -> DataFrame:

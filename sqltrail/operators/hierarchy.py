@@ -19,11 +19,13 @@ WITH RECURSIVE tree (code, name, description, level, path) AS (
 SELECT code, name, description, level, path FROM tree ORDER BY path"""
 
 
-def domain_paths(domain: DataFrame, max_level: int = 1000) -> DataFrame:
+def domain_paths(domain: DataFrame, max_level: int | None = None) -> DataFrame:
     """Every node reachable from a root, with its level (roots 0) and `root->…->node` path, by path.
 
-    One join per level: the children of the level above. Each level is written to the checkpoint
-    folder, so it is computed once. Nodes on a cycle have no root above them and do not appear.
+    One join per level: the children of the level above. Children and each level are written to the
+    checkpoint folder, so the table is read once. It ends with the first level that brings no new code, so
+    a cycle that a root leads to, by a code with two rows, ends it too. Nodes on a cycle without a root
+    above them do not appear. With `max_level`, a deeper tree is an error.
     """
     nodes = domain.select("code", "name", "description", "parent_code")
     level = cut_lineage(
@@ -31,11 +33,11 @@ def domain_paths(domain: DataFrame, max_level: int = 1000) -> DataFrame:
             "code", "name", "description", F.lit(0).alias("level"), F.col("code").alias("path")
         )
     )
-    children = nodes.filter(F.col("parent_code").isNotNull())
+    children = cut_lineage(nodes.filter(F.col("parent_code").isNotNull()))
     found, depth = level, 0
     while not level.isEmpty():
         depth += 1
-        if depth > max_level:
+        if max_level is not None and depth > max_level:
             raise ValueError(f"more than {max_level} levels")
         above = level.select(F.col("code").alias("parent_code"), F.col("path").alias("_above"))
         level = cut_lineage(
@@ -44,6 +46,8 @@ def domain_paths(domain: DataFrame, max_level: int = 1000) -> DataFrame:
                 F.concat("_above", F.lit("->"), "code").alias("path"),
             )
         )
+        if level.join(found.select("code"), "code", "left_anti").isEmpty():
+            break
         found = found.unionByName(level)
     return found.orderBy("path")
 
@@ -54,7 +58,10 @@ def unreachable(domain: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 def run_sql(spark: SparkSession, text: str, max_levels: int = 1000, max_rows: int | None = None) -> DataFrame:
-    """Run one SQL text over the registered views. Recursion is bounded in levels, and in rows if asked."""
+    """Run one SQL text over the registered views. Recursion is bounded in levels, and in rows if asked.
+
+    The bounds are settings of the session, which Spark reads when the rows are asked for, so they stay set.
+    """
     spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_levels))
     spark.conf.set("spark.sql.cteRecursionRowLimit", str(-1 if max_rows is None else max_rows))
     return spark.sql(text)

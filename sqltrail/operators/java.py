@@ -24,12 +24,6 @@ def _ids(keys: Sequence[str]) -> list[str]:
     return ["file_id", *keys]
 
 
-def _partitions(df: DataFrame) -> int:
-    """Tasks for work on file texts: as many as the session shuffles into, and one per core at least."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def statements(
     files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str = "content", partitions: int | None = None
 ) -> DataFrame:
@@ -39,14 +33,14 @@ def statements(
     annotations and modifiers. `opener` is set on the first statement of a scope: its kind (type,
     anonymous, method, constructor or block), name, line and, for a type, header.
 
-    `partitions` is the number of tasks the files are shuffled into, the session's by default; one
-    per 128 MB of text is a good size.
+    `partitions` fixes the number of tasks the files are shuffled into.
     """
     keys = list(keys)
+    dealt = files.select(F.xxhash64(*keys).alias("file_id"), *keys, F.col(content).alias("_content"))
+    # Without a number, adaptive execution sizes the tasks by the text they get.
+    dealt = dealt.repartition(partitions, "file_id") if partitions else dealt.repartition("file_id")
     rows = (
-        files.select(F.xxhash64(*keys).alias("file_id"), *keys, F.col(content).alias("_content"))
-        .repartition(partitions or _partitions(files), "file_id")
-        .select(*_ids(keys), F.posexplode(J.split_statements(F.col("_content"))).alias("pos", "_raw"))
+        dealt.select(*_ids(keys), F.posexplode(J.split_statements(F.col("_content"))).alias("pos", "_raw"))
         .filter(F.col("_raw") != "")
         .withColumns({"end_mark": J.end_mark(F.col("_raw")), "lead": J.lead_of(F.col("_raw"))})
         .withColumn("_core", J.core_of(F.col("_raw"), F.col("lead"), F.col("end_mark")))
@@ -252,13 +246,16 @@ def _first_declared() -> Column:
 def fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     """Fields with type, initialiser text without white space (NULL if none) and annotations.
 
-    A declaration of several names gives its first.
+    A declaration of several names gives a row for each, numbered by `ordinal` from 0.
     """
-    return _field_rows(stmts, keys).withColumn("_first", _first_declared()).select(
-        *keys, "pos", "type_name", F.col("_first.name").alias("field_name"), "line_number",
+    return _field_rows(stmts, keys).select(
+        *keys, "pos", "type_name", "line_number", "body", "lead", "first_line",
+        F.posexplode(J.declarators(F.regexp_replace("body", J.FIELD_HEADER, ""))).alias("ordinal", "_declared"),
+    ).select(
+        *keys, "pos", "type_name", F.col("_declared.name").alias("field_name"), "line_number",
         J.compact(F.regexp_extract("body", J.FIELD_HEADER, 1)).alias("field_type"),
-        X.nullif_empty(J.compact(F.col("_first.value"))).alias("value"),
-        _annotations().alias("annotations"),
+        X.nullif_empty(J.compact(F.col("_declared.value"))).alias("value"),
+        _annotations().alias("annotations"), "ordinal",
     )
 
 

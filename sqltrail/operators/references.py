@@ -12,7 +12,6 @@ from sqltrail.functions import text as X
 from sqltrail.operators import sizing
 from sqltrail.operators.sizing import scaled_join
 from sqltrail.schemas import CODE_REFS
-from sqltrail.session import cut_lineage
 
 
 def to_lines(files: DataFrame, content: str = "content") -> DataFrame:
@@ -79,8 +78,7 @@ def map_references(
 
     One row per object and token occurrence: repeated tokens repeat, and a name that several owners
     have gives a row for each. One pass over the lines; they are not shuffled while the catalog is
-    within the broadcast bound. A larger catalog is first reduced to the names that the code uses,
-    from the distinct tokens of one more pass, so that most tokens still need no shuffle.
+    within the broadcast bound. Beyond it, tokens and names meet in a plain shuffle join.
     """
     names = (
         where_type(where_owner(catalog, owners), types)
@@ -91,11 +89,7 @@ def map_references(
     found = operation_tokens(lines, extractors, strict).withColumnRenamed("token", "object_name")
     if not with_operation:
         found = found.withColumn("operation", F.lit(""))
-    fits = sizing.fits_broadcast(names)
-    if not fits:
-        used = found.select("object_name").distinct()
-        names, fits = cut_lineage(names.join(used, ["object_name"], "left_semi")), None
-    hits = scaled_join(found, names, ["object_name"], fits=fits)
+    hits = scaled_join(found, names, ["object_name"], fits=sizing.fits_broadcast(names))
     return hits.withColumn("valid", F.lit("")).select(*CODE_REFS.fieldNames())
 
 

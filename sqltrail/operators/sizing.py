@@ -1,4 +1,4 @@
-"""Joins that broadcast a side only after measuring it, and salt the other side beyond the bound."""
+"""Joins that broadcast a side only after measuring it."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 2_000_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 32
 
 
 def fits_broadcast(
@@ -26,21 +25,17 @@ def scaled_join(
     small: DataFrame,
     on: Sequence[str],
     how: str = "inner",
-    salts: int = SALTS,
     max_rows: int = BROADCAST_ROWS,
     max_bytes: int = BROADCAST_BYTES,
     fits: bool | None = None,
 ) -> DataFrame:
     """Join on equal columns where `big` may hold most of its rows under one key.
 
-    A measured small side is broadcast, so `big` is not shuffled. A larger one is repeated once per
-    salt and joined on key and salt, so the rows of one key spread over `salts` tasks, which adaptive
-    execution can split again. Works for inner, left, left_semi and left_anti. `fits` passes on a
+    A measured small side is broadcast, so `big` is not shuffled. A larger one meets it in a plain shuffle
+    join, whose large partitions adaptive execution splits; no side is repeated. `fits` passes on a
     measurement already made.
     """
     on = list(on)
     if fits_broadcast(small, max_rows, max_bytes) if fits is None else fits:
         return big.join(F.broadcast(small), on, how)
-    salted = big.withColumn("_salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(repeated, on + ["_salt"], how).drop("_salt")
+    return big.join(small, on, how)

@@ -8,11 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqltrail.functions import text as X
+from sqltrail.operators.catalog import catalog_relations
 from sqltrail.operators.references import keep_known
 from sqltrail.schemas import FILE_KEY
 
-LINE_BLOCK = 10_000
-
 
 def tag_lines(lines: DataFrame, text: str = "line") -> DataFrame:
     """One row per table that a line reads or changes, once per match."""
@@ -55,25 +54,18 @@ def table_usage(tags: DataFrame) -> DataFrame:
     )
 
 
-def _blocked_lines(df: DataFrame, keys: Sequence[str], block: int, extra: Sequence[Column] = ()) -> DataFrame:
-    """Sorted distinct line numbers per key, `block` line numbers to a row at most."""
-    numbered = df.withColumn(
-        "lines_block", F.floor((F.col("line_number") - 1) / F.lit(block)).cast("int")
-    )
-    return numbered.groupBy(*keys, "lines_block").agg(
-        F.array_sort(F.collect_set("line_number")).alias("lines"), *extra
-    )
+def keep_relations(df: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rows whose `table_name` is a table, view or materialized view of the catalog; synonyms are none."""
+    return keep_known(df, catalog_relations(catalog))
 
 
-def usage_by_file(
-    tags: DataFrame, keys: Sequence[str] = FILE_KEY, block: int = LINE_BLOCK
-) -> DataFrame:
-    """Per table and file: the lines it is used on.
+def usage_by_file(tags: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
+    """Per table and file the lines it is used on, a row for each line.
 
-    A row covers `block` line numbers, so a file of any length gives rows of bounded width; a file
-    shorter than that gives one row per table.
+    Other columns that say where a file belongs, such as package and class, can be among `keys`. The lines
+    stay rows, because a file of the input may have any number of them.
     """
-    return _blocked_lines(tags, ["table_name", *keys], block)
+    return tags.select("table_name", *keys, "line_number").distinct()
 
 
 def classify_file_usage(
@@ -119,7 +111,7 @@ def classify_file_usage(
     )
     source = F.col("_source")
     return (
-        keep_known(found, catalog)
+        keep_relations(found, catalog)
         .groupBy(*keys, "table_name")
         .agg(
             F.bool_or(source == 0).alias("_named"),
@@ -136,15 +128,14 @@ def usage_simple(
     lines: DataFrame,
     catalog: DataFrame,
     keys: Sequence[str] = FILE_KEY,
-    block: int = LINE_BLOCK,
 ) -> DataFrame:
-    """Per file and known table: its lines and the flags of the whole file.
+    """Per file and known table: the list of its lines and the flags of the whole file.
 
-    `lines` are the lines of `files`. Rows are as in `usage_by_file`.
+    `lines` are the lines of `files`. A file is one input row, which bounds the list.
     """
     keys = list(keys)
-    named = keep_known(upper_identifiers(lines.select(*keys, "line_number", "line")), catalog)
-    numbered = _blocked_lines(named, [*keys, "table_name"], block)
+    named = keep_relations(upper_identifiers(lines.select(*keys, "line_number", "line")), catalog)
+    numbered = named.groupBy(*keys, "table_name").agg(F.array_sort(F.collect_set("line_number")).alias("lines"))
     flags = classify_file_usage(files, catalog, keys)
     return numbered.join(flags, [*keys, "table_name"])
 

@@ -298,6 +298,8 @@ def lineage_edges(spark, sf_dir):
 
 # --- SQL patterns and usage -----------------------------------------------------------------
 
+RELATIONS = "SELECT object_name FROM catalog WHERE object_type IN ('TABLE', 'VIEW', 'MATERIALIZED VIEW')"
+
 SQL_READS = r"list_concat(regexp_extract_all({0}, '(?is)SELECT\s.*?\sFROM\s+(\w+)', 1), regexp_extract_all({0}, '(?is)JOIN\s+(\w+)\s', 1))"
 SQL_CHANGES = r"regexp_extract_all({0}, '(?i)(INSERT INTO|UPDATE|DELETE FROM)\s+(\w+)', 2)"
 
@@ -346,23 +348,20 @@ def upper_identifiers(spark, sf_dir):
 
 @query(
     f"""WITH {TAGS} SELECT table_name, bool_or(read) AS read, bool_or(modified) AS modified, count(*) AS occurrences
-FROM tags WHERE table_name IN (SELECT object_name FROM catalog) GROUP BY table_name""",
+FROM tags WHERE table_name IN ({RELATIONS}) GROUP BY table_name""",
     "src_lines", "catalog",
 )
 def table_usage(spark, sf_dir):
-    return use.table_usage(ref.keep_known(_tags(spark, sf_dir), view(spark, sf_dir, "catalog")))
+    return use.table_usage(use.keep_relations(_tags(spark, sf_dir), view(spark, sf_dir, "catalog")))
 
 
 @query(
-    f"""WITH {TAGS} SELECT table_name, repo_name, file_path, file_name, CAST(floor((line_number - 1) / 10000) AS INT) AS lines_block,
-  array_to_string(list_sort(list_distinct(list(line_number))), ', ') AS lines
-FROM tags WHERE table_name IN (SELECT object_name FROM catalog) GROUP BY ALL""",
+    f"""WITH {TAGS} SELECT DISTINCT table_name, repo_name, file_path, file_name, line_number
+FROM tags WHERE table_name IN ({RELATIONS})""",
     "src_lines", "catalog",
 )
 def usage_by_file(spark, sf_dir):
-    known = ref.keep_known(_tags(spark, sf_dir), view(spark, sf_dir, "catalog"))
-    found = use.usage_by_file(known)
-    return found.withColumn("lines", _joined(F.col("lines").cast("array<string>"), ", "))
+    return use.usage_by_file(use.keep_relations(_tags(spark, sf_dir), view(spark, sf_dir, "catalog")))
 
 
 _USAGE_REPORT = """
@@ -413,7 +412,7 @@ _FILE_USAGE = r"""
 named AS (SELECT DISTINCT file_name, content, unnest(regexp_extract_all(content, '\b[A-Z_][A-Z0-9_]*\b')) AS table_name FROM java_files),
 usage AS (SELECT file_name, table_name, regexp_matches(content, '(?is)SELECT.*?FROM.*?\b' || table_name || '\b') AS read,
     regexp_matches(content, '(?is)(?:INSERT INTO|UPDATE|DELETE FROM)\b.*?\b' || table_name || '\b') AS modified
-  FROM named WHERE table_name IN (SELECT object_name FROM catalog))"""
+  FROM named WHERE table_name IN (SELECT object_name FROM catalog WHERE object_type IN ('TABLE', 'VIEW', 'MATERIALIZED VIEW')))"""
 
 
 @query(f"WITH {_FILE_USAGE} SELECT * FROM usage", "java_files", "catalog")
@@ -427,7 +426,7 @@ def file_usage_flags(spark, sf_dir):
     f"""WITH {_FILE_USAGE},
 numbered AS (SELECT file_name, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_number FROM java_files),
 found AS (SELECT DISTINCT file_name, line_number, unnest(regexp_extract_all(line, '\\b[A-Z_][A-Z0-9_]*\\b')) AS table_name FROM numbered)
-SELECT usage.file_name, usage.table_name, CAST(0 AS INT) AS lines_block, array_to_string(list_sort(list(line_number)), ', ') AS lines, read, modified
+SELECT usage.file_name, usage.table_name, array_to_string(list_sort(list(line_number)), ', ') AS lines, read, modified
 FROM usage JOIN found ON usage.file_name = found.file_name AND usage.table_name = found.table_name GROUP BY ALL""",
     "java_files", "catalog",
 )

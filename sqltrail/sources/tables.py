@@ -14,9 +14,13 @@ from sqltrail.operators.upsert import write_upsert
 from sqltrail.schemas import CATALOG_TABLES
 
 
-def read_object_list(spark: SparkSession, path: str) -> DataFrame:
-    """OWNER, OBJECT_TYPE and OBJECT_NAME of a CSV with a heading row; other columns are not read."""
-    raw = spark.read.options(header=True, escape='"', multiLine=False, encoding="utf-8").csv(path)
+def read_object_list(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """OWNER, OBJECT_TYPE and OBJECT_NAME of a CSV with a heading row; other columns are not read.
+
+    With `multi_line`, quoted fields may hold line ends, and a file is read by one task; without, large
+    files that hold none are read in parts.
+    """
+    raw = spark.read.options(header=True, escape='"', multiLine=multi_line, encoding="utf-8").csv(path)
     return raw.select(
         F.col("OWNER").alias("owner"),
         F.col("OBJECT_TYPE").alias("object_type"),
@@ -31,13 +35,14 @@ def read_catalog(
     mode: str = "owners",
     owner: str | None = None,
     upper_names: bool = True,
+    multi_line: bool = True,
 ) -> DataFrame:
     """The catalog of an object list.
 
     `owners` keeps the listed owners and every type, `known_types` the known types of all owners,
     `relations` the tables and views of one owner or all.
     """
-    objects = read_object_list(spark, path)
+    objects = read_object_list(spark, path, multi_line)
     if mode == "owners":
         return catalog_for_owners(objects, owners or ())
     if mode == "known_types":
@@ -49,7 +54,10 @@ def read_catalog(
 
 @dataclass(frozen=True)
 class CsvInfo:
-    """One file to load: where it is, how it is written, and where its columns go."""
+    """One file to load: where it is, how it is written, and where its columns go.
+
+    `multi_line` allows line ends in quoted fields; such a file is read by one task.
+    """
 
     csv_file: str
     table_name: str
@@ -58,6 +66,7 @@ class CsvInfo:
     column_order: Sequence[str] | None = None
     exclude_columns: Sequence[str] = ()
     column_mapping: Mapping[str, str] = field(default_factory=dict)
+    multi_line: bool = True
 
 
 def read_mapped_csv(spark: SparkSession, info: CsvInfo, order: str | None = None) -> DataFrame:
@@ -68,7 +77,7 @@ def read_mapped_csv(spark: SparkSession, info: CsvInfo, order: str | None = None
     """
     reader = spark.read.options(
         sep=info.separator, header=info.has_header, escape='"', encoding="utf-8", emptyValue="",
-        enforceSchema=False,
+        enforceSchema=False, multiLine=info.multi_line,
     )
     raw = reader.csv(info.csv_file)
     if not info.has_header:

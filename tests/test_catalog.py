@@ -183,3 +183,23 @@ def test_register_catalog(spark):
     assert spark.table("map").count() == 0
     K.drop_catalog(spark)
     assert not spark.catalog.tableExists("vw_domain")
+
+
+def test_line_ends_in_quoted_fields(spark, tmp_path):
+    objects = tmp_path / "o.csv"
+    objects.write_text('OWNER,OBJECT_NAME,OBJECT_TYPE,NOTE\nA,X,TABLE,"two\nlines"\nA,Y,VIEW,plain\n')
+    assert sorted(tuple(r) for r in tables.read_catalog(spark, str(objects), owners={"A"}).collect()) == [("A", "TABLE", "X"), ("A", "VIEW", "Y")]
+    rows = tmp_path / "d.csv"
+    rows.write_text('code;name;description;parent_code\na;A;"two\nlines";\nb;B;;a\na;A2;"last\none";\n')
+    info = tables.CsvInfo(str(rows), "domain")
+    read = tables.read_mapped_csv(spark, info).collect()
+    assert [tuple(r) for r in read] == [("a", "A", "two\nlines", None), ("b", "B", None, "a"), ("a", "A2", "last\none", None)]
+    written = tables.load_all(spark, [info], str(tmp_path / "db"))
+    got = sorted(tuple(r) for r in spark.read.parquet(written["domain"]).collect())
+    assert got == [("a", "A2", "last\none", None), ("b", "B", None, "a")]
+
+
+def test_reachable_cycle_ends(spark):
+    rows = [("A", "a", None, None), ("B", "b", None, "A"), ("C", "c", None, "B"), ("B", "b", None, "C")]
+    found = H.domain_paths(spark.createDataFrame(rows, DOMAIN)).collect()
+    assert [(r["code"], r["level"]) for r in found] == [("A", 0), ("B", 1), ("C", 2)]

@@ -100,7 +100,7 @@ public @Marker("a;{") abstract class Outer<T extends Comparable<T>> extends Base
     ]
     assert rows(J.fields(parsed), "type_name", "field_name", "field_type", "line_number") == [
         ("E", "code", "int", 11), ("Outer", "k", "int[]", 8), ("Outer", "m", "Map<String,List<Integer>>", 7),
-        ("Outer", "r", "Runnable", 9),
+        ("Outer", "n", "Map<String,List<Integer>>", 7), ("Outer", "r", "Runnable", 9),
     ]
     marks = J.annotations(parsed).filter("target = 'field'").orderBy("ordinal").collect()
     assert [(m["name"], m["line_number"]) for m in marks] == [("A", 6), ("B", 6)]

@@ -1,8 +1,7 @@
-"""Matching lines with a catalog: quirks, brute force, an earlier report, and the large-catalog way."""
+"""Matching lines with a catalog: quirks, written-out cases, an earlier report, and the large-catalog way."""
 
 import csv
 import os
-import re
 from collections import Counter
 
 import pytest
@@ -13,7 +12,6 @@ from sqltrail.functions import text as X
 from sqltrail.operators import references as R
 from sqltrail.operators import sizing
 from sqltrail.operators import usage as U
-from test_text import random_lines
 
 LINES = "repo_name string, file_path string, file_name string, ext string, line_number int, line string"
 
@@ -62,27 +60,28 @@ def test_repeats_owners_and_types(spark):
     assert R.map_references(lines, catalog, owners=["A"]).count() == 2
 
 
-def brute_force(texts, names):
-    found = Counter()
-    for number, text in enumerate(texts, 1):
-        for literal in re.findall(r'"(.*?)"', text.strip()):
-            operation = ""
-            for token in re.split(r"[,;:\s]\s*", literal):
-                if token.upper() in C.READ_KEYWORDS:
-                    operation = "R"
-                if token.upper() in C.MODIFY_KEYWORDS:
-                    operation = "M"
-                if token.upper() in names:
-                    found["O", token.upper(), number, operation] += 1
-    return found
-
-
-def test_equals_brute_force_with_and_without_broadcast(spark, monkeypatch):
-    texts = [f'"{line}' + '" "' + f'{line[::-1]}"' for line in random_lines(1000, seed=11)]
-    names = ["TB_A", "X", "FROM", "A_BT"]
-    lines, catalog = make_lines(spark, texts), make_catalog(spark, *names)
-    expected = brute_force(texts, names)
-    assert sum(expected.values()) > 300
+# Source lines with the hits they must give, as (name, operation).
+CASES = [
+    ('x = "select A from TB_A, TB_B";', [("FROM", "R"), ("TB_A", "R"), ("TB_B", "R")]),
+    ('"TB_A" + "update TB_B"', [("TB_A", ""), ("TB_B", "M")]),
+    ('"insert into TB_A select 1 from TB_B join TB_A;TB_A"', [("TB_A", "M"), ("FROM", "R"), ("TB_B", "R"), ("TB_A", "R"), ("TB_A", "R")]),
+    ('"merge TB_A:TB_B" "TB_A"', [("TB_A", "M"), ("TB_B", "M"), ("TB_A", "")]),
+    ('from TB_A // no literal', []),
+    ('"from S.TB_A (TB_B)"', [("FROM", "R")]),
+    ('"delete\tTB_A, from"', [("TB_A", "M"), ("FROM", "R")]),
+    ('" tb_a " "open', [("TB_A", "")]),
+    ('"from" "TB_A"', [("FROM", "R"), ("TB_A", "")]),
+    ('"join tb_b,,tb_b"', [("TB_B", "R"), ("TB_B", "R")]),
+]
+
+
+def test_hits_with_and_without_broadcast(spark, monkeypatch):
+    repeats = 50
+    texts = [text for text, _ in CASES] * repeats
+    expected = Counter()
+    for number, (_, wanted) in enumerate(CASES * repeats, 1):
+        expected.update(("O", name, number, operation) for name, operation in wanted)
+    lines, catalog = make_lines(spark, texts), make_catalog(spark, "TB_A", "TB_B", "FROM")
     small = R.map_references(lines, catalog)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
     assert hits(small) == expected
@@ -108,11 +107,13 @@ def test_lines_are_not_shuffled(spark):
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_salted_join_equals_join(spark, how):
-    big = spark.range(500).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+def test_join_beyond_the_bound_repeats_no_side(spark, how):
+    big = spark.range(500).select((F.col("id") % 7).alias("k"), F.create_map(F.lit("v"), "id").alias("v"))
     small = spark.createDataFrame([(0, "a"), (0, "b"), (3, "c"), (9, "d")], "k long, n string")
-    salted = sizing.scaled_join(big, small, ["k"], how, salts=5, max_rows=0)
-    assert Counter(salted.collect()) == Counter(big.join(small, "k", how).collect())
+    joined = sizing.scaled_join(big, small, ["k"], how, max_rows=0)
+    assert "Generate" not in joined._jdf.queryExecution().toString()
+    counted = lambda df: Counter(map(str, df.collect()))
+    assert counted(joined) == counted(big.join(small, "k", how))
 
 
 def test_size_check_counts_rows_and_bytes(spark):
@@ -137,32 +138,38 @@ def test_lower_case_catalog_names_match_only_when_upper_cased(spark):
     assert {r[0] for r in R.keep_known(tags, catalog, upper_names=False).collect()} == {"TB_B"}
 
 
-def test_file_flags_equal_brute_force(spark):
-    contents = [
-        "SELECT a FROM TB_A x TB_B", "TB_A then select FROMTB_A from", "DELETE FROMX TB_A", "delete from tb_a TB_A",
-        "UPDATE\nTB_B SELECT 1\n FROM (TB_A) ", "TB_A UPDATED TB_A", "INSERT INTO TB_A SELECT FROM", "TB_A SELECT é FROM éTB_A",
-    ]
-    files = spark.createDataFrame([("r", "p", str(i), c) for i, c in enumerate(contents)], "repo_name string, file_path string, file_name string, content string")
-    found = U.classify_file_usage(files, make_catalog(spark, "TB_A", "TB_B"))
+# Contents of a file, and (read, modified) of the tables it names in upper case.
+FLAGS = [
+    ("SELECT a FROM TB_A x TB_B", {"TB_A": (True, False), "TB_B": (True, False)}),
+    ("TB_A then select FROMTB_A from", {"TB_A": (False, False)}),
+    ("DELETE FROMX TB_A", {"TB_A": (False, False)}),
+    ("delete from tb_a TB_A", {"TB_A": (False, True)}),
+    ("UPDATE\nTB_B SELECT 1\n FROM (TB_A) ", {"TB_A": (True, True), "TB_B": (False, True)}),
+    ("TB_A UPDATED TB_A", {"TB_A": (False, False)}),
+    ("INSERT INTO TB_A SELECT FROM", {"TB_A": (False, True)}),
+    ("TB_A SELECT é FROM éTB_A", {"TB_A": (False, False)}),
+    ("SELECT FROM TB_S", {}),
+]
+
+
+def test_file_flags(spark):
+    files = spark.createDataFrame(
+        [("r", "p", str(i), content) for i, (content, _) in enumerate(FLAGS)],
+        "repo_name string, file_path string, file_name string, content string",
+    )
+    synonym = spark.createDataFrame([("O", "SYNONYM", "TB_S")], "owner string, object_type string, object_name string")
+    found = U.classify_file_usage(files, make_catalog(spark, "TB_A", "TB_B").unionByName(synonym))
     got = {(int(r["file_name"]), r["table_name"]): (r["read"], r["modified"]) for r in found.collect()}
-    expected = {}
-    for i, content in enumerate(contents):
-        for table in ("TB_A", "TB_B"):
-            if table in re.findall(r"\b([A-Z_][A-Z0-9_]*)\b", content):
-                expected[i, table] = (
-                    bool(re.search(rf"(?is)SELECT.*?FROM.*?\b{table}\b", content)),
-                    bool(re.search(rf"(?is)(INSERT INTO|UPDATE|DELETE FROM)\b.*?\b{table}\b", content)),
-                )
-    assert got == expected
-
-
-def test_line_blocks_bound_a_long_file(spark):
-    lines = spark.range(1, 26).select(
+    assert got == {(i, table): flags for i, (_, tables) in enumerate(FLAGS) for table, flags in tables.items()}
+
+
+def test_usage_by_file_has_the_same_shape_for_long_files(spark):
+    lines = spark.range(1, 25_001).select(
         F.lit("T").alias("table_name"), F.lit("r").alias("repo_name"), F.lit("p").alias("file_path"),
         F.lit("f").alias("file_name"), F.col("id").cast("int").alias("line_number"),
     )
-    found = U.usage_by_file(lines.unionAll(lines), block=10).orderBy("lines_block").collect()
-    assert [r["lines"] for r in found] == [list(range(1, 11)), list(range(11, 21)), list(range(21, 26))]
+    found = U.usage_by_file(lines.unionAll(lines))
+    assert found.count() == 25_000 and found.columns == ["table_name", "repo_name", "file_path", "file_name", "line_number"]
 
 
 # A report written earlier, to be reproduced from its own lines and objects.
