@@ -164,11 +164,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def _marks(docs: DataFrame) -> DataFrame:
     """`doc, place, dup, rep`: sampled places whose lead occurs more than once.
 
-    `dup`: the whole context occurs again. `rep`: the first place of its context where the lead has others.
+    `dup`: the whole context occurs again. `rep`: one place of its context where the lead has others.
     A place is the tag of its document above 32 bits of position.
     """
     rows = ship_code(_keyed(docs).select("_doc", "_tag", "_text"))
-    places = rows.mapInArrow(_sample, "lead long, context long, doc long, place long")
+    places = stored(rows.mapInArrow(_sample, "lead long, context long, doc long, place long"))
+    hot = stored(places.groupBy("lead").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > GROUP_ROWS).select("lead"))
+    marks = _ordered_marks(places.join(hot, "lead", "left_anti")).unionByName(_counted_marks(places.join(hot, "lead", "left_semi")))
+    return marks.where("dup OR rep")
+
+
+def _ordered_marks(places: DataFrame) -> DataFrame:
+    """`_marks` of leads with up to GROUP_ROWS places, by the neighbours in a lead's order."""
     ordered = W.partitionBy("lead").orderBy("context", "doc", "place")
     whole = ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     before, after = F.lag("context").over(ordered), F.lead("context").over(ordered)
@@ -177,7 +184,21 @@ def _marks(docs: DataFrame) -> DataFrame:
         "place",
         (before.eqNullSafe(F.col("context")) | after.eqNullSafe(F.col("context"))).alias("dup"),
         (~before.eqNullSafe(F.col("context")) & (F.first("context").over(whole) != F.last("context").over(whole))).alias("rep"),
-    ).where("dup OR rep")
+    )
+
+
+def _counted_marks(places: DataFrame) -> DataFrame:
+    """`_marks` of leads with more places, by counts that are combined before they are shuffled; no task gets a whole lead.
+
+    `rep` is the place of its context whose hash is least, not the first.
+    """
+    at = F.xxhash64("doc", "place")
+    contexts = stored(places.groupBy("lead", "context").agg(F.count(F.lit(1)).alias("n"), F.min(at).alias("chosen")))
+    leads = contexts.groupBy("lead").agg((F.min("context") != F.max("context")).alias("several"))
+    counted = contexts.join(leads, "lead").select("lead", "context", "n", "chosen", "several")
+    return places.join(counted, ["lead", "context"]).select(
+        "doc", "place", (F.col("n") > 1).alias("dup"), (F.col("several") & (at == F.col("chosen"))).alias("rep")
+    )
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
