@@ -2,8 +2,8 @@
 
 No grammar is used. A file is cut into statements at `;`, `{` and `}` outside literals, comments and
 annotation arguments; each statement is then read with patterns. Loops are possessive, which the
-regex engine runs without recursion, so long files and literals are safe. Limits: parentheses nest
-up to five deep and angle brackets up to three; a lambda body inside call arguments is cut out of them.
+regex engine runs without recursion, so long files and literals are safe. Limits: brackets nest up to
+DEPTH levels; a lambda body inside call arguments is cut out of them.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from sqltrail.functions.text import WORD, nullif_empty
 
+#: Levels that brackets of a kind may nest; a pattern grows by one copy of its loop for each.
+DEPTH = 32
 ID = rf"[{WORD}$]"
 TEXT_BLOCK = r'"""[\s\S]*?"""'
 STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
@@ -30,9 +32,16 @@ def _nested(opener: str, closer: str, depth: int) -> str:
     return pattern
 
 
-ARGS = _nested(r"\(", r"\)", 4)
-BRACES = _nested(r"\{", r"\}", 3)
-GENERIC = r"<[^<>]*+(?:<[^<>]*+(?:<[^<>]*+>[^<>]*+)*+>[^<>]*+)*+>"
+def _nested_angles(depth: int) -> str:
+    pattern = "[^<>]*+"
+    for _ in range(depth):
+        pattern = rf"[^<>]*+(?:<{pattern}>[^<>]*+)*+"
+    return pattern
+
+
+ARGS = _nested(r"\(", r"\)", DEPTH - 1)
+BRACES = _nested(r"\{", r"\}", DEPTH - 1)
+GENERIC = rf"<{_nested_angles(DEPTH - 1)}>"
 ANNOTATION = rf"@(?!interface\b){ID}++(?:\.{ID}++)*+(?:\s*+\({ARGS}\))?+"
 STATEMENT = rf"(?:{LITERAL}|{COMMENT}|{ANNOTATION}|[^\"'/;{{}}@]++|[\"'/@])*+(?:[;{{}}]|\z)"
 

@@ -157,3 +157,13 @@ import a.B; import c.D;
         "  Fields:", "    id,  Type: int, Value: 1", "      Annotation: Id", "    none,  Type: String, Value: None",
         "  Methods:", "    go,  Return Type: void", "      Annotation: Override",
     ]
+
+
+def test_deep_nesting(spark):
+    for depth in (6, 30):
+        call = "g(" * depth + '"deep "' + ")" * depth
+        kept = "Map<Long, " * depth + "Set<Long>" + ">" * depth
+        parsed = stmts(spark, f'class A {{ {kept} kept; {kept} h(int a) {{ sb.append({call}).append("after"); }} }}').cache()
+        assert rows(J.string_builders(parsed), "content") == [("deep after",)]
+        assert rows(J.fields(parsed), "field_name", "field_type") == [("kept", kept.replace(" ", ""))]
+        assert rows(J.methods(parsed), "method_name", "return_type") == [("h", kept.replace(" ", ""))]
