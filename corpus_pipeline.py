@@ -7,12 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltrail.llm.common import stored
+from sqltrail.llm.common import stored, without
 from sqltrail.llm.exact_dedup import exact_groups
 from sqltrail.llm.packing import pack_documents
 from sqltrail.llm.simhash import simhash_groups
 from sqltrail.llm.suffix_dedup import cut_repeats
-from sqltrail.llm.toxicity import toxicity_scores
+from sqltrail.llm.toxicity import without_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -20,20 +20,23 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not hold for toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    toxic = toxicity_scores(docs, labels).where("predicted = 1").select("doc_id")
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(toxic["doc_id"]), "left_anti")
+    return without_toxic(docs, labels)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    dropped = exact_groups(docs).where("NOT kept").select("doc_id")
-    return docs.join(dropped, docs["doc_id"].eqNullSafe(dropped["doc_id"]), "left_anti")
+    dropped = exact_groups(docs).where("NOT kept").select("doc_id", F.col("full_hash").alias("text_sha256"))
+    return without(docs, dropped)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one with the smallest id."""
-    dropped = simhash_groups(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of documents whose fingerprints are linked, the one with the smallest id; a null id is larger than any other, and
+    of texts that share an id the one with the smallest hash stays."""
+    found = stored(simhash_groups(docs, digest=True))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
+    first = stored(found.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_sha256") == F.col("first.text_sha256"))
+    return without(docs, found.join(first, "root").where(~kept).select("doc_id", "text_sha256"))
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

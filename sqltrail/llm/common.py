@@ -19,6 +19,8 @@ from sqltrail.session import ensure_checkpoint_dir
 
 #: Bytes of text that a task works on at a time; a longer text is a piece of its own.
 PIECE_BYTES = 8 << 20
+#: Slots of the map of texts that are dropped; its size, whatever the input's.
+TEXT_SLOTS = 1 << 20
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -64,6 +66,21 @@ def in_map(marks: Column, slot: Column) -> Column:
     return F.getbit(sign, slot % 7) == 1
 
 
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """`docs` without the rows whose id and text are in `dropped` (`doc_id, text_sha256`); a null id is equal to itself.
+
+    Null text is the empty text. Texts that are not in `dropped` are not shuffled, as far as a map of fixed size tells.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    sha = F.sha2(text_of(), 256)
+    listed = stored(dropped.select(F.col("doc_id").alias("_dropped_id"), F.col("text_sha256").alias("_dropped_sha256")).distinct())
+    held = slot_map(listed.select(slot_of(F.col("_dropped_sha256"), slots=TEXT_SLOTS).alias("slot")), TEXT_SLOTS)
+    listed_slot = in_map(held, slot_of(sha, slots=TEXT_SLOTS))
+    same = F.col("doc_id").eqNullSafe(F.col("_dropped_id")) & (F.col("_text_sha256") == F.col("_dropped_sha256"))
+    some = docs.where(listed_slot).withColumn("_text_sha256", sha).join(listed, same, "left_anti")
+    return docs.where(~listed_slot).unionByName(some.select(*columns))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the texts of a piece hold about `most` bytes."""
     for batch in batches:

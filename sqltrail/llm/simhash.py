@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqltrail.llm.common import pieces, ship_code, stored
+from sqltrail.llm.common import pieces, ship_code, stored, text_of
 from sqltrail.llm.components import components
 
 #: Words of a shingle, seed of its hash, and bits that linked fingerprints may differ in.
@@ -44,13 +44,18 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for piece in pieces(batches):
         found = np.fromiter((fingerprint(t or b"") for t in piece.column(1).to_pylist()), np.uint64, piece.num_rows)
-        yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        columns = [piece.column(0), pa.array(found.view(np.int64)), *piece.columns[2:]]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", *piece.schema.names[2:]])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id, fp`: the fingerprint as a signed 64-bit integer."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    return ship_code(rows).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """`doc_id, fp`: the fingerprint as a signed 64-bit integer. `digest` adds `text_sha256`."""
+    rows = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"),
+        F.col(f"`{text_col}`").cast("binary").alias("text"),
+        *([F.sha2(text_of(text_col), 256).alias("text_sha256")] if digest else []),
+    )
+    return ship_code(rows).mapInArrow(_fingerprints, "doc_id long, fp long" + ", text_sha256 string" * digest)
 
 
 def _variants(nodes: DataFrame) -> DataFrame:
@@ -100,18 +105,19 @@ def links(nodes: DataFrame, most_bits: int = MOST_BITS, paired: int = PAIRED) ->
     return verified.unionByName(_ball_links(large)).distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
     """`doc_id, fp, component_id`: fingerprints, and the smallest id reachable over links of two bits or fewer.
 
     A-Z are lower-cased, words are runs without ASCII white space. Null, empty and blank texts have
     fingerprint 0 and link like any other. A text of fewer than three words is one shingle. Equal
     fingerprints are one node, so copies are never paired. Rows with a null id get the component of
     their fingerprint, and a component of null ids only has a null id. Other columns are ignored.
+    `digest` adds `text_sha256`, and `root`, the component's smallest fingerprint, which names it where ids repeat.
     """
-    prints = stored(fingerprints(docs, id_col, text_col))
+    prints = stored(fingerprints(docs, id_col, text_col, digest))
     nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = components(stored(links(nodes.select("fp"))))
     named = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = named.join(least, "root").select("fp", "component_id")
+    by_print = named.join(least, "root").select("fp", "component_id", *["root"] * digest)
     return prints.join(by_print, "fp")

@@ -211,3 +211,18 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
         (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out"),
     )
     return ship_code(rows).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs` that `toxicity_scores` does not predict to be toxic, each judged by its own text, with all columns."""
+    model = fit(*labelled_sample(docs, labels))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compressors = model.compressors()
+        for batch in batches:
+            at = batch.schema.names.index("text")
+            for piece in pieces([batch], column=at):
+                texts = piece.column(at).cast(pa.binary()).to_pylist()
+                yield piece.filter(pa.array([model.score(t or b"", compressors) < 0.5 for t in texts], pa.bool_()))
+
+    return ship_code(docs).mapInArrow(run, docs.schema)

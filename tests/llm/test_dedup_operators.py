@@ -256,3 +256,33 @@ def test_pipeline_stages(spark):
     for r in packed:
         got[r["doc_id"]] += r["length"]
     assert got == {i: len((t or "").encode().split()) + 1 for i, t in after.items()}
+
+
+def test_pipeline_judges_rows_and_not_ids(spark, tmp_path):
+    rng = random.Random(3)
+    docs, labels = [], []
+    for i in range(400):
+        toxic = i % 2
+        docs.append((i, words(rng, 40) + (" filthy scumbag vermin idiots" * 6 if toxic else "")))
+        labels.append((i, toxic))
+    clean, bad = words(rng, 60), words(rng, 40) + " filthy scumbag vermin idiots" * 6
+    docs += [(None, clean), (None, bad), (1000, clean + " x"), (1000, bad + " x")]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = corpus_pipeline.reject_toxic(spark, frame(spark, docs), str(tmp_path))
+    assert kept.columns == frame(spark, []).columns
+    got = {(r["doc_id"], r["text"]) for r in kept.collect()}
+    assert {(None, clean), (1000, clean + " x")} <= got and not {(None, bad), (1000, bad + " x")} & got
+
+    one, two, three = (words(rng, 80) for _ in range(3))
+    rows = [(None, one), (None, two), (5, one), (7, three), (7, two + " y"), (9, three)]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_copies(spark, frame(spark, rows), "").collect()]
+    assert Counter(got) == Counter([(None, two), (5, one), (7, two + " y"), (9, three)])
+
+    near = "a b c d"
+    rows = [(None, near), (None, near.upper()), (None, two), (5, "A b c d"), (7, three), (7, "a B c d"), (8, None), (8, one)]
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect()]
+    assert Counter(got) == Counter([(None, two), (5, "A b c d"), (7, three), (8, None), (8, one)])
+    # Components of null ids only, and two components whose smallest id is the same.
+    rows = [(None, near), (None, near.upper()), (None, two), (None, two.upper()), (7, three), (7, one), (8, three.upper()), (8, one.upper())]
+    got = Counter((r["doc_id"], r["text"].lower()) for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect())
+    assert got == Counter([(None, near), (None, two), (7, three), (7, one)])
