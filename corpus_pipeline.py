@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqltrail.llm.common import stored, without
+from sqltrail.llm.common import one_of_each, stored
 from sqltrail.llm.exact_dedup import exact_groups
 from sqltrail.llm.packing import pack_documents
 from sqltrail.llm.simhash import simhash_groups
@@ -24,19 +24,19 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest id."""
-    dropped = exact_groups(docs).where("NOT kept").select("doc_id", F.col("full_hash").alias("text_sha256"))
-    return without(docs, dropped)
+    """Of equal texts, one row: one with the largest id."""
+    found = exact_groups(docs).where("group_size > 1")
+    return one_of_each(docs, found.select("doc_id", F.col("full_hash").alias("text_sha256"), "kept"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents whose fingerprints are linked, the one with the smallest id; a null id is larger than any other, and
-    of texts that share an id the one with the smallest hash stays."""
+    """Of documents whose fingerprints are linked, one row: one with the smallest id; a null id is larger than any other,
+    and of texts that share an id the one with the smallest hash stays."""
     found = stored(simhash_groups(docs, digest=True))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
     first = stored(found.groupBy("root").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     kept = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_sha256") == F.col("first.text_sha256"))
-    return without(docs, found.join(first, "root").where(~kept).select("doc_id", "text_sha256"))
+    return one_of_each(docs, found.join(first, "root").select("doc_id", "text_sha256", kept.alias("kept")))
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,27 @@ def in_map(marks: Column, slot: Column) -> Column:
     return F.getbit(sign, slot % 7) == 1
 
 
+def one_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """`docs` with exactly one row of each group of copies, given rows of groups as `doc_id, text_sha256, kept`.
+
+    Rows with an id and a text that are not kept go. Where several rows have the id and the text that is kept, the one
+    whose columns have the least hash stays; such rows are combined in each task before they are shuffled.
+    """
+    found = stored(found.groupBy("doc_id", "text_sha256", "kept").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR NOT kept"))
+    rest = without(docs, found)
+    several = found.where("kept").select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha256"))
+    if several.isEmpty():
+        return rest
+    sha = F.sha2(text_of(), 256)
+    held = slot_map(several.select(slot_of(F.col("_kept_sha256"), slots=TEXT_SLOTS).alias("slot")), TEXT_SLOTS)
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*hashed)).alias("_row")
+    rows = docs.where(in_map(held, slot_of(sha, slots=TEXT_SLOTS)))
+    single = rows.groupBy(F.col("doc_id").alias("_doc_id"), sha.alias("_text_sha256")).agg(row)
+    same = F.col("_doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_text_sha256") == F.col("_kept_sha256"))
+    return rest.unionByName(single.join(several, same, "left_semi").select("_row.*"))
+
+
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """`docs` without the rows whose id and text are in `dropped` (`doc_id, text_sha256`); a null id is equal to itself.
 

@@ -286,3 +286,20 @@ def test_pipeline_judges_rows_and_not_ids(spark, tmp_path):
     rows = [(None, near), (None, near.upper()), (None, two), (None, two.upper()), (7, three), (7, one), (8, three.upper()), (8, one.upper())]
     got = Counter((r["doc_id"], r["text"].lower()) for r in corpus_pipeline.drop_near_copies(spark, frame(spark, rows), "").collect())
     assert got == Counter([(None, near), (None, two), (7, three), (7, one)])
+
+
+def test_pipeline_keeps_one_row_of_copies(spark, tmp_path):
+    rng = random.Random(5)
+    repeated, no_id, mixed, alone = (words(rng, 90) for _ in range(4))
+    rows = [(4, repeated), (4, repeated), (None, no_id), (None, no_id), (None, no_id), (None, mixed), (6, mixed), (None, alone), (9, None), (9, "")]
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    wanted = Counter([(4, repeated), (None, no_id), (6, mixed), (None, alone), (9, "")])
+    docs = corpus_pipeline.stored(frame(spark, rows))
+    near = [(r["doc_id"], r["text"] or "") for r in corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path)).collect()]
+    assert Counter(near) == wanted
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)))
+        got = Counter((r["doc_id"], r["text"] or "") for r in docs.collect())
+        assert got == (Counter([(i, t or "") for i, t in rows]) if name == "toxicity" else wanted)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r["length"] for r in packed) == sum(len(t.split()) + 1 for _, t in wanted)
