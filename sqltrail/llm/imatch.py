@@ -14,6 +14,8 @@ LEAST_SHARE, MOST_SHARE = 0.002, 0.1
 SLOTS = 1 << 20
 #: Random parts of the lexicon, and terms of a text that should fall into each.
 PARTS, TERMS = 32, 1.5
+#: Times that the whole lexicon is dealt into two wide parts, so that each term of a text is in one part of each deal.
+WIDE_DEALS = 2
 #: Bits of a part's hash; a part without terms of the text has no hash (-1).
 BITS = 16
 
@@ -73,29 +75,41 @@ def _hashes(dealt: str) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), of)
 
 
-def with_fingerprint(df: DataFrame, terms: str, name: str) -> DataFrame:
-    """`df` with the struct `name`: level, and the hashes of the parts at that level and the next.
+def _wide_hashes(terms: str, text: str) -> Column:
+    """For each half of each deal of the whole lexicon the hash of its terms; hashes of the text itself where it has none."""
 
-    `terms` is an array of distinct terms of the lexicon, in order; the column is dropped.
+    def of(deal: int, half: int) -> Column:
+        own = F.filter(terms, lambda t: F.getbit(F.xxhash64(t, F.lit("wide")), F.lit(deal)) == half)
+        return F.when(F.size(own) > 0, F.pmod(F.xxhash64(own), F.lit(1 << BITS)).cast("int")).otherwise(-1)
+
+    halves = [(deal, half) for deal in range(WIDE_DEALS) for half in (0, 1)]
+    own = [F.pmod(F.xxhash64(text, F.lit(i)), F.lit(1 << BITS)).cast("int") for i in range(len(halves))]
+    return F.when(F.size(terms) > 0, F.array(*[of(*h) for h in halves])).otherwise(F.array(*own))
+
+
+def with_fingerprint(df: DataFrame, terms: str, text: str, name: str) -> DataFrame:
+    """`df` with the struct `name`: level, the hashes of the parts at that level and the next, and of the wide parts.
+
+    `terms` is an array of distinct terms of the lexicon in `text`, in order; both columns are dropped.
     """
     low, high = f"{name}_low", f"{name}_high"
     out = df.withColumns({f"{name}_level": _level(terms)})
     out = out.withColumns({low: _dealt(terms, F.col(f"{name}_level")), high: _dealt(terms, F.col(f"{name}_level") + 1)})
-    made = F.struct(F.col(f"{name}_level").alias("level"), F.size(terms).alias("terms"), _hashes(low).alias("low"), _hashes(high).alias("high"))
-    return out.withColumn(name, made).drop(low, high, f"{name}_level", terms)
+    made = F.struct(F.col(f"{name}_level").alias("level"), F.size(terms).alias("terms"), _hashes(low).alias("low"), _hashes(high).alias("high"), _wide_hashes(terms, text).alias("wide"))
+    return out.withColumn(name, made).drop(low, high, f"{name}_level", terms, text)
 
 
 def as_text(print_: Column) -> Column:
-    """A fingerprint as text: level, then the parts' hashes, `----` where a part has no term."""
+    """A fingerprint as text: level, then the parts' hashes, the wide ones last, `----` where a part has no term."""
     digits = lambda hashes: F.array_join(F.transform(hashes, lambda h: F.when(h < 0, "----").otherwise(F.lpad(F.lower(F.hex(h)), 4, "0"))), "")
-    return F.concat_ws(":", print_["level"].cast("string"), digits(print_["low"]), digits(print_["high"]))
+    return F.concat_ws(":", print_["level"].cast("string"), digits(print_["low"]), digits(print_["high"]), digits(print_["wide"]))
 
 
 def likeness(one: Column, two: Column) -> Column:
     """Share of equal hashes among the parts that hold terms of either text, at a level both have.
 
-    Texts whose numbers of terms are further apart than two levels share none and have 0. Equal fingerprints
-    have 1, those without any term included.
+    The wide parts count at every level, so a difference in any term shows. Texts whose numbers of terms are further
+    apart than two levels share none and have 0. Equal fingerprints have 1; without any term, those of equal texts.
     """
 
     def share(x: Column, y: Column) -> Column:
@@ -103,12 +117,13 @@ def likeness(one: Column, two: Column) -> Column:
         same = F.size(F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: (p["x"] >= 0) & (p["x"] == p["y"])))
         return F.when(some > 0, same / some).otherwise(0.0)
 
+    parts = lambda print_, level: F.concat(print_[level], print_["wide"])
     return (
         F.when(one == two, 1.0)
         .when((one["terms"] == 0) | (two["terms"] == 0), 0.0)
-        .when(one["level"] == two["level"], (share(one["low"], two["low"]) + share(one["high"], two["high"])) / 2)
-        .when(one["level"] + 1 == two["level"], share(one["high"], two["low"]))
-        .when(one["level"] == two["level"] + 1, share(one["low"], two["high"]))
+        .when(one["level"] == two["level"], (share(parts(one, "low"), parts(two, "low")) + share(parts(one, "high"), parts(two, "high"))) / 2)
+        .when(one["level"] + 1 == two["level"], share(parts(one, "high"), parts(two, "low")))
+        .when(one["level"] == two["level"] + 1, share(parts(one, "low"), parts(two, "high")))
         .otherwise(0.0)
     )
 
@@ -149,12 +164,12 @@ _NO_ID = -(2**63)
 def imatch_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, fingerprint` for every row: equal texts have equal fingerprints, and `likeness` compares two.
 
-    Null is the empty text. A text without terms of the lexicon has a fingerprint without hashes.
+    Null is the empty text. A text without terms of the lexicon has hashes of itself.
     """
     words = lexicon(docs, text_col)
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), terms_of(text_of(text_col)).alias("all_terms"))
-    kept = rows.select("doc_id", F.array_sort(F.filter("all_terms", lambda t: in_map(words, _slot(t)))).alias("terms"))
-    return with_fingerprint(kept, "terms", "fingerprint")
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text_of(text_col).alias("text"), terms_of(text_of(text_col)).alias("all_terms"))
+    kept = rows.select("doc_id", "text", F.array_sort(F.filter("all_terms", lambda t: in_map(words, _slot(t)))).alias("terms"))
+    return with_fingerprint(kept, "terms", "text", "fingerprint")
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
@@ -184,10 +199,10 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     )
     known = lambda terms: F.array_sort(F.filter(terms, lambda t: in_map(words, _slot(t))))
     made = both.select(
-        "id", "mark", "next_id", "next_mark", "chars", F.sha2("edited", 256).alias("edited_sha256"),
+        "id", "mark", "next_id", "next_mark", "chars", "text", "edited", F.sha2("edited", 256).alias("edited_sha256"),
         known(terms_of(F.col("text"))).alias("terms"), known(terms_of(F.col("edited"))).alias("edited_terms"),
     )
-    made = stored(with_fingerprint(with_fingerprint(made, "terms", "print"), "edited_terms", "edited_print"))
+    made = stored(with_fingerprint(with_fingerprint(made, "terms", "text", "print"), "edited_terms", "edited", "edited_print"))
     following = made.select(F.col("id").alias("next_id"), F.col("mark").alias("next_mark"), F.col("print").alias("next_print"))
     joined = made.join(following.dropDuplicates(["next_id", "next_mark"]), ["next_id", "next_mark"])
     return joined.select(

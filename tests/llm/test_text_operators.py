@@ -272,6 +272,20 @@ def test_imatch_neighbours_and_edits(spark):
     assert np.mean([r["near_edited"] for r in long]) > 0.2 > 0.05 > np.mean([r["near_next"] for r in long])
 
 
+def test_imatch_shows_a_change_of_any_term_and_tells_texts_without_terms_apart(spark):
+    rng = random.Random(12)
+    stock = [f"wort{i}" for i in range(600)]
+    base = rng.sample(stock, 200)
+    rows = [(i, " ".join(rng.sample(stock, 5))) for i in range(1000)]
+    rows += [(2000 + i, " ".join(base[:i] + base[i + 1 :])) for i in range(60)]
+    rows += [(3000, "einzig"), (3001, "allein hier"), (3002, ""), (3003, None), (3004, "einzig")]
+    prints = {r["doc_id"]: r["text"] for r in imatch.imatch_fingerprints(frame(spark, rows)).select("doc_id", imatch.as_text(F.col("fingerprint")).alias("text")).collect()}
+    # Of the 60 texts each lacks another word.
+    assert len({prints[2000 + i] for i in range(60)}) == 60
+    assert len({prints[3000], prints[3001], prints[3002]}) == 3
+    assert prints[3000] == prints[3004] and prints[3002] == prints[3003]
+
+
 def test_imatch_equal_texts_ties_and_nulls(spark):
     rows = [(1, "one two three"), (2, "one two three"), (2, "one two three"), (3, None), (None, "one two three"), (None, "other")]
     found = imatch.edited_likeness(frame(spark, rows)).collect()
