@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from sqltrail.llm.bpe import encode_documents
 from sqltrail.llm.brown_lm import class_model_scores
+from sqltrail.llm.conversation_repair import damaged, repaired_conversations
+from sqltrail.llm.conversation_trie import prefix_trie, rebuilt_turns
+from sqltrail.llm.decontamination import contaminated_words
 from sqltrail.llm.exact_dedup import exact_groups
 from sqltrail.llm.imatch import edited_likeness
 from sqltrail.llm.licenses import scan_licenses
@@ -80,8 +83,30 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(damaged(_table(spark, sf_dir, "conversations")), copies_col="copies")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = rebuilt_turns(_table(spark, sf_dir, "conversations"))
+    return prefix_trie(turns, convs)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contaminated_words(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["after"] - s["first"])
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_bpe_codec, op3_license_scan, op4_token_counts, op5_brown_lm, op6_best_fit_packing, op7_imatch, op8_simhash, op9_suffix_array_dedup, op10_exact_dedup)
+    f.__name__: f
+    for f in (
+        op1_toxicity, op2_bpe_codec, op3_license_scan, op4_token_counts, op5_brown_lm, op6_best_fit_packing, op7_imatch, op8_simhash,
+        op9_suffix_array_dedup, op10_exact_dedup, op11_conversation_repair, op12_prefix_trie, op13_decontamination,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
