@@ -208,6 +208,31 @@ def _scorer(shared, scores: _Scores):
     return run
 
 
+def least_sent(counts: DataFrame, most: int = SENT_WORDS) -> int:
+    """The least count whose words and all more frequent ones are `most` at most, from a histogram of the counts.
+
+    Counts are binned in bounded steps: first by their number of binary digits, then within one such bin by 1,024ths of it.
+    """
+    low, high, above = 1, 1 << 62, 0
+    while True:
+        # The words with counts from `low` up to `high`, `above` of which are known to be sent.
+        step = max(1, -(-(high - low) // 1024))
+        bins = F.col("n").between(low, high - 1)
+        binned = F.floor(F.log2("n")) if (low, high) == (1, 1 << 62) else F.floor((F.col("n") - low) / step)
+        found = counts.where(bins).groupBy(binned.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("words")).collect()
+        for row in sorted(found, key=lambda r: -r["bin"]):
+            if above + row["words"] > most:
+                first = 1 << row["bin"] if (low, high) == (1, 1 << 62) else low + row["bin"] * step
+                after = first * 2 if (low, high) == (1, 1 << 62) else min(high, first + step)
+                break
+            above += row["words"]
+        else:
+            return low
+        if after - first == 1:
+            return after
+        low, high = first, after
+
+
 def _as_bytes(column: str) -> Column:
     return F.col(column).cast("binary").alias("text")
 
@@ -221,8 +246,8 @@ def class_model_scores(docs: DataFrame) -> DataFrame:
     transitions are smoothed by class frequencies, words with a class by shape by one count for each known
     word and one for all unknown ones. `base_score` is the add-one unigram score.
 
-    Counts of the SENT_WORDS most frequent words go to all tasks; counts of rarer words are joined to the
-    distinct words of each text, so vocabularies of any size are scored alike.
+    Counts of the most frequent words, SENT_WORDS at most, go to all tasks; counts of rarer words are joined to
+    the distinct words of each text, so vocabularies of any size are scored alike.
 
     Null and empty texts hold an end only. A null id belongs to the training rows. Without training rows
     all counts are zero. Repeated rows count and score each. Other columns are ignored.
@@ -237,19 +262,19 @@ def class_model_scores(docs: DataFrame) -> DataFrame:
     totals = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     train_tokens, known_words = totals[1] + ends, totals[0] + (ends > 0)
 
-    sent = counts.orderBy(F.desc("n"), "word").limit(SENT_WORDS).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    ordered = [bytes(w) for w in sent["word"]]
+    least = least_sent(counts)
+    sent = counts.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    ordered = sent["word"].to_pylist()
     clustered = min(CLUSTERED, len(ordered))
     unit = np.array([i if i < clustered else clustered + shape(w) for i, w in enumerate(ordered)], np.int64)
-    words = _Words({w: i for i, w in enumerate(ordered)}, sent["n"].to_numpy(np.int64), unit, clustered)
+    words = _Words({w: i for i, w in enumerate(ordered)}, sent["n"].to_numpy(), unit, clustered)
     shared = spark.sparkContext.broadcast(words)
-    least = int(words.counts[-1]) if len(ordered) == SENT_WORDS else 0
 
     # Bounded by the units, not by the corpus: at most (CLUSTERED + SHAPES + 1) squared rows reach the driver.
-    found = training.mapInArrow(_pair_counter(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = training.mapInArrow(_pair_counter(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
     units = words.units
     pairs = np.zeros(units * units, np.int64)
-    pairs[found["pair"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
+    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
     pairs = pairs.reshape(units, units)
     at = exchange(pairs, clustered)
 
@@ -277,8 +302,7 @@ def class_model_scores(docs: DataFrame) -> DataFrame:
     scored = ship_code(rows).mapInArrow(_scorer(shared, _Scores(at, moves, emits)), schema)
     scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
     rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
-    # A word that was not sent is no more frequent than the last that was.
-    rare = counts.where(F.col("n") <= least) if least else counts.where("false")
+    rare = counts.where(F.col("n") < least)
     joined = rest.join(rare, "word", "inner").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"), F.sum("times").alias("known")
     )

@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame
@@ -50,15 +51,20 @@ def slot_of(*key: Column, slots: int) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(slots)).cast("int")
 
 
-def slot_map(found: DataFrame, slots: int) -> Column:
+def slot_map(found: DataFrame, slots: int, literal: bool = False) -> Column:
     """A bit for each slot, 1 for those in `found` (column `slot`), seven to a byte so that a byte is an ASCII sign.
 
-    At most `slots` ints reach the driver, and slots / 7 bytes every task.
+    At most slots / 7 bytes reach the driver and every task. The map is stored and read as a subquery, so that no plan
+    holds it as a literal: the driver keeps the texts of plans, and each would repeat the map for each of its uses.
+    Functions over arrays do not take subqueries; a small map can be a `literal` for them.
     """
-    marks = bytearray(slots // 7 + 1)
-    for slot in found.select("slot").distinct().agg(F.collect_list("slot")).first()[0]:
-        marks[slot // 7] |= 1 << slot % 7
-    return F.lit(bytes(marks))
+    bit = F.expr("shiftleft(1, slot % 7)")
+    byte = found.groupBy(F.expr("slot div 7").cast("int").alias("byte")).agg(F.bit_or(bit).cast("byte").alias("bits")).toArrow()
+    marks = np.zeros(slots // 7 + 1, np.uint8)
+    marks[byte["byte"].to_numpy()] = byte["bits"].to_numpy()
+    if literal:
+        return F.lit(marks.tobytes())
+    return stored(found.sparkSession.createDataFrame([(marks.tobytes(),)], "marks binary")).scalar()
 
 
 def in_map(marks: Column, slot: Column) -> Column:
@@ -92,14 +98,18 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
     Null text is the empty text. Texts that are not in `dropped` are not shuffled, as far as a map of fixed size tells.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
     sha = F.sha2(text_of(), 256)
-    listed = stored(dropped.select(F.col("doc_id").alias("_dropped_id"), F.col("text_sha256").alias("_dropped_sha256")).distinct())
-    held = slot_map(listed.select(slot_of(F.col("_dropped_sha256"), slots=TEXT_SLOTS).alias("slot")), TEXT_SLOTS)
+    listed = stored(dropped.select(F.col("doc_id").alias("dropped_id"), F.col("text_sha256").alias("dropped_sha256")).distinct())
+    held = slot_map(listed.select(slot_of(F.col("dropped_sha256"), slots=TEXT_SLOTS).alias("slot")), TEXT_SLOTS)
     listed_slot = in_map(held, slot_of(sha, slots=TEXT_SLOTS))
-    same = F.col("doc_id").eqNullSafe(F.col("_dropped_id")) & (F.col("_text_sha256") == F.col("_dropped_sha256"))
-    some = docs.where(listed_slot).withColumn("_text_sha256", sha).join(listed, same, "left_anti")
-    return docs.where(~listed_slot).unionByName(some.select(*columns))
+    same = F.col("doc_id").eqNullSafe(F.col("dropped_id")) & (F.col("sha256") == F.col("dropped_sha256"))
+    some = docs.where(listed_slot).select(whole_row(docs), "doc_id", sha.alias("sha256")).join(listed, same, "left_anti")
+    return docs.where(~listed_slot).unionByName(some.select("row.*"))
+
+
+def whole_row(docs: DataFrame) -> Column:
+    """All columns as one, `row`, so that no name of theirs meets one of an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -34,7 +34,7 @@ def lexicon(docs: DataFrame, text_col: str = "text") -> Column:
     """The map of slots whose document frequency lies in the band, counted over all rows."""
     slots = docs.select(F.explode_outer(F.array_distinct(F.transform(terms_of(text_of(text_col)), _slot))).alias("slot"))
     n = docs.count()
-    return slot_map(slots.groupBy("slot").count().where(F.col("count").between(n * LEAST_SHARE, n * MOST_SHARE) & F.col("slot").isNotNull()).select("slot"), SLOTS)
+    return slot_map(slots.groupBy("slot").count().where(F.col("count").between(n * LEAST_SHARE, n * MOST_SHARE) & F.col("slot").isNotNull()).select("slot"), SLOTS, literal=True)
 
 
 def _level(terms: str) -> Column:

@@ -91,14 +91,14 @@ def _template_bigrams(docs: DataFrame, templates: Mapping[str, tuple[str, ...]])
 
 
 def _units(docs: DataFrame, id_col: str, text_col: str, high: int) -> DataFrame:
-    """`doc_id, kind, number, words`: lines; paragraphs of several lines; texts of several paragraphs.
+    """`row, doc_id, kind, number, words`: lines; paragraphs of several lines; texts of several paragraphs.
 
     A text is normalised once, line by line. Longer units are put together from their lines, if they are in bounds.
     """
     paragraphs = F.transform(
         F.split(text_of(text_col), "\n[ \t\r]*\n"), lambda p: F.transform(F.split(p, "\n"), lambda line: words_of(line))
     )
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), paragraphs.alias("paragraphs"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").alias("doc_id"), paragraphs.alias("paragraphs"))
     unit = lambda kind, number, words: F.struct(F.lit(kind).alias("kind"), number.alias("number"), words.alias("words"))
     within = lambda lines: F.aggregate(lines, F.lit(0), lambda n, line: n + F.size(line)) <= high + 1
     lines = F.transform(F.flatten("paragraphs"), lambda line, i: unit("line", i, line))
@@ -107,7 +107,8 @@ def _units(docs: DataFrame, id_col: str, text_col: str, high: int) -> DataFrame:
     )
     all_lines = F.flatten("paragraphs")
     text = F.array(unit("text", F.lit(0), F.when((F.size("paragraphs") > 1) & within(all_lines), F.flatten(all_lines))))
-    return rows.select("doc_id", F.explode_outer(F.concat(lines, several, text)).alias("u")).select("doc_id", "u.kind", "u.number", "u.words")
+    found = rows.select("row", "doc_id", F.explode_outer(F.concat(lines, several, text)).alias("u"))
+    return found.select("row", "doc_id", "u.kind", "u.number", "u.words")
 
 
 def scan_licenses(
@@ -125,7 +126,7 @@ def scan_licenses(
     outside before they are counted. Within the bounds, at least that part of a unit's own bigrams must belong to
     some template, which a map of fixed size tells. What is left is joined by bigrams; no text is shuffled.
 
-    Null and empty texts match nothing. Rows that repeat an id match as one if their texts agree. Other columns
+    Null and empty texts match nothing. Every row matches on its own, whatever ids repeat or are null. Other columns
     are ignored.
     """
     pairs, most = _template_bigrams(docs, templates)
@@ -134,22 +135,22 @@ def scan_licenses(
     if sizes[0] is None:
         sizes = (1, 0)
     low, high = math.ceil(ratio * sizes[0] - 1e-9), math.floor(sizes[1] / ratio + 1e-9)
-    known = slot_map(pairs.select(slot_of(F.col("bigram"), slots=SLOTS).alias("slot")), SLOTS)
+    known = slot_map(pairs.select(slot_of(F.col("bigram"), slots=SLOTS).alias("slot")), SLOTS, literal=True)
 
     # Conditions in place of filters, which would be pushed below the arrays and make them twice.
     n = F.size("words") - 1
     units = _units(docs, id_col, text_col, high).select(
-        "doc_id", "kind", "number", F.when((F.size("words") > 0) & F.greatest(n, F.lit(1)).between(low, high), bigrams_of(F.col("words"))).alias("pairs")
+        "row", "doc_id", "kind", "number", F.when((F.size("words") > 0) & F.greatest(n, F.lit(1)).between(low, high), bigrams_of(F.col("words"))).alias("pairs")
     )
     held = units.select(
-        "doc_id", "kind", "number", F.size("pairs").alias("n"), F.filter("pairs", lambda b: in_map(known, slot_of(b, slots=SLOTS))).alias("pairs")
+        "row", "doc_id", "kind", "number", F.size("pairs").alias("n"), F.filter("pairs", lambda b: in_map(known, slot_of(b, slots=SLOTS))).alias("pairs")
     )
     spread = held.select(
-        "doc_id", "kind", "number", "n", F.explode_outer(F.when(F.size("pairs") >= ratio * F.col("n"), F.col("pairs"))).alias("bigram")
+        "row", "doc_id", "kind", "number", "n", F.explode_outer(F.when(F.size("pairs") >= ratio * F.col("n"), F.col("pairs"))).alias("bigram")
     )
-    counted = spread.groupBy("doc_id", "kind", "number", "n", "bigram").agg(F.count(F.lit(1)).alias("held"))
+    counted = spread.groupBy("row", "doc_id", "kind", "number", "n", "bigram").agg(F.count(F.lit(1)).alias("held"))
     side = F.broadcast(pairs) if most <= SENT_BIGRAMS else pairs
     met = counted.join(side, "bigram").where((F.col("n") >= F.col("size") * ratio) & (F.col("n") <= F.col("size") / ratio))
-    shared = met.groupBy("doc_id", "kind", "number", "license", "template", "n", "size").agg(F.sum(F.least("held", "times")).alias("both"))
+    shared = met.groupBy("row", "doc_id", "kind", "number", "license", "template", "n", "size").agg(F.sum(F.least("held", "times")).alias("both"))
     dice = 2 * F.col("both") / (F.col("n") + F.col("size"))
     return shared.select("doc_id", "kind", "number", "license", "template", dice.alias("dice")).where(F.col("dice") >= least)

@@ -86,19 +86,21 @@ def pack(docs: DataFrame, lengths: Column, capacities: Sequence[int] = CAPACITIE
     """`doc_id, piece, start, length, shard, bin, offset, capacity`: a place for every token.
 
     `lengths` gives a row's tokens. A document over the largest capacity is cut into full pieces and a
-    rest. Pieces are dealt at random but repeatably to shards of about SHARD_TOKENS, whose number follows
-    the tokens; each shard is packed on its own, and (shard, bin) names a sequence. Null, zero and negative
+    rest. Pieces are dealt to shards of about SHARD_TOKENS, whose number follows the tokens, by a hash of their row and of
+    where it was read, so that equal rows are spread too; each shard is packed on its own, and (shard, bin) names a sequence. Null, zero and negative
     lengths give no rows. Rows that repeat an id are packed each, in the order of their position. Other
     columns are ignored.
     """
     largest = max(capacities)
-    sized = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), lengths.cast("long").alias("n")).where("n > 0")
+    sized = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), lengths.cast("long").alias("n"), F.monotonically_increasing_id().alias("read_at")
+    ).where("n > 0")
     total = sized.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(1, -(-total // SHARD_TOKENS))
-    cut = sized.select("doc_id", "n", F.posexplode(F.expr(f"sequence(0L, n - 1, {largest}L)")).alias("piece", "start"))
+    cut = sized.select("doc_id", "n", "read_at", F.posexplode(F.expr(f"sequence(0L, n - 1, {largest}L)")).alias("piece", "start"))
     pieces = cut.select(
         "doc_id", "piece", "start", F.least(F.col("n") - F.col("start"), F.lit(largest)).cast("long").alias("length"),
-        F.pmod(F.xxhash64("doc_id", "piece", "n"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "piece", "n", "read_at"), F.lit(shards)).alias("shard"),
     )
     schema = "doc_id long, piece int, start long, length long, shard long, bin long, offset long, capacity long"
     return ship_code(pieces).groupBy("shard").applyInArrow(_pack(tuple(capacities)), schema)

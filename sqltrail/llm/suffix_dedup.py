@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sqltrail.llm.common import in_map, pieces, ship_code, slot_map, slot_of, stored, text_of
+from sqltrail.llm.common import in_map, pieces, ship_code, slot_map, slot_of, stored, text_of, whole_row
 
 #: Bytes of a string that counts as repeated, of the part that a suffix is sampled by, and before it.
 WINDOW, LEAD = 200, 48
@@ -149,13 +149,13 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """All columns, and `_doc, _tag, _text`: the id (the smallest number for null), bits of a hash of the text, which
-    tell apart rows that share an id, and the text's bytes."""
-    text = text_of("text")
+    """All columns, and `_doc, _tag, _text`: two hashes of id and text, 95 bits together, so that rows that share an id but
+    not a text stay apart, and the text's bytes."""
+    text, named = text_of("text"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
     return docs.withColumns(
         {
-            "_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))),
-            "_tag": F.xxhash64(text).bitwiseAND(0x7FFFFFFF),
+            "_doc": F.xxhash64(named, text),
+            "_tag": F.xxhash64(F.lit(1), text, named).bitwiseAND(0x7FFFFFFF),
             "_text": text.cast("binary"),
         }
     )
@@ -571,10 +571,7 @@ def _cut_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts = []
             for text, spans in zip(piece.column("_text").to_pylist(), piece.column("_spans").to_pylist()):
                 texts.append(_kept(text, _whole_signs(text, merged(spans, len(text)))).decode())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(texts, pa.string()) if n == "text" else piece.column(n) for n in names if n not in ("_text", "_spans")],
-                [n for n in names if n not in ("_text", "_spans")],
-            )
+            yield pa.RecordBatch.from_arrays([piece.column("row"), pa.array(texts, pa.string())], ["row", "text"])
 
 
 def cut_repeats(docs: DataFrame) -> DataFrame:
@@ -582,8 +579,10 @@ def cut_repeats(docs: DataFrame) -> DataFrame:
 
     All other columns pass unchanged; no row is dropped. Rows without repeats keep their text, null included.
     """
-    some, others = _split(docs)
-    covered = some.where("_spans IS NOT NULL").select(*[F.col(f"`{c}`") for c in docs.columns], "_text", "_spans")
-    cut = covered.mapInArrow(_cut_texts, docs.schema)
-    left = some.where("_spans IS NULL").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return cut.unionByName(left).unionByName(others.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    rest = docs.select(whole_row(docs.drop("text")), "doc_id", "text")
+    some, others = _split(rest)
+    covered = some.where("_spans IS NOT NULL").select("row", "_text", "_spans")
+    cut = covered.mapInArrow(_cut_texts, covered.select("row", F.lit("").alias("text")).schema)
+    left = some.where("_spans IS NULL").select("row", "text")
+    rows = cut.unionByName(left).unionByName(others.select("row", "text"))
+    return rows.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from sqltrail.session import ensure_checkpoint_dir
 
 #: Tokens of a block, which is scanned at once; and blocks of a run, which are summed before runs are.
 BLOCK_TOKENS, RUN_BLOCKS = 1 << 20, 1024
+#: Blocks that a task scans, one after another.
+TASK_BLOCKS = 16
 #: Bytes of an id in the files.
 WIDTHS = {2: "<u2", 4: "<u4"}
 
@@ -47,44 +50,57 @@ def write_token_files(docs: DataFrame, path: str, end: int, folder: str | None =
     return folder
 
 
-def _scan(end: int, kind: str):
+def _scan(end: int, kind: str, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, ends = [], []
-            for block in batch.column(2).to_pylist():
-                ids = np.frombuffer(block, kind, len(block) // np.dtype(kind).itemsize)
-                sizes.append(len(ids))
-                ends.append(np.nonzero(ids == end)[0])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(ends, pa.list_(pa.int64()))],
-                ["file", "block", "size", "ends"],
-            )
+            for i in range(batch.num_rows):
+                file, block = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                data = batch.column(2)[i].as_py() if batch.num_columns > 2 else read_range(file, block * size, size)
+                ids = np.frombuffer(data, kind, len(data) // np.dtype(kind).itemsize)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([file]), pa.array([block]), pa.array([len(ids)], pa.int64()), pa.array([np.nonzero(ids == end)[0]], pa.list_(pa.int64()))],
+                    ["file", "block", "size", "ends"],
+                )
 
     return run
 
 
+def read_range(path: str, start: int, size: int) -> bytes:
+    """Up to `size` bytes of a file from `start` on, from any file system that Arrow opens."""
+    if path.startswith("file:"):
+        system, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        system, name = fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as file:
+        return file.read_at(size, start)
+
+
 def token_blocks(spark: SparkSession, folder: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """`file, block, data`: the files of a folder in blocks of `block_tokens` ids. A file may have up to 2 GB."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    size = block_tokens * width
-    blocks = files.where("length > 0").select(
-        F.col("path").alias("file"), "content", F.explode(F.expr(f"sequence(0, CAST((length - 1) div {size} AS INT))")).alias("block")
-    )
-    return blocks.select("file", "block", F.expr(f"substring(content, block * {size} + 1, {size})").alias("data"))
+    """`file, block`: the blocks of `block_tokens` ids that the files of a folder have, by their lengths alone.
+
+    What is in a block is read by the task that scans it. Blocks are dealt to tasks by a hash, TASK_BLOCKS to each, so
+    a file may have any length.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).where("length > 0")
+    last = F.expr(f"(length - 1) div {block_tokens * width}")
+    number = files.agg(F.coalesce(F.sum(last + 1), F.lit(0))).first()[0]
+    blocks = files.select(F.col("path").alias("file"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("block"))
+    return blocks.repartition(max(1, -(-number // TASK_BLOCKS)), "file", "block")
 
 
 def count_tokens(blocks: DataFrame, end: int, width: int = 2, block_tokens: int = BLOCK_TOKENS, run_blocks: int = RUN_BLOCKS) -> DataFrame:
     """`file, doc_no, start, n_tokens, ended` for each document of flat token files, in file order.
 
-    `blocks` has `file, block, data`: little-endian ids of `width` bytes, `block_tokens` in each block but a
-    file's last. Every block is searched on its own. A prefix scan over the blocks' counts and last ends gives
+    `blocks` has `file, block`, and `data` or else `file` is read: little-endian ids of `width` bytes, `block_tokens` in
+    each block but a file's last. A task holds one block at a time. Every block is searched on its own. A prefix scan over the blocks' counts and last ends gives
     each block the number of documents before it and the start of the one it goes on with; it runs over runs of
     `run_blocks` blocks, and over the runs, so no task holds all blocks of a large file. What follows the last
     end of a file is a document with `ended` false. An end id right after another is a document of no tokens.
     Bytes short of an id at the end of a file are left out. No blocks give no rows.
     """
-    rows = ship_code(blocks.select("file", F.col("block").cast("long").alias("block"), "data"))
-    scanned = rows.mapInArrow(_scan(end, WIDTHS[width]), "file string, block long, size long, ends array<long>")
+    given = ["data"] if "data" in blocks.columns else []
+    rows = ship_code(blocks.select("file", F.col("block").cast("long").alias("block"), *given))
+    scanned = rows.mapInArrow(_scan(end, WIDTHS[width], block_tokens * width), "file string, block long, size long, ends array<long>")
     offset = F.col("block") * block_tokens
     scanned = scanned.withColumns(
         {

@@ -161,27 +161,31 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS,
     """At most `rows` labelled rows that may be learnt from, by a hash of their ids, within `most_bytes`; and the share
     of toxic ones among all. Single texts of over an eighth of `most_bytes` are not learnt from.
 
-    A document with several labels counts as toxic if one says so; null ids and labels are left out.
+    A document with several labels counts as toxic if one says so; null ids and labels are left out. Rows that repeat an id
+    and a text count once, so the bounds hold for what reaches the driver.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(remainder("doc_id", FOLDS) != HELD_OUT).withColumn("order", F.xxhash64("doc_id"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text_of()).alias("size"))
+    text = text_of()
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).alias("size"), F.xxhash64(text).alias("hash")).distinct()
     known = known.join(ids, "doc_id")
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    picked: list[tuple[int, int]] = []
+    picked: list[tuple[int, int, int]] = []
     held = 0
-    for row in known.orderBy("order", "doc_id").limit(rows).collect():
+    for row in known.orderBy("order", "doc_id", "hash").limit(rows).collect():
         if row["size"] > most_bytes // 8:
             continue
         held += row["size"]
         if held > most_bytes:
             break
-        picked.append((row["doc_id"], row["toxic"]))
+        picked.append((row["doc_id"], row["toxic"], row["hash"]))
     spark = docs.sparkSession
-    small = spark.createDataFrame(picked, "doc_id long, toxic int").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
-    found = texts.join(F.broadcast(small), "doc_id").select("text", "toxic", (remainder("doc_id", FOLDS) == CALIBRATION).alias("c"), "doc_id")
+    small = spark.createDataFrame(picked, "doc_id long, toxic int, hash long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text"), F.xxhash64(text).alias("hash"))
+    # Of rows that repeat an id and a text, one.
+    once = texts.join(F.broadcast(small), ["doc_id", "hash"]).groupBy("doc_id", "hash", "toxic").agg(F.first("text").alias("text"))
+    found = once.select("text", "toxic", (remainder("doc_id", FOLDS) == CALIBRATION).alias("c"), "doc_id")
     rows_ = sorted(found.collect(), key=lambda r: (r["doc_id"], bytes(r["text"])))
     return [(bytes(r["text"]), r["toxic"], r["c"]) for r in rows_], share
 

@@ -13,6 +13,8 @@ import pytest
 import xxhash
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from sqltrail.llm import components, exact_dedup, simhash, suffix_dedup
 from sqltrail.llm.queries import ORACLE_SQL, QUERIES
 
@@ -303,3 +305,32 @@ def test_pipeline_keeps_one_row_of_copies(spark, tmp_path):
         assert got == (Counter([(i, t or "") for i, t in rows]) if name == "toxicity" else wanted)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert sum(r["length"] for r in packed) == sum(len(t.split()) + 1 for _, t in wanted)
+
+
+# --- rows without ids of their own ---
+
+
+def test_texts_of_equal_short_hashes_stay_apart(spark, monkeypatch):
+    """Rows that share what tells texts of an id apart, in 31 bits, are not cut for one another."""
+    rng = random.Random(8)
+    passage = words(rng, 80)
+    texts = [f"{words(rng, 60)} {passage}", words(rng, 140), f"{passage} {words(rng, 50)}"]
+    keyed = suffix_dedup._keyed
+    monkeypatch.setattr(suffix_dedup, "_keyed", lambda docs: keyed(docs).withColumn("_tag", F.lit(7).cast("long")))
+    found = suffix_dedup.removal_digests(frame(spark, [(None, t) for t in texts])).collect()
+    removed = {r["n_bytes"]: r["n_removed"] for r in found}
+    assert removed[len(texts[1])] == 0 and removed[len(texts[0])] > 200 and removed[len(texts[2])] > 200
+
+
+def test_columns_that_clash_pass_unchanged(spark):
+    rng = random.Random(9)
+    shared = words(rng, 90)
+    names = ["_text", "_doc", "_tag", "_spans", "_text_sha256", "_dropped_id", "row", "sha256", "dropped_id", "marks"]
+    rows = [(i, f"{words(rng, 30)} {shared}" if i < 3 else "same", *[f"{n}{i}" for n in names]) for i in range(5)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, {', '.join(f'{n} string' for n in names)}")
+    cut = suffix_dedup.cut_repeats(docs)
+    assert cut.columns == docs.columns
+    assert {r["doc_id"]: tuple(r)[2:] for r in cut.collect()} == {r[0]: r[2:] for r in rows}
+    kept = corpus_pipeline.drop_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert {r["doc_id"]: tuple(r)[2:] for r in kept.collect()} == {r[0]: r[2:] for r in rows if r[0] != 3}

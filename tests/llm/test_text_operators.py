@@ -295,3 +295,41 @@ def test_imatch_equal_texts_ties_and_nulls(spark):
     alone = imatch.edited_likeness(frame(spark, [(1, "abcdef")])).first()
     assert alone["edited_sha256"] == hashlib.sha256(b"abcdab").hexdigest() and alone["near_next"] == 1.0
     assert imatch.imatch_fingerprints(frame(spark, rows)).select(F.col("fingerprint.level")).count() == 6
+
+
+# --- bounds and row keys ---
+
+
+def test_licenses_of_rows_without_ids_stay_apart(spark):
+    halves = ["licensed under the apache license under the mit", "the mit license version 2 0 licensed under"]
+    assert licenses.scan_licenses(frame(spark, [(None, t) for t in halves])).count() == 0
+    whole = licenses.TEMPLATES["MIT"][0]
+    alone = licenses.scan_licenses(frame(spark, [(1, whole)])).collect()
+    assert sorted(map(tuple, licenses.scan_licenses(frame(spark, [(1, whole)] * 2)).collect())) == sorted([tuple(r) for r in alone] * 2)
+
+
+def test_labelled_sample_is_bounded_for_a_repeated_id(spark):
+    docs = frame(spark, [(4, f"text {i}") for i in range(300)] + [(4, "the same")] * 300 + [(9, "a"), (10, "b")])
+    labels = spark.createDataFrame([(4, 1), (9, 0), (10, 0)], "doc_id long, toxic int")
+    sample, _ = toxicity.labelled_sample(docs, labels, rows=20)
+    assert len(sample) <= 20
+    sample, _ = toxicity.labelled_sample(docs, labels, rows=1000)
+    assert sum(t == b"the same" for t, _, _ in sample) <= 1
+
+
+def test_equal_rows_are_dealt_to_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 100)
+    docs = frame(spark, [(None, "a b c")] * 300).repartition(4)
+    found = packing.pack_documents(docs).groupBy("shard").count().collect()
+    assert len(found) > 6 and max(r["count"] for r in found) < 150
+
+
+@pytest.mark.parametrize("most", [1, 5, 40, 200, 10_000])
+def test_words_that_are_sent_are_bounded(spark, most):
+    counts = [1] * 100 + [2] * 30 + [3, 3, 5, 9, 17, 900, 901, 5000]
+    table = spark.createDataFrame([(bytes([i % 256, i // 256]), n) for i, n in enumerate(counts)], "word binary, n long")
+    least = brown_lm.least_sent(table, most)
+    sent = sum(n >= least for n in counts)
+    assert sent <= most
+    below = max((n for n in counts if n < least), default=None)
+    assert below is None or sum(n >= below for n in counts) > most
