@@ -1,9 +1,13 @@
 """Java text as built-in column expressions: statements, declarations, annotations and calls.
 
-No grammar is used. A file is cut into statements at `;`, `{` and `}` outside literals, comments and
-annotation arguments; each statement is then read with patterns. Loops are possessive, which the
-regex engine runs without recursion, so long files and literals are safe. Limits: brackets nest up to
-DEPTH levels; a lambda body inside call arguments is cut out of them.
+No grammar is used. A file is cut into statements at `;`, `{` and `}` outside literals, comments,
+annotation arguments and initialisers in braces; each statement is then read with patterns. Loops are
+possessive, which the regex engine runs without recursion, so long files and literals are safe.
+
+Brackets nest to any depth. The patterns follow DEPTH levels; in files that nest deeper, `fold` walks
+the text's pieces with a running depth and stands other signs in for the brackets below those levels,
+which the patterns pass over and `unfold` turns back. A lambda body inside call arguments is cut out of
+them; an initialiser in braces is one value, classes inside it included.
 """
 
 from __future__ import annotations
@@ -13,8 +17,13 @@ from pyspark.sql import functions as F
 
 from sqltrail.functions.text import WORD, nullif_empty
 
-#: Levels that brackets of a kind may nest; a pattern grows by one copy of its loop for each.
-DEPTH = 32
+#: Levels of brackets that the patterns follow, with one copy of a loop for each; deeper ones are folded.
+DEPTH = 8
+BRACKETS = "(){}<>"
+#: What stands for deeper brackets: code points that are no characters and may not stand in a text that is exchanged.
+FOLDED = "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4\ufdd5"
+#: Pieces of a text that are walked together.
+RUN_PIECES = 128
 ID = rf"[{WORD}$]"
 TEXT_BLOCK = r'"""[\s\S]*?"""'
 STRING = r'"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"'
@@ -32,10 +41,10 @@ def _nested(opener: str, closer: str, depth: int) -> str:
     return pattern
 
 
-def _nested_angles(depth: int) -> str:
-    pattern = "[^<>]*+"
+def _nested_angles(depth: int, other: str = "[^<>]") -> str:
+    pattern = f"{other}*+"
     for _ in range(depth):
-        pattern = rf"[^<>]*+(?:<{pattern}>[^<>]*+)*+"
+        pattern = rf"{other}*+(?:<{pattern}>{other}*+)*+"
     return pattern
 
 
@@ -43,7 +52,16 @@ ARGS = _nested(r"\(", r"\)", DEPTH - 1)
 BRACES = _nested(r"\{", r"\}", DEPTH - 1)
 GENERIC = rf"<{_nested_angles(DEPTH - 1)}>"
 ANNOTATION = rf"@(?!interface\b){ID}++(?:\.{ID}++)*+(?:\s*+\({ARGS}\))?+"
-STATEMENT = rf"(?:{LITERAL}|{COMMENT}|{ANNOTATION}|[^\"'/;{{}}@]++|[\"'/@])*+(?:[;{{}}]|\z)"
+# Braces that a value begins with, as in `= {` and `[] {`, and those after `default`.
+_VALUE_BRACE = r"(?:(?<=[=\]]\s{0,9})|(?<=\bdefault\s{1,9}))\{"
+INITIALISER = rf"{_VALUE_BRACE}{BRACES}\}}"
+STATEMENT = rf"(?:{LITERAL}|{COMMENT}|{ANNOTATION}|{INITIALISER}|[^\"'/;{{}}@]++|[\"'/@])*+(?:[;{{}}]|\z)"
+# An opening bracket that the patterns cannot pass over: what it holds nests too deep, or is not closed.
+_IN_TYPE = r"[^<>;{}()=&|\"']"
+DEEP = (
+    rf"{LITERAL}|{COMMENT}|(?<deep>\({ARGS}\(|{_VALUE_BRACE}{BRACES}\{{|<{_nested_angles(DEPTH - 1, _IN_TYPE)}<)"
+)
+PIECE = rf"{LITERAL}|{COMMENT}|@{ID}++(?:\.{ID}++)*+\s*+\(|[(){{}}<>;]|[^\"'/@(){{}}<>;]++|[\"'/@]"
 
 # Words that may stand before a declaration.
 MODIFIERS = (
@@ -84,13 +102,78 @@ def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def is_deep(content: Column) -> Column:
+    """Whether brackets may nest below the levels that the patterns follow."""
+    return F.exists(_all(content, DEEP, 1), lambda found: found != "")
+
+
+def fold(content: Column) -> Column:
+    """`content` with other signs for the brackets below DEPTH levels, so that patterns of that depth hold.
+
+    Pieces (literals, comments, brackets, the rest) are walked in order with the depth of parentheses, of braces of an
+    initialiser and of angle brackets. Parentheses start anew at the end of a statement. The walk goes over runs of
+    RUN_PIECES pieces, whose texts are joined at the end, so its cost grows with the length of the text.
+    """
+    none = F.struct(*[F.lit(0).alias(c) for c in ("parens", "annotation", "braces", "angles")], F.lit("").alias("before"), F.lit("").alias("out"))
+
+    def after(s: Column, x: Column) -> Column:
+        parens, annotation, braces, angles = s["parens"], s["annotation"], s["braces"], s["angles"]
+        plain = annotation == 0
+        marks = x.startswith("@") & x.endswith("(")
+        opens, closes = (x == "(") | marks, x == ")"
+        value = (braces > 0) | s["before"].isin("=", "]", "default")
+        braces_after = F.when(plain & (x == "{") & value, braces + 1).when(plain & (x == "}"), F.greatest(braces - 1, F.lit(0))).otherwise(braces)
+        ends = plain & (braces == 0) & (braces_after == 0) & x.isin(";", "{", "}")
+        parens_after = F.when(opens, parens + 1).when(closes, F.greatest(parens - 1, F.lit(0))).when(ends, 0).otherwise(parens)
+        angles_after = (
+            F.when(x == "<", angles + 1).when(x == ">", F.greatest(angles - 1, F.lit(0)))
+            .when(x.rlike(r"^[(){};]$|^[^\"'/].*[=&|]|^[=&|]"), 0).otherwise(angles)
+        )
+        deep = (
+            F.when(opens | closes, F.greatest(parens, parens_after) > DEPTH)
+            .when(x.isin("{", "}"), plain & (F.greatest(braces, braces_after) > DEPTH))
+            .when(x.isin("<", ">"), F.greatest(angles, angles_after) > DEPTH).otherwise(F.lit(False))
+        )
+        bare = F.rtrim(x, F.lit(" \t\n\r\f"))
+        seen = F.when((bare == "") | x.rlike(r"^/[/*]"), s["before"]).when(bare.rlike(r"(?s)(^|\W)default$"), "default").otherwise(F.right(bare, F.lit(1)))
+        return F.struct(
+            parens_after.alias("parens"),
+            F.when(plain & marks, parens + 1).when(closes & (parens == annotation), 0).otherwise(annotation).alias("annotation"),
+            braces_after.alias("braces"), angles_after.alias("angles"), seen.alias("before"),
+            F.concat(s["out"], F.when(deep, F.translate(x, BRACKETS, FOLDED)).otherwise(x)).alias("out"),
+        )
+
+    def with_out(s: Column, out: Column) -> Column:
+        return F.struct(*[s[name].alias(name) for name in ("parens", "annotation", "braces", "angles", "before")], out.alias("out"))
+
+    def walk(s: Column, run: Column) -> Column:
+        last = F.aggregate(run, with_out(s["state"], F.lit("")), after)
+        return F.struct(last.alias("state"), F.array_append(s["outs"], last["out"]).alias("outs"))
+
+    pieces = _all(content, PIECE)
+    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / RUN_PIECES).cast("int")), lambda i: F.slice(pieces, i * RUN_PIECES + 1, F.lit(RUN_PIECES)))
+    start = F.struct(none.alias("state"), F.array().cast("array<string>").alias("outs"))
+    return F.array_join(F.aggregate(runs, start, walk)["outs"], "")
+
+
+def unfold(text: Column) -> Column:
+    """The brackets that `fold` replaced."""
+    return F.translate(text, FOLDED, BRACKETS)
+
+
 def split_statements(content: Column) -> Column:
-    """Statements with their end mark, comments included; together they are the whole content."""
-    return _all(content, STATEMENT)
+    """Statements with their end mark, comments included; together they are the whole content, deep brackets folded."""
+    return _all(F.when(is_deep(content), fold(content)).otherwise(content), STATEMENT)
 
 
 def without_comments(text: Column) -> Column:
-    return F.when(text.contains("/"), F.regexp_replace(text, rf"({LITERAL})|{COMMENT}", "$1")).otherwise(text)
+    """Text without its comments; the line ends inside them stay, so that lines can be counted in what is left."""
+    pieces = _all(text, rf"{LITERAL}|{COMMENT}|[^\"'/]++|[\"'/]")
+    shortened = lambda x: F.when(x.startswith("/*"), F.regexp_replace(x, r"[^\n]++", "")).when(x.startswith("//"), "").otherwise(x)
+    return (
+        F.when(~text.contains("/"), text).when(text.contains("/*") & text.contains("\n"), F.array_join(F.transform(pieces, shortened), ""))
+        .otherwise(F.regexp_replace(text, rf"({LITERAL})|{COMMENT}", "$1"))
+    )
 
 
 def end_mark(raw: Column) -> Column:
@@ -115,8 +198,8 @@ def body_of(core: Column) -> Column:
 
 
 def compact(text: Column) -> Column:
-    """Text without white space outside literals."""
-    return F.regexp_replace(without_comments(text), rf"({LITERAL})|\s++", "$1")
+    """Text without white space outside literals, with all its brackets."""
+    return unfold(F.regexp_replace(without_comments(text), rf"({LITERAL})|\s++", "$1"))
 
 
 def literal_texts(text: Column) -> Column:
@@ -189,7 +272,7 @@ def annotations_of(lead: Column, first_line: Column) -> Column:
         return F.struct(
             name.alias("name"),
             (first_line + newlines(before)).cast("int").alias("line_number"),
-            arguments.alias("arguments"),
+            unfold(arguments).alias("arguments"),
             entries.alias("parameters"),
         )
 
@@ -205,18 +288,46 @@ def parameter(annotation: Column, key: str) -> Column:
 
 
 def calls_of(code: Column) -> Column:
-    """`.append` chains of a statement: variable and chain text."""
+    """`.append` chains of a statement: variable, chain text, and the line ends before the chain."""
     found = F.filter(_all(code, CHAIN), lambda text: ~text.substr(1, 1).isin('"', "'"))
     variable = rf"^(?:this\s*+\.\s*+)?+{ID}++"
+    before = lambda text: F.substring(code, F.lit(1), F.instr(code, text) - 1)
     return F.transform(
         found,
         lambda text: F.struct(
             F.regexp_replace(F.regexp_extract(text, variable, 0), r"\s++", "").alias("variable"),
             F.regexp_replace(text, variable, "").alias("chain"),
+            F.when(code.contains("\n"), newlines(before(text))).otherwise(0).alias("lines"),
         ),
     )
 
 
+def fragments_of(chain: Column, line: Column) -> Column:
+    """String literals of a chain that begins in `line`: text and the line each stands in."""
+    pieces = _all(chain, rf"{LITERAL}|[^\"']++|[\"']")
+    numbered = F.transform(pieces, lambda piece, i: F.struct(piece.alias("piece"), i.alias("i")))
+    return F.transform(
+        F.filter(numbered, lambda p: p["piece"].startswith('"')),
+        lambda p: F.struct(
+            F.array_join(literal_texts(p["piece"]), "").alias("text"),
+            (line + F.when(chain.contains("\n"), newlines(F.array_join(F.slice(pieces, F.lit(1), p["i"]), ""))).otherwise(0)).cast("int").alias("line_number"),
+        ),
+    )
+
+
+def receiver_calls(code: Column) -> Column:
+    """Calls of a statement as receiver and method; a call on nothing or on `this` has an empty receiver.
+
+    Calls on what another call or a field of another object gives, and constructors, are left out.
+    """
+    pattern = (
+        rf"{LITERAL}|(?<![{WORD}$.])new\s++{ID}++(?:\.{ID}++)*+|(?<![{WORD}$.])(?:this\s*+\.\s*+)?+(?:({ID}++)\s*+\.\s*+)?+"
+        rf"(?!(?:{_CONTROL})(?!{ID}))({ID}++)\s*+\("
+    )
+    pairs = F.arrays_zip(_all(code, pattern, 1).alias("receiver"), _all(code, pattern, 2).alias("method"))
+    return F.filter(pairs, lambda c: c["method"] != "")
+
+
 def first_literal(chain: Column) -> Column:
     """First argument of the first call when it is one literal, quotes dropped; else empty."""
     first = F.try_element_at(_all(chain, APPEND, 1), F.lit(1))

@@ -169,14 +169,56 @@ def read_targets(text: Column) -> Column:
     The search for FROM stops at the last one there is, so text with many SELECT words and no FROM
     behind them is still scanned a constant number of times.
     """
+    return F.transform(read_names(text), F.upper)
+
+
+def read_names(text: Column) -> Column:
+    """`read_targets` as they are written."""
     selected = _all(F.regexp_extract(text, _LAST_FROM, 0), _SELECT_FROM, 1)
-    joined = _all(text, _JOIN, 1)
-    return F.transform(F.concat(selected, joined), F.upper)
+    return F.concat(selected, _all(text, _JOIN, 1))
 
 
 def modify_targets(text: Column) -> Column:
     """Upper-cased names after INSERT INTO, UPDATE and DELETE FROM."""
-    return F.transform(_all(text, _CHANGE, 2), F.upper)
+    return F.transform(modify_names(text), F.upper)
+
+
+def modify_names(text: Column) -> Column:
+    """`modify_targets` as they are written."""
+    return _all(text, _CHANGE, 2)
+
+
+def _found_at(text: Column, pattern: str, group: int) -> Column:
+    """Matches of a pattern whose last word is the group: the group, and where it begins in the text (from 1).
+
+    Matches do not overlap and come in order, and equal texts match alike, so each is the first of its text
+    after the one before.
+    """
+    pairs = F.arrays_zip(_all(text, pattern, 0).alias("whole"), _all(text, pattern, group).alias("name"))
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<name:string,at:int>>").alias("found"))
+
+    def place(state: Column, match: Column) -> Column:
+        at = F.call_function("locate", match["whole"], text, state["next"])
+        end = at + F.length(match["whole"])
+        name_at = end - F.length(F.regexp_extract(match["whole"], rf"[{WORD}]+[{WS}]?$", 0))
+        return F.struct(end.alias("next"), F.array_append(state["found"], F.struct(match["name"].alias("name"), name_at.alias("at"))).alias("found"))
+
+    return F.aggregate(pairs, start, place, lambda state: state["found"])
+
+
+def read_hits(text: Column) -> Column:
+    """`read_targets` with where each name begins."""
+    selected = _found_at(F.regexp_extract(text, _LAST_FROM, 0), _SELECT_FROM, 1)
+    return F.transform(F.concat(selected, _found_at(text, _JOIN, 1)), _upper_hit)
+
+
+def modify_hits(text: Column) -> Column:
+    """`modify_targets` with where each name begins."""
+    return F.transform(_found_at(text, _CHANGE, 2), _upper_hit)
+
+
+def _upper_hit(hit: Column) -> Column:
+    return F.struct(F.upper(hit["name"]).alias("name"), hit["at"].alias("at"))
 
 
 def upper_identifiers_of(text: Column) -> Column:

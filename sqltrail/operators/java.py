@@ -430,7 +430,7 @@ def _declared_builders() -> Column:
 def _called_chains() -> Column:
     body = F.col("body")
     return F.when(body.contains("append"), J.calls_of(body)).otherwise(
-        F.array().cast("array<struct<variable:string,chain:string>>")
+        F.array().cast("array<struct<variable:string,chain:string,lines:int>>")
     )
 
 
@@ -441,6 +441,8 @@ def builder_calls(stmts: DataFrame, by: str = "instance", keys: Sequence[str] =
     scope declares it more than once, `instance` takes the last before the call, `first` the first.
     Declarations are `StringBuilder x` and `x = new StringBuilder(…)`.
 
+    `line_number` is the line where the declaration or the chain begins.
+
     Calls are repeated per enclosing scope and meet the declarations in a window over (file, scope,
     name), so calls and declarations are never paired with one another.
     """
@@ -455,20 +457,20 @@ def builder_calls(stmts: DataFrame, by: str = "instance", keys: Sequence[str] =
     declares = F.transform(
         F.col("_declared"),
         lambda v: F.struct(
-            v.alias("variable"), F.lit("").alias("chain"), F.lit(-1).alias("idx"), F.lit(True).alias("declares")
+            v.alias("variable"), F.lit("").alias("chain"), F.lit(0).alias("lines"), F.lit(-1).alias("idx"), F.lit(True).alias("declares")
         ),
     )
     calls = F.transform(
         F.col("_called"),
         lambda c, i: F.struct(
-            c["variable"].alias("variable"), c["chain"].alias("chain"), i.alias("idx"),
+            c["variable"].alias("variable"), c["chain"].alias("chain"), c["lines"].alias("lines"), i.alias("idx"),
             F.lit(False).alias("declares"),
         ),
     )
     events = levels.select(
         *_ids(keys), "pos", "level", F.col("ancestor.id").alias("_scope"), "line_number",
         F.inline(F.concat(F.when(declares_here, declares).otherwise(F.slice(declares, 1, 0)), calls)),
-    )
+    ).withColumn("line_number", F.col("line_number") + F.col("lines"))
     same_name = Window.partitionBy(*_ids(keys), "_scope", "variable").orderBy("pos", "idx").rowsBetween(
         Window.unboundedPreceding, 0
     )

@@ -114,6 +114,75 @@ REPOSITORY_FILE = _java_file(
     "}",
 )
 
+# Brackets nested `d` deep in every place that may hold them.
+DEEP_FILE = _java_file(
+    "package deep.p<<m>>;",
+    "",
+    "@Marks({<<repeat('@M({', d)>>1<<repeat('})', d)>>})",
+    "class Deep<<k>> extends Base<<'<' || repeat('List<', d) || 'Long' || repeat('>', d) || '>'>> {",
+    '    String[] sql = {"SELECT a FROM T_<<c7>>", "b"}; int[] none = {};',
+    "    Object[] nest = new Object[] <<repeat('{', d + 1)>>\"x\"<<repeat('}', d + 1)>>;",
+    "    int k = <<repeat('f(', d)>>1<<repeat(')', d)>>, m = 2;",
+    "    <<repeat('Map<', d)>>Long<<repeat('>', d)>> run() {",
+    "        StringBuilder sb = new StringBuilder();",
+    "        sb.append(<<repeat('g(', d)>>\"SELECT b FROM \"<<repeat(')', d)>>)",
+    '            /* two',
+    '               lines */ .append("TB_").append("<<p>>")',
+    '            .append(" b ")',
+    '            .append("JOIN T_<<c7>>").append(" c");',
+    "        if (<<repeat('(', d)>>a<<repeat(')', d)>>) { sb.append(\" \"); }",
+    "    }",
+    "}",
+)
+# A class with a table, a repository of it, and a class that calls both and others.
+APP_ENTITY = _java_file(
+    "package shop.model.m<<m>>;",
+    "",
+    "@Entity",
+    '@Table(name = "TB_CUST_<<k>>")',
+    "public class Cust<<k>> {",
+    "    private String name;",
+    "    public String label() { return name; }",
+    "}",
+)
+APP_REPOSITORY = _java_file(
+    "package shop.repo.m<<m>>;",
+    "",
+    "import shop.model.m<<m>>.Cust<<k>>;",
+    "import org.data.JpaRepository;",
+    "",
+    "public interface Cust<<k>>Repo extends JpaRepository<Cust<<k>>, Long> {",
+    "    List<Cust<<k>>> findTop5ByNameAndPhoneIsNotNullOrderByNameDesc(String name);",
+    '    @Query(value = "SELECT * FROM TB_CUST_<<k>> c " + "JOIN TB_SEG_<<s>> s ON s.id = c.id", nativeQuery = true)',
+    "    List<Cust<<k>>> listAll();",
+    "    @Modifying",
+    '    @Query("UPDATE Cust<<k>> c SET c.name = ?1")',
+    "    int rename(String name);",
+    "    long deleteByName(String name);",
+    "}",
+)
+APP_SERVICE = _java_file(
+    "package shop.service.m<<m>>;",
+    "",
+    "import shop.repo.m<<m>>.Cust<<k>>Repo;",
+    "import shop.model.m<<m>>.*;",
+    "",
+    "public class Cust<<k>>Service {",
+    "    private Cust<<k>>Repo repo;",
+    "    private Cust<<k>> current;",
+    "    private Audit<<k>> audit;",
+    "",
+    "    public void run(String name) {",
+    "        repo.rename(name);",
+    "        repo.save(current);",
+    '        audit.note("repo.fake(" + current.label() + ")");',
+    "        this.check(name);",
+    "    }",
+    "    private void check(String name) { Audit<<k>>.flush(name); missing.call(name); new Audit<<k>>(name); }",
+    "}",
+    "class Audit<<k>> { void note(String s) { } static void flush(String s) { } }",
+)
+
 VIEWS: dict[str, str] = {
     # Six shapes of line, four suffixes, 200 files.
     "src_lines": """
@@ -166,6 +235,18 @@ SELECT 'repo' AS repo_name, 'src/p' || (k % 20) AS file_path, 'J' || k || '.java
 FROM (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 20 AS m, o_custkey % 5 AS c5, o_custkey % 7 AS c7,
   o_custkey % 9 AS c9, o_orderstatus AS s, substr(o_orderpriority, 1, 1) AS p FROM orders) o""",
 }
+_DEEP_KEYS = "SELECT p_partkey AS k, p_partkey % 61 AS d, p_partkey % 20 AS m, p_size % 7 AS c7, p_size % 5 AS p FROM part"
+_APP_KEYS = "SELECT c_custkey AS k, c_custkey % 20 AS m, c_nationkey AS s FROM customer"
+VIEWS["deep_files"] = f"""
+SELECT 'repo' AS repo_name, 'deep' AS file_path, 'D' || k || '.java' AS file_name, {DEEP_FILE} AS content FROM ({_DEEP_KEYS}) deep"""
+VIEWS["deep_keys"] = f"SELECT 'D' || k || '.java' AS file_name, deep.* FROM ({_DEEP_KEYS}) deep"
+VIEWS["app_files"] = " UNION ALL ".join(
+    f"SELECT 'repo' AS repo_name, '{folder}' AS file_path, 'Cust' || k || '{suffix}.java' AS file_name, {text} AS content FROM ({_APP_KEYS}) app"
+    for folder, suffix, text in (("model", "", APP_ENTITY), ("repo", "Repo", APP_REPOSITORY), ("service", "Service", APP_SERVICE))
+)
+VIEWS["app_keys"] = f"""
+SELECT k, m, s, 'shop.model.m' || m || '.Cust' || k AS entity, 'shop.repo.m' || m || '.Cust' || k || 'Repo' AS repository,
+  'shop.service.m' || m || '.Cust' || k || 'Service' AS service, 'shop.service.m' || m || '.Audit' || k AS audit FROM ({_APP_KEYS}) app"""
 # What a comparison needs to say which rows each Java file must give.
 VIEWS["java_keys"] = """
 SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 20 AS m, o_custkey % 5 AS c5, o_custkey % 7 AS c7, o_custkey % 9 AS c9,

@@ -167,3 +167,116 @@ def test_deep_nesting(spark):
         assert rows(J.string_builders(parsed), "content") == [("deep after",)]
         assert rows(J.fields(parsed), "field_name", "field_type") == [("kept", kept.replace(" ", ""))]
         assert rows(J.methods(parsed), "method_name", "return_type") == [("h", kept.replace(" ", ""))]
+
+
+def test_brackets_of_any_depth(spark):
+    for depth in (7, 8, 9, 60, 200):
+        call = "g(" * depth + '"deep "' + ")" * depth
+        array = "{" * depth + '"x", 1' + "}" * depth
+        kept = "Map<Long, " * depth + "Set<Long>" + ">" * depth
+        mark = '@M({' * depth + '"a;{"' + '})' * depth
+        code = (
+            f"@Named({{{mark}}}) class A extends B<{kept}> {{ String[][] q = {array}; {kept} kept = f({call}, 2), other; {kept} h({kept} a) {{ "
+            f'StringBuilder sb = new StringBuilder(); sb.append({call}).append("after"); use(new int[] {array}, x); if (a < b && c < d) {{ sb.append(";"); }} }} }}'
+        )
+        parsed = stmts(spark, code).cache()
+        assert rows(J.string_builders(parsed), "line_number", "appends", "content") == [(1, 3, "deep after;")]
+        flat = kept.replace(" ", "")
+        assert rows(J.fields(parsed), "field_name", "field_type", "value") == [
+            ("kept", flat, f"f({call},2)"), ("other", flat, None), ("q", "String[][]", array.replace(" ", "")),
+        ]
+        assert rows(J.methods(parsed), "method_name", "return_type") == [("h", flat)]
+        assert rows(J.scopes(parsed), "level", "kind", "name") == [(1, "type", "A"), (2, "method", "h"), (3, "block", "")]
+        (kind,) = J.type_decls(parsed).collect()
+        assert kind["extends"] == [("B", [flat])] and kind["annotations"][0]["arguments"] == f"({{{mark}}})"
+
+
+def test_folding_changes_nothing_else(spark):
+    from sqltrail.functions import java as JF
+
+    texts = [
+        'class A { int[] a = {1, {2}}; /* ( { < */ String s = "((((((((((("; char c = \'(\'; }', "f(" * 12 + "x -> { y(); }" + ")" * 12 + "; g(1);",
+        "a < b; c < d; e << 3 >>> 2; List<List<X>> l;", ")))) }}}} >>>> ((((", "", "@A(@A(@A(@A(@A(@A(@A(@A(@A(@A(x = {1, 2}))))))))))) class B { }" + "z" * 5000,
+    ]
+    long = "".join(f"call{i}({'h(' * 11}{i}{')' * 11}); " for i in range(500))
+    frame = spark.createDataFrame([(t,) for t in [*texts, long]], "content string")
+    folded = frame.select("content", JF.fold(F.col("content")).alias("folded")).select("content", JF.unfold(F.col("folded")).alias("back"), "folded")
+    for row in folded.collect():
+        assert row["back"] == row["content"]
+        assert len(row["folded"]) == len(row["content"])
+    assert folded.where("content = folded").count() == 4
+
+
+def test_lines_of_fragments(spark):
+    from sqltrail.operators import builders
+
+    code = """class A {
+  void f() {
+    StringBuilder sql = new StringBuilder("x");
+    sql.append("SELECT a, ")
+       .append("b ") // JOIN GONE x
+       /* two
+          lines */ .append(" FROM ")
+       .append("TB_X")
+       .append(" x JOIN TB_Y y ");
+    if (q) { sql.append("JOIN " + z + "TB_").append("X").append(" w"); }
+    out.append("UPDATE TB_Z SET a = '").append(v).append("'; DELETE FROM TB_X");
+  }
+}"""
+    found = builders.builder_hits(stmts(spark, code))
+    assert rows(found, "variable", "operation", "table_name", "line_number", "line") == sorted([
+        ("out", "M", "TB_X", 11, "'; DELETE FROM TB_X"), ("out", "M", "TB_Z", 11, "UPDATE TB_Z SET a = '"), ("sql", "R", "TB_X", 8, "TB_X"),
+        ("sql", "R", "TB_X", 10, "TB_"), ("sql", "R", "TB_Y", 9, " x JOIN TB_Y y "),
+    ], key=repr)
+    catalog = spark.createDataFrame(
+        [("A", "VIEW", "tb_x"), ("A", "TABLE", "TB_X"), ("B", "MATERIALIZED VIEW", "TB_X"), ("B", "LOB", "TB_Y"), ("A", "TABLE", "TB_Z")],
+        "owner string, object_type string, object_name string",
+    )
+    refs = builders.builder_refs(stmts(spark, code), catalog)
+    assert rows(refs, "owner", "object_name", "object_type", "operation", "line_number") == sorted([
+        ("A", "TB_X", "TABLE", "M", 11), ("A", "TB_X", "TABLE", "R", 8), ("A", "TB_X", "TABLE", "R", 10), ("A", "TB_Z", "TABLE", "M", 11),
+        ("B", "TB_X", "MATERIALIZED VIEW", "M", 11), ("B", "TB_X", "MATERIALIZED VIEW", "R", 8), ("B", "TB_X", "MATERIALIZED VIEW", "R", 10),
+    ], key=repr)
+    assert rows(builders.builder_edges(builders.builder_refs(stmts(spark, code), catalog, owners=["A"])), "from_code", "to_code", "map_type", "line_number") == [
+        ("r/p/f0", "A.TB_X", "modify", 11), ("r/p/f0", "A.TB_Z", "modify", 11),
+    ]
+
+
+def test_derived_names(spark):
+    from sqltrail.functions.derived import derived_query
+
+    names = {
+        "findByName": ("read", False, None, ["name"], []),
+        "findFirstByNameAndAgeGreaterThanEqualOrderByNameDescAgeAsc": ("read", False, 1, ["name", "age"], ["name desc", "age asc"]),
+        "readTop10DistinctByAddressZipCodeInOrLastNameIgnoreCase": ("read", True, 10, ["addressZipCode", "lastName"], []),
+        "countByActiveTrue": ("count", False, None, ["active"], []),
+        "existsByAndroidIdIsNotNull": ("exists", False, None, ["androidId"], []),
+        "removeAllByOrderDateBefore": ("delete", False, None, ["orderDate"], []),
+        "findAllByOrderByNameDesc": ("read", False, None, [], ["name desc"]),
+        "findAll": ("read", False, None, [], []),
+        "deleteAll": ("delete", False, None, [], []),
+        "getaway": None, "findings": None, "save": None,
+    }
+    frame = spark.createDataFrame([(n,) for n in names], "name string").select("name", derived_query(F.col("name")).alias("q"))
+    found = {r["name"]: None if r["q"] is None else (r["q"]["action"], r["q"]["is_distinct"], r["q"]["most"], r["q"]["properties"], r["q"]["ordered"]) for r in frame.collect()}
+    assert found == names
+
+
+def test_names_across_files(spark):
+    from sqltrail.operators import definitions as D
+
+    files = (
+        "package a; import b.Wide; import c.*; class One { Wide w; Far far; Lost lost; Same same; d.Exact exact; void go() { w.run(); far.run(); lost.run(); same.run(); exact.run(); Same.none(); } }",
+        "package a; class Same { void run() { } }",
+        "package b; class Wide { void run() { go(); new Wide(); } void go() { } }",
+        "package c; class Far { void run() { } } class Wide { void run() { } }",
+        "package d; class Exact { void run() { } }",
+        "class Bare { Bare b; void run() { b.run(); } }",
+        "// only a comment",
+    )
+    found = D.definition_edges(stmts(spark, *files))
+    assert rows(found, "from_code", "to_code", "map_type") == sorted([
+        ("a.One.go", "b.Wide.run", "call"), ("a.One.go", "c.Far.run", "call"), ("a.One.go", "a.Same.run", "call"), ("a.One.go", "d.Exact.run", "call"),
+        ("b.Wide.run", "b.Wide.go", "call"), ("Bare.run", "Bare.run", "call"),
+    ], key=repr)
+    assert D.repository_methods(stmts(spark, *files)).count() == 0
