@@ -183,21 +183,25 @@ def edges_named(edges: DataFrame, code_object: DataFrame) -> DataFrame:
     return scaled_join(starts, _prefixed(code_object, "to", "to_code", columns), ["to_code"], fits=fits)
 
 
-def orphans(child: DataFrame, fk: str, parent: DataFrame, parent_key: str = "code") -> DataFrame:
-    """Rows whose foreign key is set and has no parent."""
+def orphans(child: DataFrame, fk: str, parent: DataFrame, parent_key: str = "code", fits: bool | None = None) -> DataFrame:
+    """Rows whose foreign key is set and has no parent. `fits` passes on a measurement of the parent's keys."""
     keys = parent.select(F.col(parent_key).alias(fk)).distinct()
-    return scaled_join(child.filter(F.col(fk).isNotNull()), keys, [fk], "left_anti")
+    return scaled_join(child.filter(F.col(fk).isNotNull()), keys, [fk], "left_anti", fits=fits)
 
 
 def fk_orphans(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Foreign-key values without a parent and their row counts, for every declared key of `tables`."""
     found = []
+    # A parent of several keys is measured once.
+    fits: dict[tuple[str, str], bool] = {}
     for name, spec in CATALOG_TABLES.items():
         for fk, parent, parent_key in spec.foreign_keys:
             if name in tables and parent in tables and fk in tables[name].columns:
                 # Counting per value first leaves one row per value to look up.
                 values = tables[name].groupBy(fk).agg(F.count(F.lit(1)).alias("row_count"))
-                lost = orphans(values, fk, tables[parent], parent_key)
+                if (parent, parent_key) not in fits:
+                    fits[parent, parent_key] = fits_broadcast(tables[parent].select(parent_key).distinct())
+                lost = orphans(values, fk, tables[parent], parent_key, fits[parent, parent_key])
                 found.append(
                     lost.select(
                         F.lit(name).alias("child_table"),

@@ -8,6 +8,8 @@ come out of that row and can never be more than it holds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +27,8 @@ def _ids(keys: Sequence[str]) -> list[str]:
 
 
 def statements(
-    files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str = "content", partitions: int | None = None
+    files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str = "content", partitions: int | None = None,
+    containing: Sequence[str] = (),
 ) -> DataFrame:
     """Statements in order, with line, brace depth and, where a scope begins, what opened it.
 
@@ -33,9 +36,12 @@ def statements(
     annotations and modifiers. `opener` is set on the first statement of a scope: its kind (type,
     anonymous, method, constructor or block), name, line and, for a type, header.
 
-    `partitions` fixes the number of tasks the files are shuffled into.
+    `partitions` fixes the number of tasks the files are shuffled into. With `containing`, files that hold none of
+    these texts are left out before the shuffle.
     """
     keys = list(keys)
+    if containing:
+        files = files.filter(reduce(or_, [F.col(content).contains(text) for text in containing]))
     dealt = files.select(F.xxhash64(*keys).alias("file_id"), *keys, F.col(content).alias("_content"))
     # Without a number, adaptive execution sizes the tasks by the text they get.
     dealt = dealt.repartition(partitions, "file_id") if partitions else dealt.repartition("file_id")
@@ -239,8 +245,9 @@ def _field_rows(stmts: DataFrame, keys: Sequence[str], wanted: Column | None = N
     return with_owner(stmts, candidates, payload, keys).filter(F.col("scope_kind").isin(*_MEMBER_SCOPES))
 
 
-def _first_declared() -> Column:
-    return F.try_element_at(J.declarators(F.regexp_replace("body", J.FIELD_HEADER, "")), F.lit(1))
+def _declared() -> Column:
+    """Names and initialisers that a field statement declares."""
+    return J.declarators(F.regexp_replace("body", J.FIELD_HEADER, ""))
 
 
 def fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
@@ -250,7 +257,7 @@ def fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     """
     return _field_rows(stmts, keys).select(
         *keys, "pos", "type_name", "line_number", "body", "lead", "first_line",
-        F.posexplode(J.declarators(F.regexp_replace("body", J.FIELD_HEADER, ""))).alias("ordinal", "_declared"),
+        F.posexplode(_declared()).alias("ordinal", "_declared"),
     ).select(
         *keys, "pos", "type_name", F.col("_declared.name").alias("field_name"), "line_number",
         J.compact(F.regexp_extract("body", J.FIELD_HEADER, 1)).alias("field_type"),
@@ -276,7 +283,7 @@ def string_fields(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame
 
 
 def annotations(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
-    """Annotations of types, methods and fields, a row each, with what they stand on."""
+    """Annotations of types, methods and fields, a row each, with what they stand on: of several fields, the first."""
     marked = F.col("lead").isNotNull()
     wanted = marked & ((F.col("shape") == "type") | _maybe_method() | _maybe_field())
     payload = ["shape", "name", "body", "lead", "first_line"]
@@ -287,7 +294,7 @@ def annotations(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     rows = with_owner(stmts, wanted, payload, keys).filter(
         (F.col("shape") == "type") | F.col("scope_kind").isin(*_MEMBER_SCOPES)
     )
-    name = F.when(target == "field", _first_declared()["name"]).otherwise(F.col("name"))
+    name = F.when(target == "field", F.try_element_at(_declared(), F.lit(1))["name"]).otherwise(F.col("name"))
     return rows.select(
         *keys, "pos", target.alias("target"), name.alias("target_name"),
         F.posexplode(_annotations()).alias("ordinal", "_annotation"),
@@ -572,7 +579,7 @@ def scopes(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
 def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     """One nested document per file: package, imports, types with their fields and methods.
 
-    All facts of a file come from its own row, so the groups are no larger than the file.
+    A file that declares nothing has a document too, unless it is empty text. All facts of a file come from its own row, so the groups are no larger than the file.
     """
     keys = list(keys)
     at_top = F.col("depth") == 0
@@ -580,7 +587,7 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
     imported = F.regexp_extract("body", rf"^import\s++(?:static\s++)?+({J.ID}++(?:\.{J.ID}++)*+)", 1)
     fact = (
         F.when(F.col("shape") == "type", "type").when(_maybe_method(), "method").when(_maybe_field(), "field")
-        .when(at_top & (package != ""), "package").when(at_top & (imported != ""), "import")
+        .when(at_top & (package != ""), "package").when(at_top & (imported != ""), "import").when(F.col("pos") == 0, "file")
     )
     payload = ["fact", "shape", "name", "body", "line_number", "lead", "first_line"]
     owned = with_owner(stmts.withColumn("fact", fact), F.col("fact").isNotNull(), payload, keys).filter(
@@ -589,7 +596,6 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
     owner = F.when(F.col("fact") == "type", F.col("pos") + 1).when(
         F.col("fact").isin("method", "field"), F.col("type_id")
     )
-    first = _first_declared()
     detailed = owned.select(
         *_ids(keys), "pos", "fact", owner.alias("_owner"),
         F.when(F.col("fact") == "package", package).when(F.col("fact") == "import", imported).alias("text"),
@@ -612,19 +618,22 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
         ).alias("method"),
         F.when(
             F.col("fact") == "field",
-            F.struct(
-                F.col("pos").alias("pos"), first["name"].alias("name"), "line_number",
-                J.compact(F.regexp_extract("body", J.FIELD_HEADER, 1)).alias("type"),
-                X.nullif_empty(J.compact(first["value"])).alias("value"), "annotations",
+            F.transform(
+                _declared(),
+                lambda d, ordinal: F.struct(
+                    F.col("pos").alias("pos"), ordinal.alias("ordinal"), d["name"].alias("name"), F.col("line_number").alias("line_number"),
+                    J.compact(F.regexp_extract("body", J.FIELD_HEADER, 1)).alias("type"),
+                    X.nullif_empty(J.compact(d["value"])).alias("value"), F.col("annotations").alias("annotations"),
+                ),
             ),
-        ).alias("field"),
+        ).alias("fields"),
     )
     per_type = detailed.groupBy(*_ids(keys), "_owner").agg(
         F.max("pos").alias("pos"),
         F.max(F.when(F.col("fact") == "package", F.col("text"))).alias("package_name"),
         F.array_sort(F.collect_list(F.when(F.col("fact") == "import", F.struct("pos", "text")))).alias("_imports"),
         F.any_value(F.col("type"), True).alias("_type"),
-        F.array_sort(F.collect_list("field")).alias("fields"),
+        F.array_sort(F.flatten(F.collect_list("fields"))).alias("fields"),
         F.array_sort(F.collect_list("method")).alias("methods"),
     )
     types = F.when(F.col("_owner").isNotNull(), F.struct("_owner", "_type", "fields", "methods"))

@@ -68,76 +68,68 @@ def usage_by_file(tags: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     return tags.select("table_name", *keys, "line_number").distinct()
 
 
-def classify_file_usage(
-    files: DataFrame, catalog: DataFrame, keys: Sequence[str] = FILE_KEY, content: str = "content"
-) -> DataFrame:
-    """Per file and known table that it names in upper case: read and modified flags.
-
-    A table is read if its name follows a FROM that follows a SELECT, and changed if it follows
-    INSERT INTO, UPDATE or DELETE FROM, anywhere later in the file. Everything after the first such
-    keyword is one text, so the words of three texts are compared with the catalog once, instead of
-    searching the file once per table.
-    """
-    keys = list(keys)
-    upper = F.upper(F.col(content))
+def _file_names(content: Column) -> tuple[Column, Column]:
+    """Distinct names of a whole text that follow a FROM after a SELECT, and that follow a change keyword."""
+    upper = F.upper(content)
     after_select = F.get(F.split(upper, "SELECT", 2), 1)
     after_from = F.get(F.split(after_select, "FROM", 2), 1)
-    after_change = F.get(
-        F.split(upper, rf"(?:INSERT INTO|UPDATE|DELETE FROM)(?![{X.WORD}])", 2), 1
-    )
+    after_change = F.get(F.split(upper, rf"(?:INSERT INTO|UPDATE|DELETE FROM)(?![{X.WORD}])", 2), 1)
 
     # A digit put in front keeps a name glued to the keyword from counting as a word.
     def words(text: Column) -> Column:
-        return F.coalesce(
-            F.array_distinct(X.words_of(F.concat(F.lit("0"), text))), F.array().cast("array<string>")
-        )
+        return F.coalesce(F.array_distinct(X.words_of(F.concat(F.lit("0"), text))), F.array().cast("array<string>"))
 
-    def tagged(names: Column, source: int) -> Column:
-        return F.transform(names, lambda n: F.struct(n.alias("table_name"), F.lit(source).alias("_source")))
+    return words(after_from), words(after_change)
 
-    texts = files.select(
-        *keys, F.array_distinct(X.upper_identifiers_of(F.col(content))).alias("_named"),
-        words(after_from).alias("_read"), words(after_change).alias("_changed"),
-    )
-    found = texts.select(
-        *keys,
-        F.inline(
-            F.concat(
-                tagged(F.col("_named"), 0),
-                tagged(F.array_intersect("_named", "_read"), 1),
-                tagged(F.array_intersect("_named", "_changed"), 2),
-            )
-        ),
-    )
-    source = F.col("_source")
-    return (
-        keep_relations(found, catalog)
-        .groupBy(*keys, "table_name")
-        .agg(
-            F.bool_or(source == 0).alias("_named"),
-            F.bool_or(source == 1).alias("read"),
-            F.bool_or(source == 2).alias("modified"),
-        )
-        .filter("_named")
-        .drop("_named")
+
+def classify_file_usage(
+    files: DataFrame, catalog: DataFrame, keys: Sequence[str] = FILE_KEY, content: str = "content"
+) -> DataFrame:
+    """Per file and known table that it names in upper case: read and modified flags.
+
+    A table is read if its name follows a FROM that follows a SELECT, and changed if it follows
+    INSERT INTO, UPDATE or DELETE FROM, anywhere later in the file. A file's row holds all of that, so
+    its names are compared there, and then once with the catalog: files are neither grouped nor joined.
+    """
+    read, changed = _file_names(F.col(content))
+    texts = files.select(*keys, F.array_distinct(X.upper_identifiers_of(F.col(content))).alias("_named"), read.alias("_read"), changed.alias("_changed"))
+    # What is both named and read is short, and looked through for each name.
+    sides = texts.select(*keys, "_named", F.array_intersect("_named", "_read").alias("_read"), F.array_intersect("_named", "_changed").alias("_changed"))
+    flagged = F.transform(
+        "_named",
+        lambda n: F.struct(n.alias("table_name"), F.array_contains("_read", n).alias("read"), F.array_contains("_changed", n).alias("modified")),
     )
+    return keep_relations(sides.select(*keys, F.inline(flagged)), catalog)
 
 
 def usage_simple(
-    files: DataFrame,
-    lines: DataFrame,
-    catalog: DataFrame,
-    keys: Sequence[str] = FILE_KEY,
+    files: DataFrame, catalog: DataFrame, keys: Sequence[str] = FILE_KEY, content: str = "content"
 ) -> DataFrame:
-    """Per file and known table: the list of its lines and the flags of the whole file.
+    """Per file and known table: the list of its lines and the flags of the whole file, in one pass over the text.
 
-    `lines` are the lines of `files`. A file is one input row, which bounds the list.
+    A file is one input row, which bounds the list.
     """
     keys = list(keys)
-    named = keep_relations(upper_identifiers(lines.select(*keys, "line_number", "line")), catalog)
-    numbered = named.groupBy(*keys, "table_name").agg(F.array_sort(F.collect_set("line_number")).alias("lines"))
-    flags = classify_file_usage(files, catalog, keys)
-    return numbered.join(flags, [*keys, "table_name"])
+    read, changed = _file_names(F.col(content))
+    by_line = F.transform(F.split(X.normalize_newlines(F.col(content)), "\n", -1), X.upper_identifiers_of)
+    texts = files.select(*keys, by_line.alias("_lines"), read.alias("_read"), changed.alias("_changed"))
+    named = F.array_distinct(F.flatten("_lines"))
+    sides = texts.select(*keys, "_lines", F.array_intersect(named, "_read").alias("_read"), F.array_intersect(named, "_changed").alias("_changed"))
+    flagged = F.flatten(
+        F.transform(
+            "_lines",
+            lambda names, i: F.transform(
+                F.array_distinct(names),
+                lambda n: F.struct(
+                    n.alias("table_name"), (i + 1).alias("line_number"),
+                    F.array_contains("_read", n).alias("read"), F.array_contains("_changed", n).alias("modified"),
+                ),
+            ),
+        )
+    )
+    return keep_relations(sides.select(*keys, F.inline(flagged)), catalog).groupBy(*keys, "table_name").agg(
+        F.array_sort(F.collect_list("line_number")).alias("lines"), F.any_value("read").alias("read"), F.any_value("modified").alias("modified")
+    )
 
 
 def usage_report_lines(tags: DataFrame) -> DataFrame:

@@ -215,6 +215,13 @@ FROM part""",
 SELECT 'R' || r_regionkey AS code, r_name AS name, CAST(NULL AS VARCHAR(10)) AS description, CAST(NULL AS VARCHAR(10)) AS parent_code FROM region
 UNION ALL SELECT 'N' || n_nationkey, n_name, 'nation', 'R' || n_regionkey FROM nation
 UNION ALL SELECT 'C' || c_custkey, c_name, c_mktsegment, 'N' || c_nationkey FROM customer""",
+    # Rows that share a code: nations and customers with a second parent, so that some are reached in several ways.
+    "shared_domain": """
+SELECT 'R' || r_regionkey AS code, r_name AS name, CAST(NULL AS VARCHAR(10)) AS description, CASE r_regionkey WHEN 4 THEN 'R0' END AS parent_code FROM region
+UNION ALL SELECT 'N' || n_nationkey, n_name, 'nation', 'R' || n_regionkey FROM nation
+UNION ALL SELECT 'N' || n_nationkey, n_name, 'again', 'N' || CAST(floor(n_nationkey / 3) AS INT) FROM nation WHERE n_nationkey % 3 = 2
+UNION ALL SELECT 'C' || c_custkey, c_name, c_mktsegment, 'N' || c_nationkey FROM customer
+UNION ALL SELECT 'C' || c_custkey, c_name, 'again', 'C' || CAST(floor(c_custkey / 4) AS INT) FROM customer WHERE c_custkey % 4 = 3""",
     "component": """
 SELECT 'S' || s_suppkey AS code, s_name AS name, 'N' || s_nationkey AS domain_code, 'T' || (s_suppkey % 4) AS type_code,
   CASE WHEN s_suppkey = 0 THEN NULL ELSE 'S' || CAST(floor(s_suppkey / 3) AS INT) END AS parent_code FROM supplier""",

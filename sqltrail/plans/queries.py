@@ -364,18 +364,22 @@ def usage_by_file(spark, sf_dir):
     return use.usage_by_file(use.keep_relations(_tags(spark, sf_dir), view(spark, sf_dir, "catalog")))
 
 
-_USAGE_REPORT = """
+_USAGE_REPORT = f"""
+WITH numbered AS (SELECT file_path, file_name, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS line_number FROM java_files),
+all_tags AS (SELECT *, upper(unnest({SQL_READS.format('line')})) AS table_name, TRUE AS read, FALSE AS modified FROM numbered
+  UNION ALL SELECT *, upper(unnest({SQL_CHANGES.format('line')})), FALSE, TRUE FROM numbered),
+tags AS (SELECT all_tags.*, CASE WHEN shape <> 1 THEN 'app.' || CASE shape WHEN 0 THEN 'm' ELSE 'repo.r' END || m ELSE 'None' END AS package_name,
+    CASE shape WHEN 0 THEN 'Fake' WHEN 1 THEN 'Dao' || k ELSE 'None' END AS class_name
+  FROM all_tags JOIN java_keys USING (file_name) WHERE table_name IN ({RELATIONS}))
 SELECT table_name, table_name || ': ' || concat_ws(', ', CASE WHEN bool_or(read) THEN 'read' END,
     CASE WHEN bool_or(modified) THEN 'modified' END) AS text FROM tags GROUP BY table_name
-UNION ALL SELECT table_name, '  - File: ' || file_path || ', Package: None, Class: ' || file_name || ', Lines: ' || line_number FROM tags"""
+UNION ALL SELECT table_name, '  - File: ' || file_path || ', Package: ' || package_name || ', Class: ' || class_name || ', Lines: ' || line_number FROM tags"""
 
 
-@query(f"WITH {TAGS} {_USAGE_REPORT}", "src_lines")
+@query(_USAGE_REPORT, "java_files", "java_keys", "catalog")
 def usage_report_lines(spark, sf_dir):
-    tags = _tags(spark, sf_dir).withColumns(
-        {"package_name": F.lit(None).cast("string"), "class_name": F.col("file_name")}
-    )
-    return use.usage_report_lines(tags)
+    lines = ref.to_lines(use.with_package_class(java_files(spark, sf_dir)))
+    return use.usage_report_lines(use.keep_relations(use.tag_lines(lines), view(spark, sf_dir, "catalog")))
 
 
 @query(
@@ -432,7 +436,7 @@ FROM usage JOIN found ON usage.file_name = found.file_name AND usage.table_name
 )
 def usage_simple(spark, sf_dir):
     files = java_files(spark, sf_dir).select("file_name", "content")
-    found = use.usage_simple(files, ref.to_lines(files), view(spark, sf_dir, "catalog"), keys=["file_name"])
+    found = use.usage_simple(files, view(spark, sf_dir, "catalog"), keys=["file_name"])
     return found.withColumn("lines", _joined(F.col("lines").cast("array<string>"), ", "))
 
 
@@ -572,6 +576,11 @@ def domain_paths(spark, sf_dir):
     return hier.domain_paths(view(spark, sf_dir, "domain"))
 
 
+@query(_PATHS.replace("FROM domain", "FROM shared_domain"), "shared_domain")
+def shared_domain_paths(spark, sf_dir):
+    return hier.domain_paths(view(spark, sf_dir, "shared_domain"))
+
+
 @query(_PATHS, "domain")
 def sql_file_hierarchy(spark, sf_dir):
     view(spark, sf_dir, "domain").createOrReplaceTempView("domain")
@@ -695,8 +704,8 @@ def workspace_text(spark, sf_dir):
 # --- Java files -----------------------------------------------------------------------------
 
 
-def _statements(spark, sf_dir) -> DataFrame:
-    return jav.statements(java_files(spark, sf_dir))
+def _statements(spark, sf_dir, *containing: str) -> DataFrame:
+    return jav.statements(java_files(spark, sf_dir), containing=containing)
 
 
 def _rows_sql(columns: str, *rows: str) -> str:
@@ -867,7 +876,7 @@ def fields(spark, sf_dir):
     "java_keys",
 )
 def string_fields(spark, sf_dir):
-    return jav.string_fields(_statements(spark, sf_dir)).drop("repo_name", "file_path")
+    return jav.string_fields(_statements(spark, sf_dir, "String")).drop("repo_name", "file_path")
 
 
 @query(
@@ -893,7 +902,7 @@ def join_literals(spark, sf_dir):
     "java_keys",
 )
 def annotations(spark, sf_dir):
-    found = jav.annotations(_statements(spark, sf_dir))
+    found = jav.annotations(_statements(spark, sf_dir, "@"))
     pairs = F.transform("parameters", lambda p: F.concat(p["key"], F.lit("="), p["value"]))
     return found.select(
         "file_name", "target", "target_name", "name", "line_number", "arguments", _joined(pairs).alias("parameters")
@@ -909,7 +918,7 @@ def annotations(spark, sf_dir):
     "java_keys",
 )
 def annotation_class(spark, sf_dir):
-    return jav.annotation_class(jav.annotations(_statements(spark, sf_dir))).select(
+    return jav.annotation_class(jav.annotations(_statements(spark, sf_dir, "@"))).select(
         "file_name", "name", "annotation_class"
     )
 
@@ -918,7 +927,7 @@ def annotation_class(spark, sf_dir):
     _rows_sql("entity, table_name", "0: 'app.m' || m || '.Item' || k ; 'TB_' || p"), "java_keys"
 )
 def entity_tables(spark, sf_dir):
-    return jav.entity_tables(_statements(spark, sf_dir)).drop("repo_name", "file_path")
+    return jav.entity_tables(_statements(spark, sf_dir, "@Entity")).drop("repo_name", "file_path")
 
 
 @query(
@@ -931,7 +940,7 @@ def entity_tables(spark, sf_dir):
     "java_keys",
 )
 def repositories(spark, sf_dir):
-    return jav.repositories(_statements(spark, sf_dir)).drop("repo_name", "file_path")
+    return jav.repositories(_statements(spark, sf_dir, "interface")).drop("repo_name", "file_path")
 
 
 @query(
@@ -943,7 +952,7 @@ def repositories(spark, sf_dir):
     "java_keys",
 )
 def string_locals(spark, sf_dir):
-    return jav.string_locals(_statements(spark, sf_dir)).drop("repo_name", "file_path")
+    return jav.string_locals(_statements(spark, sf_dir, "String")).drop("repo_name", "file_path")
 
 
 @query(
@@ -957,7 +966,7 @@ def string_locals(spark, sf_dir):
     "java_keys",
 )
 def string_vars_filter(spark, sf_dir):
-    return jav.string_variables(_statements(spark, sf_dir)).select(
+    return jav.string_variables(_statements(spark, sf_dir, "String")).select(
         "file_name", "method_name", "variable_type", F.col("name").alias("variable"), "line_number"
     )
 
@@ -971,7 +980,7 @@ def string_vars_filter(spark, sf_dir):
     "java_keys",
 )
 def methods_with_strings(spark, sf_dir):
-    return jav.methods_with_strings(_statements(spark, sf_dir)).drop("repo_name", "file_path")
+    return jav.methods_with_strings(_statements(spark, sf_dir, "String")).drop("repo_name", "file_path")
 
 
 _BUILDER_ROWS = (
@@ -985,7 +994,7 @@ _BUILDERS = _rows_sql("variable, line_number, appends, content", *_BUILDER_ROWS)
 
 @query(_BUILDERS, "java_keys")
 def string_builders(spark, sf_dir):
-    return jav.string_builders(_statements(spark, sf_dir)).drop("repo_name", "file_path")
+    return jav.string_builders(_statements(spark, sf_dir, "append", "StringBuilder")).drop("repo_name", "file_path")
 
 
 @query(
@@ -997,7 +1006,7 @@ def string_builders(spark, sf_dir):
     "java_keys",
 )
 def string_builders_by_name(spark, sf_dir):
-    return jav.string_builders(_statements(spark, sf_dir), by="name").drop("repo_name", "file_path")
+    return jav.string_builders(_statements(spark, sf_dir, "append", "StringBuilder"), by="name").drop("repo_name", "file_path")
 
 
 @query(

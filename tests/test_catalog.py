@@ -203,3 +203,33 @@ def test_reachable_cycle_ends(spark):
     rows = [("A", "a", None, None), ("B", "b", None, "A"), ("C", "c", None, "B"), ("B", "b", None, "C")]
     found = H.domain_paths(spark.createDataFrame(rows, DOMAIN)).collect()
     assert [(r["code"], r["level"]) for r in found] == [("A", 0), ("B", 1), ("C", 2)]
+
+
+def test_paths_over_several_parents(spark):
+    rows = [("R", "r", None, None), ("Y", "y", None, "R"), ("X", "x", None, "R"), ("X", "x2", None, "Y"), ("Z", "z", None, "X"), (None, "n", None, "X"), ("S", "s", None, "S")]
+    domain = spark.createDataFrame(rows, DOMAIN)
+    found = H.domain_paths(domain).collect()
+    assert sorted((r["path"] or "", r["name"], r["level"]) for r in found) == [
+        ("", "n", 2), ("", "n", 3), ("R", "r", 0), ("R->X", "x", 1), ("R->X->Z", "z", 2), ("R->Y", "y", 1), ("R->Y->X", "x2", 2), ("R->Y->X->Z", "z", 3),
+    ]
+    domain.createOrReplaceTempView("domain")
+    assert sorted(map(repr, H.run_sql(spark, H.DOMAIN_PATHS_SQL).collect())) == sorted(map(repr, found))
+
+
+def test_long_chain_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = H.cut_lineage
+    monkeypatch.setattr(H, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    domain = spark.createDataFrame([(f"n{i}", "x", None, f"n{i - 1}" if i else None) for i in range(2000)], DOMAIN)
+    found = H.domain_paths(domain)
+    assert found.agg(F.max("level"), F.count("*")).first()[:] == (1999, 2000)
+    assert len(rounds) < 50
+
+
+def test_run_sql_leaves_settings(spark):
+    key = "spark.sql.cteRecursionLevelLimit"
+    before = spark.conf.get(key, None)
+    assert H.run_sql(spark, "SELECT 1 AS a", max_levels=7).collect()[0]["a"] == 1
+    with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT"):
+        H.run_sql(spark, "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT * FROM t", max_levels=7)
+    assert spark.conf.get(key, None) == before
