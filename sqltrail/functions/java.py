@@ -53,7 +53,8 @@ BRACES = _nested(r"\{", r"\}", DEPTH - 1)
 GENERIC = rf"<{_nested_angles(DEPTH - 1)}>"
 ANNOTATION = rf"@(?!interface\b){ID}++(?:\.{ID}++)*+(?:\s*+\({ARGS}\))?+"
 # Braces that a value begins with, as in `= {` and `[] {`, and those after `default`.
-_VALUE_BRACE = r"(?:(?<=[=\]]\s{0,9})|(?<=\bdefault\s{1,9}))\{"
+# The brace comes first, so that only there is looked back.
+_VALUE_BRACE = r"\{(?<=[=\]]\s{0,9}\{|\bdefault\s{1,9}\{)"
 INITIALISER = rf"{_VALUE_BRACE}{BRACES}\}}"
 STATEMENT = rf"(?:{LITERAL}|{COMMENT}|{ANNOTATION}|{INITIALISER}|[^\"'/;{{}}@]++|[\"'/@])*+(?:[;{{}}]|\z)"
 # An opening bracket that the patterns cannot pass over: what it holds nests too deep, or is not closed.
