@@ -6,6 +6,7 @@ written in `inputs`, must give.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -24,6 +25,8 @@ from sqltrail.operators import upsert as ups
 from sqltrail.operators import usage as use
 from sqltrail.plans.inputs import java_files, src_lines, table, view, with_views
 from sqltrail.schemas import CATALOG_TABLES
+from sqltrail.session import ensure_checkpoint_dir
+from sqltrail.sources.buckets import Load, load_tables, read_bucketed
 
 Plan = Callable[[SparkSession, str], DataFrame]
 
@@ -681,6 +684,32 @@ def upsert_customers(spark, sf_dir):
     return ups.upsert(existing, orders.unionByName(suppliers), ["code"], "ord")
 
 
+@query(
+    """
+WITH incoming AS (SELECT o_custkey AS code, 'Order ' || o_orderkey AS name, o_orderkey AS ord FROM orders WHERE o_totalprice > 250000),
+winners AS (SELECT code, name FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY ord DESC) AS rn FROM incoming) i WHERE rn = 1)
+SELECT 'customer' AS table_name, c_custkey AS code, c_name AS name, c_mktsegment AS segment FROM customer WHERE c_custkey NOT IN (SELECT code FROM winners)
+UNION ALL SELECT 'customer', code, name, NULL FROM winners
+UNION ALL SELECT 'supplier', s_suppkey, s_name, NULL FROM supplier"""
+)
+def load_bucketed(spark, sf_dir):
+    ensure_checkpoint_dir(spark)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/load-{uuid.uuid4().hex}"
+    schema = spark.createDataFrame([], "code long, name string, segment string").schema
+    rows = lambda name, *columns: table(spark, sf_dir, name).select(*[F.col(c).alias(a) for c, a in columns])
+    customers = rows("customer", ("c_custkey", "code"), ("c_name", "name"), ("c_mktsegment", "segment"))
+    suppliers = rows("supplier", ("s_suppkey", "code"), ("s_name", "name"))
+    orders = table(spark, sf_dir, "orders").where("o_totalprice > 250000").select(
+        F.col("o_custkey").alias("code"), F.concat(F.lit("Order "), "o_orderkey").alias("name"), F.col("o_orderkey").alias("ord")
+    )
+    one = F.lit(0).alias("ord")
+    first = {name: Load(df.select("*", one), ["code"], "ord", schema) for name, df in (("customer", customers), ("supplier", suppliers))}
+    load_tables(spark, folder, first)
+    load_tables(spark, folder, {"customer": Load(orders, ["code"], "ord", schema)})
+    found = [read_bucketed(spark, folder, name, schema).select(F.lit(name).alias("table_name"), "*") for name in first]
+    return found[0].unionByName(found[1])
+
+
 _WORKSPACE = """
 WITH placed AS (SELECT c.code, c.name FROM component c WHERE c.domain_code IN (SELECT code FROM domain)),
 elements AS (SELECT o.* FROM code_object o WHERE o.component_code IN (SELECT code FROM placed))

@@ -9,6 +9,7 @@ from sqltrail.operators import hierarchy as H
 from sqltrail.operators import report as P
 from sqltrail.operators import upsert as U
 from sqltrail.schemas import CATALOG_TABLES
+from sqltrail.sources import buckets as B
 from sqltrail.sources import files as S
 from sqltrail.sources import sinks, tables
 
@@ -233,3 +234,127 @@ def test_run_sql_leaves_settings(spark):
     with pytest.raises(Exception, match="RECURSION_LEVEL_LIMIT"):
         H.run_sql(spark, "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 50) SELECT * FROM t", max_levels=7)
     assert spark.conf.get(key, None) == before
+
+
+# --- bucketed tables and load plans ---
+
+
+def bucket_load(spark, rows):
+    incoming = spark.createDataFrame(rows, "id long, v string, ord int")
+    return B.Load(incoming, ["id"], "ord", spark.createDataFrame([], "id long, v string, w int").schema)
+
+
+def places(spark, folder, version):
+    return {(r["table_name"], r["bucket"]): r["path"] for r in spark.read.parquet(f"{folder}/versions/v={version}").collect()}
+
+
+def test_load_touches_only_its_buckets(spark, tmp_path):
+    folder = str(tmp_path / "db")
+    schema = bucket_load(spark, []).schema
+    read = lambda name, version=None: sorted(tuple(r) for r in B.read_bucketed(spark, folder, name, schema, version).collect())
+    assert read("a") == []
+    assert B.load_tables(spark, folder, {"a": bucket_load(spark, [(i, f"a{i}", 0) for i in range(1000)]), "b": bucket_load(spark, [(1, "b", 0)])}, buckets=16) == 0
+    # A hot key, and a new one.
+    assert B.load_tables(spark, folder, {"a": bucket_load(spark, [(7, f"x{i}", i) for i in range(500)] + [(5000, None, 1)])}, buckets=99) == 1
+    wanted = {i: f"a{i}" for i in range(1000)} | {7: "x499", 5000: None}
+    assert read("a") == sorted((k, v, None) for k, v in wanted.items())
+    assert read("a", 0) == [(i, f"a{i}", None) for i in range(1000)]
+    assert read("b") == [(1, "b", None)]
+    before, after = places(spark, folder, 0), places(spark, folder, 1)
+    assert len(before) == len(after) == 17
+    assert 1 <= sum(before[k] != after[k] for k in before) <= 2
+    # A load without rows changes nothing.
+    B.load_tables(spark, folder, {"a": bucket_load(spark, [])})
+    assert places(spark, folder, 2) == after
+    gone = B.remove_old(spark, folder, keep=2)
+    assert gone == sorted(set(before.values()) - set(after.values()))
+    assert read("a") == sorted((k, v, None) for k, v in wanted.items())
+
+
+def test_failed_load_changes_nothing(spark, tmp_path):
+    folder = str(tmp_path / "db")
+    schema = bucket_load(spark, []).schema
+    B.load_tables(spark, folder, {"a": bucket_load(spark, [(1, "a", 0)])})
+    with pytest.raises(Exception, match="key column id is NULL"):
+        B.load_tables(spark, folder, {"a": bucket_load(spark, [(2, "b", 0), (None, "c", 0)]), "b": bucket_load(spark, [(1, "b", 0)])})
+    assert U.newest_version(spark, f"{folder}/versions") == 0
+    assert B.read_bucketed(spark, folder, "a", schema).collect()[0]["v"] == "a"
+    assert B.read_bucketed(spark, folder, "b", schema).count() == 0
+    with pytest.raises(Exception, match="already exists|ALREADY_EXISTS"):
+        B.publish(spark, folder, 0, [("a", 1, 0, "x")])
+
+
+PLAN = """
+database_uri: ignored
+csv_files_info:
+  - csv_file: objects.csv
+    separator: ';'
+    has_header: true
+    table_name: TB_CODE_OBJECT
+    column_mapping:
+      code: {name: code, type: String}
+      system_component_code: {name: component_code, type: String}
+      type: type_code
+  - {csv_file: components.csv, table_name: TB_COMPONENT}
+  - {csv_file: map.csv, table_name: TB_MAP, exclude_columns: [code], column_mapping: {from: from_code, to: to_code}}
+  - {csv_file: kinds.csv, table_name: TB_OBJECT_TYPE, has_header: false, column_order: [code, name]}
+  - {csv_file: domains.csv, table_name: TB_DOMAIN}
+  - {csv_file: types.csv, table_name: TB_COMPONENT_TYPE}
+"""
+PLAN_FILES = {
+    "objects.csv": "code;name;type;source_file;system_component_code\no1;O1;k;f;c1\no2;O2;k;;c1\n",
+    "components.csv": "code;name;domain_code;type_code;parent_code\nc1;C1;d2;t;\n",
+    "map.csv": "code;from;to;map_type;duration\n1;o1;o2;read;5\n2;o1;o2;modify;x\n",
+    "kinds.csv": "k;Kind\n",
+    "domains.csv": "code;name;description;parent_code\nd1;D1;;\nd2;D2;;d1\n",
+    "types.csv": "code;name\nt;T\n",
+}
+
+
+def test_load_plan_of_six_tables(spark, tmp_path):
+    pytest.importorskip("yaml")
+    for name, text in PLAN_FILES.items():
+        (tmp_path / name).write_text(text)
+    folder = str(tmp_path / "db")
+    infos = tables.read_plan(PLAN, str(tmp_path))
+    assert tables.load_plan(spark, infos, folder, buckets=4) == 0
+    read = lambda name: sorted(map(tuple, B.read_bucketed(spark, folder, name, CATALOG_TABLES[name].schema).collect()))
+    assert read("code_object") == [("o1", "O1", "k", "f", "c1"), ("o2", "O2", "k", None, "c1")]
+    assert [r[:3] + r[7:8] for r in read("map")] == [("o1", "o2", "modify", None)]
+    state = {name: read(name) for name in CATALOG_TABLES}
+    # In any order the same, and again without a change.
+    assert tables.load_plan(spark, infos[::-1], str(tmp_path / "db2"), buckets=4) == 0
+    folder2, folder = folder, str(tmp_path / "db2")
+    assert {name: read(name) for name in CATALOG_TABLES} == state
+    # One file without a name, then one with a domain that is not there: nothing changes, other tables included.
+    (tmp_path / "kinds.csv").write_text("k;Other\n")
+    folder = folder2
+    (tmp_path / "types.csv").write_text("code;name\nt;\n")
+    with pytest.raises(ValueError, match="types.csv: not_null:name"):
+        tables.load_plan(spark, infos, folder)
+    (tmp_path / "types.csv").write_text("code;name\nt;T\n")
+    (tmp_path / "components.csv").write_text("code;name;domain_code;type_code;parent_code\nc2;C2;nowhere;t;\n")
+    with pytest.raises(ValueError, match="component: domain_code nowhere has no parent"):
+        tables.load_plan(spark, infos, folder)
+    assert {name: read(name) for name in CATALOG_TABLES} == state
+    tables.load_plan(spark, infos, folder, check_keys=False)
+    assert read("object_type") == [("k", "Other")] and len(read("component")) == 2
+
+
+def test_plan_texts(spark, tmp_path):
+    text = '{"csv_files_info": [{"csv_file": "a.csv", "table_name": "domain", "column_mapping": {"x": {"name": "code"}, "y": "name"}}]}'
+    info = tables.read_plan(text, "/data")[0]
+    assert (info.csv_file, info.separator, info.column_mapping) == ("/data/a.csv", ";", {"x": "code", "y": "name"})
+    for broken in ("[]", '{"csv_files_info": [{"csv_file": "a"}]}', text.replace("domain", "nothing"), text.replace('"csv_file"', '"delimiter": 1, "csv_file"')):
+        with pytest.raises(ValueError):
+            tables.read_plan(broken)
+    # Two files for one table: the later one wins.
+    (tmp_path / "a.csv").write_text("code;name\na;A\nb;B\n")
+    (tmp_path / "b.csv").write_text("code;name;description\na;A2;d\n")
+    infos = [tables.CsvInfo(str(tmp_path / f), "domain") for f in ("a.csv", "b.csv")]
+    tables.load_plan(spark, infos, str(tmp_path / "db"))
+    rows = B.read_bucketed(spark, str(tmp_path / "db"), "domain", CATALOG_TABLES["domain"].schema).collect()
+    assert sorted(map(tuple, rows)) == [("a", "A2", "d", None), ("b", "B", None, None)]
+    (tmp_path / "b.csv").write_text("code;description\na;d\n")
+    with pytest.raises(ValueError, match="no column name"):
+        tables.load_plan(spark, infos, str(tmp_path / "db"))
