@@ -15,8 +15,10 @@ from sqltrail.llm.common import pieces, remainder, ship_code, stored
 
 #: Rows whose crc32(id as text) modulo FOLDS is HELD_OUT are not learnt from.
 FOLDS, HELD_OUT = 7, 2
-#: Most frequent words that the exchange assigns to CLASSES classes; the others have classes by their shape.
+#: Most frequent words that the exchange assigns to CLASSES classes.
 CLUSTERED, CLASSES, SWEEPS = 1_000, 100, 6
+#: Other sent words with this count at least come to these classes in so many rounds; the rest have classes by shape.
+LEAST_LEARNT, ROUNDS = 10, 2
 #: Most frequent words whose counts are sent to all tasks, and so the bound of what is sent; counts of others are joined.
 SENT_WORDS = 200_000
 #: Words that a task counts before it hands the counts on.
@@ -118,91 +120,114 @@ def exchange(pairs: np.ndarray, clustered: int, classes: int = CLASSES, sweeps:
 
 @dataclass
 class _Words:
-    """What every task holds: the sent words with their counts and units; bounded by SENT_WORDS."""
+    """What every task holds: the sent words with their numbers and counts; bounded by SENT_WORDS."""
 
     index: dict[bytes, int]
     counts: np.ndarray
-    unit: np.ndarray
-    clustered: int
-
-    @property
-    def units(self) -> int:
-        return self.clustered + SHAPES + 1
-
-    def read(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-        """Word numbers (-1: not sent, -2: an end), units, where documents start, and the words not sent, in order."""
-        cut = [tokens(t or b"") for t in texts]
-        sizes = np.fromiter((len(c) + 1 for c in cut), np.int64, len(cut))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(cut) else sizes
-        number = np.full(int(sizes.sum()), -2, np.int64)
-        get, rest = self.index.get, []
-        for start, words in zip(starts.tolist(), cut):
-            found = [get(w, -1) for w in words]
-            number[start : start + len(found)] = found
-            rest += [w for w, f in zip(words, found) if f < 0]
-        unit = np.full(len(number), self.units - 1, np.int64)
-        sent = number >= 0
-        unit[sent] = self.unit[number[sent]]
-        unit[number == -1] = [self.clustered + shape(w) for w in rest]
-        return number, unit, starts, rest
-
-
-def _pair_counter(shared):
+
+
+#: Numbers of words: from 0 on the sent words, by rank; below, a word by its shape, and the end of a text. Tables by number
+#: hold the sent words, the end and the shapes backwards, so that numbers below 0 find their place from the table's end.
+END = -SHAPES - 1
+
+
+def _table(sent: np.ndarray, end, shapes: np.ndarray) -> np.ndarray:
+    return np.concatenate([sent, [end], shapes[::-1]])
+
+
+def _numbered(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.index.get
+        kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+        for piece in pieces(batches):
+            numbers, rests = [], []
+            for text in piece.column(1).to_pylist():
+                words = tokens(text or b"")
+                found = [get(w, END) for w in words]
+                rest: Counter = Counter()
+                for i, number in enumerate(found):
+                    if number == END:
+                        found[i] = -1 - shape(words[i])
+                        rest[words[i]] += 1
+                found.append(END)
+                numbers.append(np.array(found, "<i4").tobytes())
+                rests.append([{"word": w, "n": n} for w, n in rest.items()])
+            yield pa.RecordBatch.from_arrays(
+                [piece.column(0), piece.column(2), pa.array(numbers, pa.binary()), pa.array(rests, kind)], ["doc_id", "held_out", "numbers", "rest"]
+            )
+
+    return run
+
+
+def _pair_counter(shared, units: int, learnt: int):
+    """Counts of pairs of units, as `before * units + after`; beyond units squared, those of learnt words with units.
+
+    `shared` holds the unit of each number, and for each number a learnt word's place or -1. A learnt word's pairs are
+    told by place, then by side: the unit after the word, then the unit before it.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: _Words = shared.value
-        units = words.units
+        kinds, places = shared.value
         held = np.zeros(units * units, np.int64)
         for piece in pieces(batches, column=0):
-            _, unit, _, _ = words.read(piece.column(0).to_pylist())
+            number = np.frombuffer(b"".join(piece.column(0).to_pylist()), "<i4")
+            unit = kinds[number].astype(np.int64)
             held += np.bincount(np.concatenate([[units - 1], unit[:-1]]) * units + unit, minlength=units * units)
+            if learnt:
+                place = places[number]
+                at = np.nonzero(place >= 0)[0]
+                # A word is never last, as an end follows it.
+                after = (place[at] * 2) * units + unit[at + 1]
+                before = (place[at] * 2 + 1) * units + np.where(at > 0, unit[at - 1], units - 1)
+                pair, n = np.unique(np.concatenate([after, before]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(units * units + pair), pa.array(n.astype(np.int64))], ["pair", "n"])
         at = np.nonzero(held)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(held[at])], ["pair", "n"])
 
     return run
 
 
-@dataclass
-class _Scores:
-    """log10 of class transitions, and of emissions by unit (the count of words with a class by shape left out)."""
+def _assigner(gains: np.ndarray):
+    """The best class of each learnt word, from its counts with units after and before it and the logs in `gains`."""
 
-    at: np.ndarray
-    moves: np.ndarray
-    emits: np.ndarray
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                part = batch.slice(start, 4096)
+                lists = part.column(1)
+                rows = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                found = lists.flatten()
+                counts = np.zeros((part.num_rows, len(gains)))
+                counts[rows, found.field("at").to_numpy()] = found.field("n").to_numpy()
+                best = np.argmax(counts @ gains, axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best.astype(np.int64))], ["place", "class"])
 
+    return run
 
-def _scorer(shared, scores: _Scores):
+
+def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: _Words = shared.value
-        logs = np.log10(words.counts + 1.0)
-        for piece in pieces(batches):
-            number, unit, starts, rest = words.read(piece.column(1).to_pylist())
-            if not len(starts):
+        kinds, moves, emits, base = shared.value
+        for piece in pieces(batches, column=2):
+            raw = piece.column(2).to_pylist()
+            if not raw:
                 continue
-            kind = scores.at[unit]
-            model = scores.moves[np.concatenate([[scores.at[-1]], kind[:-1]]), kind] + scores.emits[unit]
-            sent = number >= 0
-            base = np.zeros(len(number))
-            base[sent] = logs[number[sent]]
-            # Words with a class by shape are emitted by their counts, as in the base.
-            model[sent] += np.where(words.unit[number[sent]] >= words.clustered, base[sent], 0.0)
-            sizes = np.diff(np.append(starts, len(number)))
-            missing = np.add.reduceat(number == -1, starts)
-            left, taken = [], 0
-            for n in missing.tolist():
-                left.append(list(Counter(rest[taken : taken + n]).items()))
-                taken += n
-            kind_of_left = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+            number = np.frombuffer(b"".join(raw), "<i4")
+            sizes = np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw))
+            starts = np.cumsum(sizes) - sizes
+            kind = kinds[number]
+            model = moves[np.concatenate([[len(moves) - 1], kind[:-1]]), kind] + emits[number]
             yield pa.RecordBatch.from_arrays(
                 [
                     piece.column(0),
-                    piece.column(2),
+                    piece.column(1),
+                    piece.column(3),
                     pa.array(sizes),
-                    pa.array(sizes - missing - 1),
-                    pa.array(np.add.reduceat(base, starts)),
+                    pa.array(np.add.reduceat(number >= 0, starts, dtype=np.int64)),
+                    pa.array(np.add.reduceat(base[number], starts)),
                     pa.array(np.add.reduceat(model, starts)),
-                    pa.array([[{"word": w, "n": n} for w, n in x] for x in left], kind_of_left),
                 ],
-                ["doc_id", "held_out", "n_tokens", "n_sent", "base_logs", "model_logs", "rest"],
+                ["doc_id", "held_out", "row", "n_tokens", "n_sent", "base_logs", "model_logs"],
             )
 
     return run
@@ -237,76 +262,144 @@ def _as_bytes(column: str) -> Column:
     return F.col(column).cast("binary").alias("text")
 
 
-def class_model_scores(docs: DataFrame) -> DataFrame:
-    """`doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`, one row per input row.
+@dataclass
+class ClassModel:
+    """Classes and log10 probabilities; `kinds`, `emits` and `base` are tables by number (see END).
 
-    Words and one end per text are counted over all training rows. The CLUSTERED most frequent words are
-    assigned to classes by exchange over their bigram counts; every other word has the class of its shape,
-    and the end is a class. `score` is the sum of log10 of P(class | class before) * P(word | class):
-    transitions are smoothed by class frequencies, words with a class by shape by one count for each known
-    word and one for all unknown ones. `base_score` is the add-one unigram score.
+    Classes from `first_shape` on are shapes, and the last one is the end. Words with a class by shape that are not
+    sent are emitted by what `emits` says times one more than their count.
+    """
 
-    Counts of the most frequent words, SENT_WORDS at most, go to all tasks; counts of rarer words are joined to
-    the distinct words of each text, so vocabularies of any size are scored alike.
+    words: _Words
+    kinds: np.ndarray
+    first_shape: int
+    moves: np.ndarray
+    emits: np.ndarray
+    base: np.ndarray
 
-    Null and empty texts hold an end only. A null id belongs to the training rows. Without training rows
-    all counts are zero. Repeated rows count and score each. Other columns are ignored.
-    """
-    spark = docs.sparkSession
+
+def training_rows(docs: DataFrame) -> tuple[DataFrame, DataFrame, _Words, DataFrame, int]:
+    """The rows as numbers, stored; the training rows' numbers; the sent words; all counts, stored; the least count sent."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), _as_bytes("text"), (remainder("doc_id", FOLDS) == HELD_OUT).alias("held_out")
     )
     training = ship_code(rows.where("NOT held_out").select("text"))
     counts = stored(training.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    ends = training.count()
-    totals = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    train_tokens, known_words = totals[1] + ends, totals[0] + (ends > 0)
-
     least = least_sent(counts)
     sent = counts.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    ordered = sent["word"].to_pylist()
+    words = _Words({w: i for i, w in enumerate(sent["word"].to_pylist())}, sent["n"].to_numpy())
+    schema = "doc_id long, held_out boolean, numbers binary, rest array<struct<word: binary, n: long>>"
+    numbered = ship_code(rows).mapInArrow(_numbered(docs.sparkSession.sparkContext.broadcast(words)), schema)
+    numbered = stored(numbered.withColumn("row", F.monotonically_increasing_id()))
+    return numbered, numbered.where("NOT held_out").select("numbers"), words, counts, least
+
+
+def fit_classes(training: DataFrame, words: _Words, counts: DataFrame, least: int) -> ClassModel:
+    """Classes by exchange over the most frequent words, then by rounds for all others that are frequent enough.
+
+    In a round, the classes before and after each such word are counted over all training rows; each word then goes
+    to the class that makes them likeliest. All words move at once, in tasks by word; classes come to the driver, one
+    number for each sent word.
+    """
+    context = training.sparkSession.sparkContext
+    ordered = list(words.index)
     clustered = min(CLUSTERED, len(ordered))
-    unit = np.array([i if i < clustered else clustered + shape(w) for i, w in enumerate(ordered)], np.int64)
-    words = _Words({w: i for i, w in enumerate(ordered)}, sent["n"].to_numpy(), unit, clustered)
-    shared = spark.sparkContext.broadcast(words)
-
-    # Bounded by the units, not by the corpus: at most (CLUSTERED + SHAPES + 1) squared rows reach the driver.
-    found = training.mapInArrow(_pair_counter(shared), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
-    units = words.units
-    pairs = np.zeros(units * units, np.int64)
-    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
-    pairs = pairs.reshape(units, units)
-    at = exchange(pairs, clustered)
-
-    total = int(at.max()) + 1
-    matrix = np.zeros((total, total))
+    learnt = int(np.searchsorted(-words.counts, -LEAST_LEARNT, side="right"))
+    learnt = max(0, learnt - clustered) if ROUNDS else 0
+    shapes = np.array([shape(w) for w in ordered], np.int64)
+
+    def counted(kinds: np.ndarray, units: int, asked: int) -> DataFrame:
+        places = np.full(len(ordered) + SHAPES + 1, -1, np.int64)
+        places[clustered : clustered + asked] = np.arange(asked)
+        shared = context.broadcast((kinds, places))
+        return training.mapInArrow(_pair_counter(shared, units, asked), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+    def matrix_of(pairs: DataFrame, units: int) -> np.ndarray:
+        # Bounded by the units, not by the corpus.
+        found = pairs.where(F.col("pair") < units * units).toArrow()
+        matrix = np.zeros(units * units)
+        matrix[found["pair"].to_numpy()] = found["n"].to_numpy()
+        return matrix.reshape(units, units)
+
+    def table(of_sent: np.ndarray, first_shape: int) -> np.ndarray:
+        return _table(of_sent, first_shape + SHAPES, first_shape + np.arange(SHAPES))
+
+    def moves_of(matrix: np.ndarray) -> np.ndarray:
+        size = matrix.sum(0)
+        share = (size + 1) / (size.sum() + len(size))
+        return np.log10((matrix + PRIOR * share) / (matrix.sum(1, keepdims=True) + PRIOR))
+
+    of_sent = np.where(np.arange(len(ordered)) < clustered, np.arange(len(ordered)), clustered + shapes)
+    units = clustered + SHAPES + 1
+    pairs = matrix_of(counted(table(of_sent, clustered), units, 0), units)
+    at = exchange(pairs, clustered, CLASSES, SWEEPS)
+    of_sent = at[of_sent]
+    classes = max(1, min(CLASSES, clustered))
+    units = classes + SHAPES + 1
+    matrix = np.zeros((units, units))
     np.add.at(matrix, (at[:, None], at[None, :]), pairs)
+    for _ in range(ROUNDS if learnt else 0):
+        found = stored(counted(table(of_sent, classes), units, learnt))
+        matrix = matrix_of(found, units)
+        # Unit after a word of each class, and unit before it.
+        gains = np.concatenate([moves_of(matrix)[:classes].T, moves_of(matrix.T)[:classes].T])
+        side = F.col("pair") - units * units
+        # A word has two counts a unit at most.
+        around = found.where(side >= 0).groupBy(F.floor(side / (2 * units)).alias("place")).agg(
+            F.collect_list(F.struct((side % (2 * units)).alias("at"), "n")).alias("around")
+        )
+        best = ship_code(around).mapInArrow(_assigner(gains), "place long, class long").toArrow()
+        of_sent[clustered + best["place"].to_numpy()] = best["class"].to_numpy()
+    if learnt:
+        matrix = matrix_of(counted(table(of_sent, classes), units, 0), units)
+
     size = matrix.sum(0)
-    share = (size + 1) / (size.sum() + total)
-    moves = np.log10((matrix + PRIOR * share) / (matrix.sum(1, keepdims=True) + PRIOR))
     by_shape = np.zeros(SHAPES)
     tallied = counts.select("word", F.lit(1).cast("long").alias("n")).mapInArrow(_shapes, "shape int, n long").groupBy("shape").agg(F.sum("n").alias("n"))
     for row in tallied.collect():
         by_shape[row["shape"]] = row["n"]
-    for word in ordered[:clustered]:
-        by_shape[shape(word)] -= 1
-    emits = np.zeros(units)
-    if clustered:
-        emits[:clustered] = np.log10(words.counts[:clustered] / size[at[:clustered]])
-    emits[clustered : clustered + SHAPES] = -np.log10(size[at[clustered : clustered + SHAPES]] + by_shape + 1)
-
-    schema = (
-        "doc_id long, held_out boolean, n_tokens long, n_sent long, base_logs double, model_logs double, "
-        "rest array<struct<word: binary, n: long>>"
-    )
-    scored = ship_code(rows).mapInArrow(_scorer(shared, _Scores(at, moves, emits)), schema)
-    scored = stored(scored.withColumn("row", F.monotonically_increasing_id()))
-    rest = scored.select("row", F.explode("rest").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
+    by_class = np.arange(len(ordered)) < clustered + learnt
+    by_shape -= np.bincount(shapes[by_class], minlength=SHAPES)
+    of_shape = -np.log10(size[classes : classes + SHAPES] + by_shape + 1)
+    logs = np.log10(words.counts + 1.0)
+    emits = logs + of_shape[shapes]
+    emits[by_class] = np.log10(words.counts[by_class] / size[of_sent[by_class]])
+    none = np.zeros(SHAPES)
+    return ClassModel(words, table(of_sent, classes), classes, moves_of(matrix), _table(emits, 0.0, of_shape), _table(logs, 0.0, none))
+
+
+def class_model_scores(docs: DataFrame) -> DataFrame:
+    """`doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`, one row per input row.
+
+    Words and one end per text are counted over all training rows. The CLUSTERED most frequent words are
+    assigned to classes by exchange over their bigram counts; other sent words that occur LEAST_LEARNT times come to
+    the same classes by the classes around them, in ROUNDS rounds; the rest, and unknown words, have the class of
+    their shape, and the end is a class. `score` is the sum of log10 of P(class | class before) * P(word | class):
+    transitions are smoothed by class frequencies, words with a class by shape by one count for each known
+    word and one for all unknown ones. `base_score` is the add-one unigram score.
+
+    Counts of the most frequent words, SENT_WORDS at most, go to all tasks; counts of rarer words are joined to
+    the distinct words of each text, so vocabularies of any size are scored alike. Texts are cut into words twice;
+    after that they are numbers, stored.
+
+    Null and empty texts hold an end only. A null id belongs to the training rows. Without training rows
+    all counts are zero. Repeated rows count and score each. Other columns are ignored.
+    """
+    numbered, training, words, counts, least = training_rows(docs)
+    ends = training.count()
+    totals = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    train_tokens, known_words = totals[1] + ends, totals[0] + (ends > 0)
+    model = fit_classes(training, words, counts, least)
+
+    shared = docs.sparkSession.sparkContext.broadcast((model.kinds, model.moves, model.emits, model.base))
+    schema = "doc_id long, held_out boolean, row long, n_tokens long, n_sent long, base_logs double, model_logs double"
+    scored = ship_code(numbered.select("doc_id", "held_out", "numbers", "row")).mapInArrow(_scorer(shared), schema)
+    rest = numbered.select("row", F.explode("rest").alias("x")).select("row", "x.word", F.col("x.n").alias("times"))
     rare = counts.where(F.col("n") < least)
     joined = rest.join(rare, "word", "inner").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("logs"), F.sum("times").alias("known")
     )
-    out = scored.drop("rest").join(joined, "row", "left")
+    out = scored.join(joined, "row", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     end_known, end_log = (1, float(np.log10(ends + 1)))
     scale = float(np.log10(train_tokens + known_words + 1))

@@ -111,6 +111,22 @@ def dice_by_hand(one: str, two: str) -> float:
     return 2 * sum((a & b).values()) / (sum(a.values()) + sum(b.values())) if a and b else 0.0
 
 
+def passages_by_hand(text: str, template: str) -> dict[int, float]:
+    (a, b), votes = (list(zip(w, w[1:])) for w in (words_by_hand(text), words_by_hand(template))), Counter()
+    seeds: dict = {}
+    for q in range(len(b) - 1):
+        seeds.setdefault((b[q], b[q + 1]), []).append(q)
+    for p in range(len(a) - 1):
+        for q in seeds.get((a[p], a[p + 1]), []):
+            votes[p - q] += 1
+    found = {}
+    for d, n in votes.items():
+        if all((votes[e], -e) <= (n, -d) for e in votes if abs(e - d) < len(b)):
+            inside = a[max(d, 0) : d + len(b)]
+            found[max(d, 0)] = 2 * sum((Counter(inside) & Counter(b)).values()) / (len(inside) + len(b))
+    return {d: dice for d, dice in found.items() if dice >= 0.8}
+
+
 def test_licenses_against_brute_force(spark):
     mit = licenses.TEMPLATES["MIT"][2]
     cut = mit.split(". ")
@@ -131,11 +147,42 @@ def test_licenses_against_brute_force(spark):
                 for t, template in enumerate(templates):
                     if (dice := dice_by_hand(unit, template)) >= 0.8:
                         wanted[i, kind, n, name, t] = dice
+        for name, templates in licenses.TEMPLATES.items():
+            for t, template in enumerate(templates):
+                wanted |= {(i, "passage", d, name, t): dice for d, dice in passages_by_hand(text or "", template).items()}
     assert found.keys() == wanted.keys() and len(wanted) > 6
     assert all(abs(found[k] - wanted[k]) < 1e-12 for k in wanted)
     assert licenses.scan_licenses(frame(spark, [])).count() == 0
 
 
+def test_license_passages(spark):
+    rng = random.Random(5)
+    mit, apache = licenses.TEMPLATES["MIT"][2], licenses.TEMPLATES["Apache-2.0"][1]
+    prose = lambda n: " ".join(rng.choice(["of", "the", "software", "in", "red", "green", "under", "this", "apple"]) for _ in range(n))
+    words = mit.split(" ")
+    three = "\n".join(words[:60]) + "\n\n" + " ".join(words[60:110]) + " \n \n" + " ".join(words[110:])
+    changed = " ".join(w for i, w in enumerate(words) if i % 25 != 7)
+    rows = [
+        (1, prose(2000) + "\n" + three + "\n" + prose(2000)), (2, f"{prose(40)}. {apache} {prose(40)}"), (3, f"{mit} {mit}\n{mit}"),
+        (4, f"Copyright 2024 Example Authors. All rights reserved. {licenses.TEMPLATES['Apache-2.0'][0]} Copied from {licenses.TEMPLATES['MIT'][1]}"),
+        (5, prose(3000)), (6, prose(300) + changed + prose(300)), (7, " ".join(words[8:])), (None, prose(9) + mit), (8, "a"), (9, None),
+        (10, (mit + " ") * 40 + prose(30000) + apache),
+    ]
+    found = {}
+    for r in licenses.scan_licenses(frame(spark, rows)).where("kind = 'passage'").collect():
+        found.setdefault((r["doc_id"], r["license"], r["template"]), {})[r["number"]] = round(r["dice"], 9)
+    wanted = {}
+    for i, text in rows:
+        for name, templates in licenses.TEMPLATES.items():
+            for t, template in enumerate(templates):
+                if got := passages_by_hand(text or "", template):
+                    wanted[i, name, t] = {d: round(dice, 9) for d, dice in got.items()}
+    assert found == wanted
+    assert found[1, "MIT", 2] == {2000: 1.0} and list(found[2, "Apache-2.0", 1].values()) == [1.0] and len(found[3, "MIT", 2]) == 3
+    assert found[4, "Apache-2.0", 0] == {7: 1.0} and (4, "MIT", 1) in found and (6, "MIT", 2) in found and (7, "MIT", 2) in found
+    assert len(found[10, "MIT", 2]) == 40 and not any(key[0] == 5 for key in found)
+
+
 # --- toxicity ---
 
 
@@ -210,8 +257,69 @@ def test_words_that_are_not_sent_score_alike(spark, monkeypatch):
     assert sorted(map(key, brown_lm.class_model_scores(frame(spark, rows)).collect())) == wanted
 
 
-def test_class_probabilities_sum_to_one(spark):
+def sentences(n: int, kinds: int = 3, size: int = 40) -> list[str]:
+    """Words of a few kinds in a fixed order of kinds; most are rarer than the head of the clustering."""
+    rng = random.Random(4)
+    return [" ".join(f"{'abcdef'[k]}{int(size * rng.random() ** 2):03d}" for k in [j % kinds for j in range(rng.randint(0, 30))]) for _ in range(n)]
+
+
+def test_class_probabilities_sum_to_one(spark, monkeypatch):
     assert brown_lm.class_model_scores(frame(spark, [(i, None) for i in range(5)])).where("score > 0 OR score IS NULL").count() == 0
+    monkeypatch.setattr(brown_lm, "CLUSTERED", 12)
+    monkeypatch.setattr(brown_lm, "CLASSES", 3)
+    monkeypatch.setattr(brown_lm, "LEAST_LEARNT", 5)
+    rows = [*ODD, *enumerate(sentences(400), 100), (99, "once twice, 5 é")]
+    model = brown_lm.fit_classes(*brown_lm.training_rows(frame(spark, rows))[1:])
+    assert np.allclose((10.0**model.moves).sum(1), 1)
+    training = [brown_lm.tokens((t or "").encode()) for i, t in rows if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for ws in training for w in ws)
+    end = len(model.moves) - 1
+    kind = lambda w: int(model.kinds[model.words.index[w]]) if w in model.words.index else model.first_shape + brown_lm.shape(w)
+    learnt = {w for w in counts if kind(w) < model.first_shape}
+    assert {w for w in counts if counts[w] >= 5} <= learnt and len(learnt) > 60
+    # Words of one kind come into one class, whether in the head or not.
+    assert all(len({kind(w) for w in learnt if w[:1] == letter}) == 1 for letter in (b"a", b"b", b"c"))
+    pairs = Counter()
+    for ws in training:
+        kinds = [end, *map(kind, ws), end]
+        pairs.update(zip(kinds, kinds[1:]))
+    seen, total = Counter(), sum(pairs.values())
+    for (_, b), n in pairs.items():
+        seen[b] += n
+    before = Counter()
+    for (a, _), n in pairs.items():
+        before[a] += n
+    types = Counter(kind(w) for w in counts if w not in learnt)
+
+    def by_hand(ws):
+        score, last = 0.0, end
+        for w in [*ws, None]:
+            k = end if w is None else kind(w)
+            prior = brown_lm.PRIOR * (seen[k] + 1) / (total + end + 1)
+            score += math.log10((pairs[last, k] + prior) / (before[last] + brown_lm.PRIOR))
+            if w is not None:
+                score += math.log10(counts[w] / seen[k] if w in learnt else (counts[w] + 1) / (seen[k] + types[k] + 1))
+            last = k
+        return score
+
+    wanted = Counter((i, round(by_hand(brown_lm.tokens((t or "").encode())), 6)) for i, t in rows)
+    found = brown_lm.class_model_scores(frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in found) == wanted
+
+
+def test_learnt_classes_lower_the_perplexity(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "CLUSTERED", 30)
+    monkeypatch.setattr(brown_lm, "CLASSES", 3)
+    docs = frame(spark, list(enumerate(sentences(800, size=200))))
+
+    def perplexity(column):
+        held = brown_lm.class_model_scores(docs).where("held_out").agg(F.sum(column), F.sum("n_tokens")).first()
+        return 10 ** (-held[0] / held[1])
+
+    learnt = perplexity("score")
+    assert learnt < 0.6 * perplexity("base_score")
+    monkeypatch.setattr(brown_lm, "ROUNDS", 0)
+    assert learnt < 0.8 * perplexity("score")
 
 
 def test_exchange_finds_classes():
