@@ -507,7 +507,12 @@ def string_builders(stmts: DataFrame, by: str = "instance", keys: Sequence[str]
     keys = list(keys)
     if by == "name":
         return _builders_by_name(stmts, keys)
-    calls = builder_calls(stmts, by, keys)
+    found = _builder_texts(builder_calls(stmts, by, keys), keys)
+    return found.select(*keys, "variable", F.col("decl_line").alias("line_number"), "appends", "content")
+
+
+def _builder_texts(calls: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One text per name and declaration, from the rows of `builder_calls`."""
     appended = ~F.col("declares")
     piece = F.when(
         appended,
@@ -519,10 +524,7 @@ def string_builders(stmts: DataFrame, by: str = "instance", keys: Sequence[str]
             F.sum(F.when(appended, F.size(F.regexp_extract_all("chain", F.lit(J.APPEND), F.lit(0))))), F.lit(0)
         ).cast("int").alias("appends"),
     )
-    return grouped.select(
-        *keys, "variable", F.col("decl_line").alias("line_number"), "appends",
-        F.array_join(F.transform("_pieces", lambda p: p["text"]), "").alias("content"),
-    )
+    return grouped.withColumn("content", F.array_join(F.transform("_pieces", lambda p: p["text"]), "")).drop("_pieces")
 
 
 def _builders_by_name(stmts: DataFrame, keys: list[str]) -> DataFrame:
@@ -576,6 +578,77 @@ def scopes(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     return grouped.drop("file_id")
 
 
+def method_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
+    """One nested document per method or constructor with a body: its scopes, and the strings and builders of each.
+
+    `scopes` are in order of their first statement, which numbers them; the first is the body. `parent` is the number
+    of the scope around one, NULL for the body. `strings` are local String variables with the joined literals of
+    their initialiser, `builders` StringBuilder variables with what their appends put together, each where it is
+    declared. Methods of a class inside a method have documents of their own; the class is a scope of the outer
+    one. Chains on names that no scope declares are not part of it.
+    """
+    keys = list(keys)
+    begins = F.col("opener").isNotNull() & (F.col("depth") > 0)
+    local = _maybe_local() & (F.regexp_extract("body", J.STRING_LOCAL, 1) == "String")
+    strings = F.transform(
+        F.filter(J.declarators(F.regexp_replace("body", J.STRING_LOCAL, "")), lambda d: d["value"] != ""),
+        lambda d: F.struct(d["name"].alias("name"), F.col("line_number").alias("line_number"), J.literal_values(d["value"]).alias("content")),
+    )
+    builder = (F.col("depth") > 0) & F.col("body").contains("StringBuilder")
+    payload = ["depth", F.when(begins, True).alias("_begins"), F.when(local, strings).alias("strings")]
+    levels = enclosing(stmts, begins | local | builder, payload, keys)
+    scope, level = F.col("ancestor"), F.col("level")
+    is_method = scope["kind"].isin("method", "constructor")
+    of_method = lambda value: F.max_by(F.when(is_method, value), F.when(is_method, level))
+    is_type = scope["kind"] == "type"
+    placed = levels.groupBy(*_ids(keys), "pos").agg(
+        F.max_by(scope, level).alias("scope"),
+        F.max_by(F.when(level < F.col("depth"), scope["id"]), F.when(level < F.col("depth"), level)).alias("parent"),
+        of_method(scope).alias("method"),
+        F.max_by(F.when(is_type, scope["name"]), F.when(is_type, level)).alias("type_name"),
+        F.any_value("_begins", True).alias("begins"),
+        F.any_value("strings", True).alias("strings"),
+    )
+    texts = _builder_texts(builder_calls(stmts, keys=keys), keys).where("decl_id IS NOT NULL").select(
+        *_ids(keys), F.col("decl_id").alias("pos"),
+        F.struct(F.col("variable").alias("name"), F.col("decl_line").alias("line_number"), "appends", "content").alias("builder"),
+    )
+    facts = placed.unionByName(texts, allowMissingColumns=True).groupBy(*_ids(keys), "pos").agg(
+        *[F.any_value(c, True).alias(c) for c in ("scope", "parent", "method", "type_name", "begins", "strings")],
+        F.collect_list("builder").alias("builders"),
+    ).where("method IS NOT NULL")
+    # Fields of a class inside a method are no locals; its scope stays.
+    in_code = ~F.col("scope.kind").isin(*_MEMBER_SCOPES)
+    facts = facts.withColumns({"strings": F.when(in_code, F.col("strings")), "builders": F.when(in_code, F.col("builders"))})
+    own = F.col("scope.id") == F.col("method.id")
+    per_scope = facts.groupBy(*_ids(keys), F.col("method.id").alias("_method"), F.col("scope.id").alias("_scope")).agg(
+        F.any_value("method").alias("method"), F.any_value("type_name", True).alias("type_name"),
+        F.any_value(F.when(F.col("begins") & ~own, F.col("parent")), True).alias("parent"),
+        F.any_value("scope.kind").alias("kind"), F.any_value("scope.line_number").alias("line_number"),
+        F.array_sort(F.flatten(F.collect_list(F.transform("strings", lambda v: F.struct(F.col("pos").alias("pos"), v.alias("v")))))).alias("strings"),
+        F.array_sort(F.flatten(F.collect_list(F.transform("builders", lambda v: F.struct(F.col("pos").alias("pos"), v.alias("v")))))).alias("builders"),
+    )
+    values = lambda rows: F.transform(rows, lambda r: r["v"])
+    record = F.struct(
+        F.col("_scope").alias("id"), "parent", "kind", "line_number", values("strings").alias("strings"), values("builders").alias("builders")
+    )
+    per_method = per_scope.groupBy(*_ids(keys), "_method").agg(
+        F.any_value("method").alias("method"), F.any_value("type_name", True).alias("type_name"), F.array_sort(F.collect_list(record)).alias("found")
+    )
+    starts = F.transform("found", lambda x: x["id"])
+    scopes_of = F.transform(
+        "found",
+        lambda x, i: F.struct(
+            i.alias("ordinal"), F.nullif(F.array_position(starts, F.coalesce(x["parent"], F.lit(-1))), F.lit(0)).cast("int").alias("parent"),
+            x["kind"].alias("kind"), x["line_number"].alias("line_number"), x["strings"].alias("strings"), x["builders"].alias("builders"),
+        ),
+    )
+    return per_method.select(
+        *keys, "type_name", F.col("method.name").alias("method_name"), F.col("method.line_number").alias("line_number"),
+        F.transform(scopes_of, lambda x: x.withField("parent", x["parent"] - 1)).alias("scopes"),
+    )
+
+
 def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
     """One nested document per file: package, imports, types with their fields and methods.
 

@@ -1097,3 +1097,46 @@ FROM java_keys WHERE shape = 2""",
 def document_text(spark, sf_dir):
     documents = jav.file_documents(_statements(spark, sf_dir))
     return rep.describe_documents(documents).select("file_name", "description")
+
+
+_LOAD_SQL = "'SELECT * FROM TB_' || p || ' a JOIN T_' || c7 || ' b ON a.id = b.id WHERE 1 = 1 '"
+_BLOCK_SQL = "'UPDATE T_' || c9 || ' SET a = ' || k"
+_RUN_SQL = "'INSERT INTO TB_' || p || ' VALUES ();'"
+_NO_PARENT = "CAST(NULL AS INT)"
+
+
+@query(
+    _rows_sql(
+        "type_name, method_name, method_line, ordinal, parent, kind, line_number, strings, builders",
+        f"0: 'Item' || k ; 'Item' || k ; {_int(16, 0)} ; {_NO_PARENT} ; 'constructor' ; {_int(16)} ; '' ; ''",
+        f"0: 'Item' || k ; 'load' ; {_int(21, 0)} ; {_NO_PARENT} ; 'method' ; {_int(21)} ; 'head@22=SELECT 1 x' ; 'sql@23/4=' || {_LOAD_SQL}",
+        f"0: 'Item' || k ; 'load' ; {_int(21, 1, 0)} ; 'block' ; {_int(27)} ; '' ; 'sql@28/1=' || {_BLOCK_SQL}",
+        f"1: 'Dao' || k ; 'fill' ; {_int(8, 0)} ; {_NO_PARENT} ; 'method' ; {_int(8)} ; '' ; ''",
+        f"1: 'Inner' || k ; 'run' ; {_int(13, 0)} ; {_NO_PARENT} ; 'method' ; {_int(13)} ; 'tail@17=' ; 'q@14/5=' || {_RUN_SQL}",
+        f"1: 'Inner' || k ; 'run' ; {_int(13, 1, 0)} ; 'block' ; {_int(18)} ; '' ; ''",
+    ),
+    "java_keys",
+)
+def method_scopes(spark, sf_dir):
+    """The scopes of each method document, a row each."""
+    documents = jav.method_documents(_statements(spark, sf_dir, "{"))
+    line = lambda v: F.concat(v["name"], F.lit("@"), v["line_number"].cast("string"))
+    strings = F.transform("strings", lambda v: F.concat(line(v), F.lit("="), v["content"]))
+    builders = F.transform("builders", lambda v: F.concat(line(v), F.lit("/"), v["appends"].cast("string"), F.lit("="), v["content"]))
+    found = documents.select("file_name", "type_name", "method_name", F.col("line_number").alias("method_line"), F.inline("scopes"))
+    return found.withColumns({"strings": _joined(strings), "builders": _joined(builders)})
+
+
+@query(
+    _rows_sql(
+        "type_name, description",
+        "0: 'Item' || k ; 'Method: Item' || k",
+        f"0: 'Item' || k ; 'Method: load' || chr(10) || '  String head (Line: 22): SELECT 1 x' || chr(10) || '  StringBuilder sql (Line: 23): ' || {_LOAD_SQL} || chr(10) || '    StringBuilder sql (Line: 28): ' || {_BLOCK_SQL}",
+        "1: 'Dao' || k ; 'Method: fill'",
+        f"1: 'Inner' || k ; 'Method: run' || chr(10) || '  String tail (Line: 17): ' || chr(10) || '  StringBuilder q (Line: 14): ' || {_RUN_SQL}",
+    ),
+    "java_keys",
+)
+def method_text(spark, sf_dir):
+    documents = jav.method_documents(_statements(spark, sf_dir, "{"))
+    return rep.describe_methods(documents).select("file_name", "type_name", "description")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sqltrail.operators import java as J
+from sqltrail.operators import report as P
 
 SCHEMA = "repo_name string, file_path string, file_name string, content string"
 
@@ -307,3 +308,41 @@ def test_usage_of_a_file_in_one_row(spark):
     ]
     plan = U.classify_file_usage(files, catalog)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(repo_name" not in plan and plan.count("Join") == 1
+
+
+def test_method_documents(spark):
+    text = """class A {
+  abstract int none();
+  void empty() {}
+  void run() {
+    String a = "x" + "y", b;
+    if (t) {
+      StringBuilder sb = new StringBuilder();
+      while (u) { String c = "z"; sb.append("1"); }
+      sb.append("2");
+    }
+    Runnable r = new Runnable() {
+      String field = "no";
+      public void go() { String d = "in"; }
+    };
+    { String e = "last"; }
+  }
+}
+"""
+    files = spark.createDataFrame([("r", "p", "A.java", text), ("r", "p", "Empty.java", ""), ("r", "p", "N.java", None)], "repo_name string, file_path string, file_name string, content string")
+    found = {r["method_name"]: r["scopes"] for r in J.method_documents(J.statements(files)).collect()}
+    assert set(found) == {"empty", "run", "go"}
+    flat = lambda name: [(s["parent"], s["kind"], s["line_number"], [tuple(v) for v in s["strings"]], [tuple(v) for v in s["builders"]]) for s in found[name]]
+    assert flat("empty") == [(None, "method", 3, [], [])]
+    assert flat("run") == [
+        (None, "method", 4, [("a", 5, "xy")], []),
+        (0, "block", 6, [], [("sb", 7, 2, "12")]),
+        (1, "block", 8, [("c", 8, "z")], []),
+        (0, "anonymous", 11, [], []),
+        (0, "block", 15, [("e", 15, "last")], []),
+    ]
+    assert flat("go") == [(None, "method", 13, [("d", 13, "in")], [])]
+    texts = P.describe_methods(J.method_documents(J.statements(files))).collect()
+    assert {r["method_name"]: r["description"] for r in texts}["run"].split("\n") == [
+        "Method: run", "  String a (Line: 5): xy", "    StringBuilder sb (Line: 7): 12", "      String c (Line: 8): z", "    String e (Line: 15): last",
+    ]
