@@ -73,12 +73,15 @@ def map_references(
     extractors: dict[str, X.Extractor] | None = None,
     with_operation: bool = True,
     strict: bool = False,
+    fits: bool | None = None,
 ) -> DataFrame:
     """Every catalog object whose name is a token of a literal.
 
     One row per object and token occurrence: repeated tokens repeat, and a name that several owners
     have gives a row for each. One pass over the lines; they are not shuffled while the catalog is
-    within the broadcast bound. Beyond it, tokens and names meet in a plain shuffle join.
+    within the broadcast bound. Beyond it, tokens that a Bloom filter of the names lets pass meet them in a
+    plain shuffle join; the others are not shuffled. `fits` says whether the names are within the bound, where
+    that is known.
     """
     names = (
         where_type(where_owner(catalog, owners), types)
@@ -89,7 +92,7 @@ def map_references(
     found = operation_tokens(lines, extractors, strict).withColumnRenamed("token", "object_name")
     if not with_operation:
         found = found.withColumn("operation", F.lit(""))
-    hits = scaled_join(found, names, ["object_name"], fits=sizing.fits_broadcast(names))
+    hits = scaled_join(found, names, ["object_name"], fits=sizing.fits_broadcast(names) if fits is None else fits, few_match=True)
     return hits.withColumn("valid", F.lit("")).select(*CODE_REFS.fieldNames())
 
 
@@ -98,7 +101,7 @@ def keep_known(
 ) -> DataFrame:
     """Rows whose name the catalog has. Without `upper_names`, lower-case catalog rows never match."""
     known = F.upper("object_name") if upper_names else F.col("object_name")
-    return scaled_join(df, catalog.select(known.alias(name)).distinct(), [name], "left_semi")
+    return scaled_join(df, catalog.select(known.alias(name)).distinct(), [name], "left_semi", few_match=True)
 
 
 def resolve_in_owner(
@@ -114,4 +117,4 @@ def resolve_in_owner(
         .groupBy(F.upper("object_name").alias(name))
         .agg(F.element_at(F.array(*[F.lit(t) for t in RELATION_TYPES]), F.min(rank).cast("int")).alias("object_type"))
     )
-    return scaled_join(df, best, [name]).withColumn("owner", F.lit(owner))
+    return scaled_join(df, best, [name], few_match=True).withColumn("owner", F.lit(owner))

@@ -108,6 +108,7 @@ def strip_lines(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.py_strip(padded).alias("line"))
 
 
+# The patterns of quoted texts with escapes.
 RE_ESCAPED_SINGLE = r"''(?:\\.|[^\\''])*''"
 RE_ESCAPED_DOUBLE = r'"(?:\\.|[^\\"])*"'
 RE_ESCAPED_BACKTICK = r"`(?:\\.|[^\\`])*`"
@@ -232,6 +233,12 @@ def code_refs(spark, sf_dir):
     return ref.map_references(src_lines(spark, sf_dir), view(spark, sf_dir, "catalog"))
 
 
+@query(_refs_sql(C.CODE_MAP_TYPES), "src_lines", "catalog")
+def code_refs_shuffled(spark, sf_dir):
+    """As for a catalog beyond the broadcast bound."""
+    return ref.map_references(src_lines(spark, sf_dir), view(spark, sf_dir, "catalog"), fits=False)
+
+
 @query(_refs_sql(C.REFERENCES_TYPES, operation="''"), "src_lines", "catalog")
 def code_refs_references(spark, sf_dir):
     return ref.map_references(
@@ -303,6 +310,7 @@ def lineage_edges(spark, sf_dir):
 
 RELATIONS = "SELECT object_name FROM catalog WHERE object_type IN ('TABLE', 'VIEW', 'MATERIALIZED VIEW')"
 
+# The patterns whose groups are the names read and changed.
 SQL_READS = r"list_concat(regexp_extract_all({0}, '(?is)SELECT\s.*?\sFROM\s+(\w+)', 1), regexp_extract_all({0}, '(?is)JOIN\s+(\w+)\s', 1))"
 SQL_CHANGES = r"regexp_extract_all({0}, '(?i)(INSERT INTO|UPDATE|DELETE FROM)\s+(\w+)', 2)"
 
@@ -415,6 +423,7 @@ def package_class(spark, sf_dir):
     return found.select("file_name", "package_name", "class_name")
 
 
+# The patterns that say what a name of a whole file is used for.
 _FILE_USAGE = r"""
 named AS (SELECT DISTINCT file_name, content, unnest(regexp_extract_all(content, '\b[A-Z_][A-Z0-9_]*\b')) AS table_name FROM java_files),
 usage AS (SELECT file_name, table_name, regexp_matches(content, '(?is)SELECT.*?FROM.*?\b' || table_name || '\b') AS read,

@@ -89,7 +89,10 @@ def test_hits_with_and_without_broadcast(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         large = R.map_references(lines, catalog)
-        assert "BroadcastHashJoin" not in large._jdf.queryExecution().toString()
+        plan = large._jdf.queryExecution().executedPlan().toString()
+        # The names meet the tokens in a shuffle join, after the only thing that is sent: the sieve.
+        assert plan.count("SortMergeJoin") == 1 and plan.count("BroadcastHashJoin") == 1
+        assert plan.index("SortMergeJoin") < plan.index("Exchange hashpartitioning(object_name") < plan.index("BroadcastHashJoin")
         assert hits(large) == expected
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
@@ -116,6 +119,49 @@ def test_join_beyond_the_bound_repeats_no_side(spark, how):
     assert counted(joined) == counted(big.join(small, "k", how))
 
 
+def test_sieve_keeps_matches_and_few_others(spark):
+    keys = spark.range(0, 60_000, 3).select(F.concat(F.lit("TB_"), "id").alias("a.key"), F.lit(1).alias("other"))
+    rows = spark.range(60_000).select(F.concat(F.lit("TB_"), "id").alias("a.key"), F.col("id").alias("bits"), F.lit("x").alias("_sieve_word0"))
+    passed = sizing.sieve(rows, keys, ["a.key"])
+    assert passed.columns == rows.columns
+    matching = F.col("bits") % 3 == 0
+    assert passed.filter(matching).count() == 20_000
+    assert passed.filter(~matching).count() < 40_000 / 50
+
+
+def test_sieve_of_no_keys_several_keys_and_other_types(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, None), (None, "b")], "k int, n string")
+    assert sizing.sieve(rows, rows.limit(0), ["k", "n"]).count() == 0
+    both = sizing.sieve(rows, rows.filter("k = 1"), ["k", "n"])
+    assert (1, "a") in [tuple(r) for r in both.collect()]
+    wider = rows.withColumn("k", F.col("k").cast("bigint"))
+    assert sizing.sieve(rows, wider, ["k"]) is rows
+    halves = rows.withColumn("k", F.col("k") / 2)
+    assert sizing.sieve(halves, halves, ["k"]) is halves
+
+
+def test_sieve_of_a_bounded_size_keeps_all_matches(spark, monkeypatch):
+    monkeypatch.setattr(sizing, "SIEVE_WORDS", 100)
+    keys = spark.range(5_000).select(F.col("id").alias("k"))
+    assert sizing.sieve(keys, keys, ["k"]).count() == 5_000
+
+
+def test_sieve_is_for_joins_that_drop_rows(spark):
+    rows = spark.range(3).toDF("k")
+    with pytest.raises(ValueError):
+        sizing.scaled_join(rows, rows, ["k"], "left", few_match=True)
+
+
+def test_few_tokens_are_shuffled_beyond_the_bound(spark):
+    lines = make_lines(spark, [f'"SELECT COL_{i} FROM TB_{i} WHERE X_{i} = Y_{i} AND Z_{i} = {i}"' for i in range(2_000)])
+    names = spark.range(0, 2_000, 50).select(F.concat(F.lit("TB_"), "id").alias("object_name"))
+    tokens = R.operation_tokens(lines).withColumnRenamed("token", "object_name")
+    assert sizing.sieve(tokens, names, ["object_name"]).count() * 10 < tokens.count()
+    catalog = make_catalog(spark, *[r[0] for r in names.collect()])
+    shuffled = R.map_references(lines, catalog, fits=False)
+    assert hits(shuffled) == hits(R.map_references(lines, catalog, fits=True))
+
+
 def test_size_check_counts_rows_and_bytes(spark):
     df = spark.range(100).select(F.lit("12345678").alias("t"))
     assert sizing.fits_broadcast(df, 100, 800)
