@@ -584,10 +584,18 @@ def method_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFr
     `scopes` are in order of their first statement, which numbers them; the first is the body. `parent` is the number
     of the scope around one, NULL for the body. `strings` are local String variables with the joined literals of
     their initialiser, `builders` StringBuilder variables with what their appends put together, each where it is
-    declared. Methods of a class inside a method have documents of their own; the class is a scope of the outer
-    one. Chains on names that no scope declares are not part of it.
+    declared, and `calls` what is called on a name, on `this` or on nothing, in order. Methods of a class inside a
+    method have documents of their own; the class is a scope of the outer one. Chains on names that no scope
+    declares are not among the builders.
     """
     keys = list(keys)
+    return _method_scopes(stmts, keys).select(
+        *keys, "type_name", F.col("method.name").alias("method_name"), F.col("method.line_number").alias("line_number"), "scopes"
+    )
+
+
+def _method_scopes(stmts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """`file_id`, `keys`, `_method` (the id of its scope), `method`, `type_name` and `scopes` of each method with a body."""
     begins = F.col("opener").isNotNull() & (F.col("depth") > 0)
     local = _maybe_local() & (F.regexp_extract("body", J.STRING_LOCAL, 1) == "String")
     strings = F.transform(
@@ -595,8 +603,12 @@ def method_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFr
         lambda d: F.struct(d["name"].alias("name"), F.col("line_number").alias("line_number"), J.literal_values(d["value"]).alias("content")),
     )
     builder = (F.col("depth") > 0) & F.col("body").contains("StringBuilder")
-    payload = ["depth", F.when(begins, True).alias("_begins"), F.when(local, strings).alias("strings")]
-    levels = enclosing(stmts, begins | local | builder, payload, keys)
+    calling = (F.col("depth") > 0) & F.col("body").contains("(") & ~F.col("shape").isin("method", "constructor", "type")
+    calls = F.transform(J.receiver_calls(F.col("body")), lambda c: F.struct(F.col("line_number").alias("line_number"), c["receiver"].alias("receiver"), c["method"].alias("method")))
+    payload = [
+        "depth", F.when(begins, True).alias("_begins"), F.when(local, strings).alias("strings"), F.when(calling, calls).alias("calls"),
+    ]
+    levels = enclosing(stmts, begins | local | builder | calling, payload, keys)
     scope, level = F.col("ancestor"), F.col("level")
     is_method = scope["kind"].isin("method", "constructor")
     of_method = lambda value: F.max_by(F.when(is_method, value), F.when(is_method, level))
@@ -607,30 +619,34 @@ def method_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFr
         of_method(scope).alias("method"),
         F.max_by(F.when(is_type, scope["name"]), F.when(is_type, level)).alias("type_name"),
         F.any_value("_begins", True).alias("begins"),
-        F.any_value("strings", True).alias("strings"),
+        F.any_value("strings", True).alias("strings"), F.any_value("calls", True).alias("calls"),
     )
     texts = _builder_texts(builder_calls(stmts, keys=keys), keys).where("decl_id IS NOT NULL").select(
         *_ids(keys), F.col("decl_id").alias("pos"),
         F.struct(F.col("variable").alias("name"), F.col("decl_line").alias("line_number"), "appends", "content").alias("builder"),
     )
     facts = placed.unionByName(texts, allowMissingColumns=True).groupBy(*_ids(keys), "pos").agg(
-        *[F.any_value(c, True).alias(c) for c in ("scope", "parent", "method", "type_name", "begins", "strings")],
+        *[F.any_value(c, True).alias(c) for c in ("scope", "parent", "method", "type_name", "begins", "strings", "calls")],
         F.collect_list("builder").alias("builders"),
     ).where("method IS NOT NULL")
-    # Fields of a class inside a method are no locals; its scope stays.
+    # Fields of a class inside a method are no locals, and what they are set to is not called here; its scope stays.
     in_code = ~F.col("scope.kind").isin(*_MEMBER_SCOPES)
-    facts = facts.withColumns({"strings": F.when(in_code, F.col("strings")), "builders": F.when(in_code, F.col("builders"))})
+    facts = facts.withColumns({c: F.when(in_code, F.col(c)) for c in ("strings", "builders", "calls")})
+    in_order = lambda c: F.array_sort(
+        F.flatten(F.collect_list(F.transform(c, lambda v, i: F.struct(F.col("pos").alias("pos"), i.alias("i"), v.alias("v")))))
+    ).alias(c)
     own = F.col("scope.id") == F.col("method.id")
     per_scope = facts.groupBy(*_ids(keys), F.col("method.id").alias("_method"), F.col("scope.id").alias("_scope")).agg(
         F.any_value("method").alias("method"), F.any_value("type_name", True).alias("type_name"),
         F.any_value(F.when(F.col("begins") & ~own, F.col("parent")), True).alias("parent"),
         F.any_value("scope.kind").alias("kind"), F.any_value("scope.line_number").alias("line_number"),
-        F.array_sort(F.flatten(F.collect_list(F.transform("strings", lambda v: F.struct(F.col("pos").alias("pos"), v.alias("v")))))).alias("strings"),
+        in_order("strings"), in_order("calls"),
         F.array_sort(F.flatten(F.collect_list(F.transform("builders", lambda v: F.struct(F.col("pos").alias("pos"), v.alias("v")))))).alias("builders"),
     )
     values = lambda rows: F.transform(rows, lambda r: r["v"])
     record = F.struct(
-        F.col("_scope").alias("id"), "parent", "kind", "line_number", values("strings").alias("strings"), values("builders").alias("builders")
+        F.col("_scope").alias("id"), "parent", "kind", "line_number", values("strings").alias("strings"), values("builders").alias("builders"),
+        values("calls").alias("calls"),
     )
     per_method = per_scope.groupBy(*_ids(keys), "_method").agg(
         F.any_value("method").alias("method"), F.any_value("type_name", True).alias("type_name"), F.array_sort(F.collect_list(record)).alias("found")
@@ -641,18 +657,34 @@ def method_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFr
         lambda x, i: F.struct(
             i.alias("ordinal"), F.nullif(F.array_position(starts, F.coalesce(x["parent"], F.lit(-1))), F.lit(0)).cast("int").alias("parent"),
             x["kind"].alias("kind"), x["line_number"].alias("line_number"), x["strings"].alias("strings"), x["builders"].alias("builders"),
+            x["calls"].alias("calls"),
         ),
     )
     return per_method.select(
-        *keys, "type_name", F.col("method.name").alias("method_name"), F.col("method.line_number").alias("line_number"),
+        *_ids(keys), "_method", "method", "type_name",
         F.transform(scopes_of, lambda x: x.withField("parent", x["parent"] - 1)).alias("scopes"),
     )
 
 
-def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFrame:
+def all_documents(files: DataFrame, keys: Sequence[str] = FILE_KEY, content: str = "content") -> DataFrame:
+    """The document of every file, with the scopes of its methods; for empty and missing text one without any fact."""
+    keys = list(keys)
+    documents = file_documents(statements(files, keys, content), keys, with_scopes=True)
+    empty = files.filter(F.coalesce(F.col(content), F.lit("")) == "").select(*keys)
+    return documents.unionByName(
+        empty.select(*keys, *[
+            (F.lit(None) if name == "package_name" else F.array()).cast(documents.schema[name].dataType).alias(name)
+            for name in documents.columns if name not in keys
+        ])
+    )
+
+
+def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY, with_scopes: bool = False) -> DataFrame:
     """One nested document per file: package, imports, types with their fields and methods.
 
-    A file that declares nothing has a document too, unless it is empty text. All facts of a file come from its own row, so the groups are no larger than the file.
+    A file that declares nothing has a document too, unless it is empty text. With `with_scopes` each method has the
+    `scopes` of its `method_documents`, NULL where it has no body. All facts of a file come from its own row, so the
+    groups are no larger than the file.
     """
     keys = list(keys)
     at_top = F.col("depth") == 0
@@ -701,6 +733,14 @@ def file_documents(stmts: DataFrame, keys: Sequence[str] = FILE_KEY) -> DataFram
             ),
         ).alias("fields"),
     )
+    if with_scopes:
+        # The scopes come to the row where their method begins; files stay where they are.
+        found = _method_scopes(stmts, keys).select(*_ids(keys), (F.col("_method") - 1).cast("int").alias("pos"), "scopes")
+        merged = detailed.unionByName(found, allowMissingColumns=True).groupBy(*_ids(keys), "pos").agg(
+            *[F.any_value(c, True).alias(c) for c in (*detailed.columns[len(_ids(keys)) + 1 :], "scopes")]
+        )
+        scoped = F.col("method").withField("scopes", F.col("scopes"))
+        detailed = merged.where("fact IS NOT NULL").withColumn("method", F.when(F.col("method").isNotNull(), scoped)).drop("scopes")
     per_type = detailed.groupBy(*_ids(keys), "_owner").agg(
         F.max("pos").alias("pos"),
         F.max(F.when(F.col("fact") == "package", F.col("text"))).alias("package_name"),

@@ -1133,7 +1133,33 @@ def method_scopes(spark, sf_dir):
     strings = F.transform("strings", lambda v: F.concat(line(v), F.lit("="), v["content"]))
     builders = F.transform("builders", lambda v: F.concat(line(v), F.lit("/"), v["appends"].cast("string"), F.lit("="), v["content"]))
     found = documents.select("file_name", "type_name", "method_name", F.col("line_number").alias("method_line"), F.inline("scopes"))
-    return found.withColumns({"strings": _joined(strings), "builders": _joined(builders)})
+    return found.withColumns({"strings": _joined(strings), "builders": _joined(builders)}).drop("calls")
+
+
+@query(
+    _rows_sql(
+        "type_name, method_name, ordinal, kind, strings, builders, calls",
+        f"0: 'Item' || k ; 'Item' || k ; {_int(0)} ; 'constructor' ; '' ; '' ; ''",
+        f"0: 'Item' || k ; 'load' ; {_int(0)} ; 'method' ; 'head' ; 'sql' ; '24 sql.append,25 sql.append,31 sql.append,32 sql.toString'",
+        f"0: 'Item' || k ; 'load' ; {_int(1)} ; 'block' ; '' ; 'sql' ; '29 sql.append'",
+        f"1: 'Dao' || k ; 'fill' ; {_int(0)} ; 'method' ; '' ; '' ; '9 out.append'",
+        f"1: 'Inner' || k ; 'run' ; {_int(0)} ; 'method' ; 'tail' ; 'q' ; '15 q.append,16 q.append,17 q.toString'",
+        f"1: 'Inner' || k ; 'run' ; {_int(1)} ; 'block' ; '' ; '' ; '18 q.append'",
+        *[f"2: 'Item' || k || 'Repo' ; '{name}' ; CAST(NULL AS INT) ; CAST(NULL AS VARCHAR) ; '' ; '' ; ''" for name in ("findAll", "deleteById", "findById")],
+    ),
+    "java_keys",
+)
+def file_scopes(spark, sf_dir):
+    """The scopes of all methods of the documents of all files, a row each; a method without a body is a row too."""
+    types = jav.all_documents(java_files(spark, sf_dir)).select("file_name", F.explode("types").alias("type"))
+    methods = types.select("file_name", F.col("type.name").alias("type_name"), F.explode("type.methods").alias("method"))
+    found = methods.select("file_name", "type_name", F.col("method.name").alias("method_name"), F.inline_outer("method.scopes"))
+    names = lambda c: _joined(F.coalesce(F.col(c)["name"], F.array().cast("array<string>")), ",")
+    called = F.transform("calls", lambda c: F.concat(c["line_number"].cast("string"), F.lit(" "), c["receiver"], F.lit("."), c["method"]))
+    return found.select(
+        "file_name", "type_name", "method_name", "ordinal", "kind", names("strings").alias("strings"), names("builders").alias("builders"),
+        F.coalesce(_joined(called, ","), F.lit("")).alias("calls"),
+    )
 
 
 @query(

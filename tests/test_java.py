@@ -346,3 +346,36 @@ def test_method_documents(spark):
     assert {r["method_name"]: r["description"] for r in texts}["run"].split("\n") == [
         "Method: run", "  String a (Line: 5): xy", "    StringBuilder sb (Line: 7): 12", "      String c (Line: 8): z", "    String e (Line: 15): last",
     ]
+
+
+def test_file_documents_hold_scopes(spark):
+    text = """class A {
+  int f = first(1);
+  abstract int none();
+  A() { super(); init(); }
+  void run() {
+    String b = "1", a = "2";
+    if (this.ready() && util.ok(x)) { repo.find(b).close(); }
+    Object o = new Object() { int g = hidden(); void go() { inner.call(); } };
+    log("not(a) call");
+  }
+  static class B { void run() { helper(); } }
+}
+"""
+    schema = "repo_name string, file_path string, file_name string, content string"
+    files = spark.createDataFrame([("r", "p", "A.java", text), ("r", "p", "Empty.java", ""), ("r", "p", "N.java", None), ("r", "p", "S.java", "  ")], schema)
+    found = {r["file_name"]: r for r in J.all_documents(files).collect()}
+    assert len(found) == 4
+    for name in ("Empty.java", "N.java", "S.java"):
+        assert (found[name]["package_name"], found[name]["imports"], found[name]["types"]) == (None, [], [])
+    types = {t["name"]: {m["name"]: m["scopes"] for m in t["methods"]} for t in found["A.java"]["types"]}
+    calls = lambda scopes: [(s["kind"], [(c["line_number"], c["receiver"], c["method"]) for c in s["calls"]]) for s in scopes]
+    assert types["A"]["none"] is None
+    assert calls(types["A"]["A"]) == [("constructor", [(4, "", "init")])]
+    assert calls(types["A"]["run"]) == [
+        ("method", [(7, "", "ready"), (7, "util", "ok"), (9, "", "log")]), ("block", [(7, "repo", "find")]), ("anonymous", []),
+    ]
+    assert [v["name"] for v in types["A"]["run"][0]["strings"]] == ["b", "a"]
+    assert calls(types["B"]["run"]) == [("method", [(11, "", "helper")])]
+    plain = J.file_documents(J.statements(files)).where("file_name = 'A.java'").first()
+    assert [m["name"] for m in plain["types"][0]["methods"]] == [m["name"] for m in found["A.java"]["types"][0]["methods"]]

@@ -24,7 +24,7 @@ keywords_in_quotes domain_paths code_refs code_refs_references known_tables_semi
 catalog_wide edges_named fk_orphans catalog_dedup object_index table_usage lineage_edges usage_by_file
 usage_simple file_documents constraint_report upsert_customers
 code_refs_shuffled
-load_bucketed method_scopes method_text
+load_bucketed method_scopes method_text file_scopes
 """.split()
 
 
