@@ -59,10 +59,17 @@ INITIALISER = rf"{_VALUE_BRACE}{BRACES}\}}"
 STATEMENT = rf"(?:{LITERAL}|{COMMENT}|{ANNOTATION}|{INITIALISER}|[^\"'/;{{}}@]++|[\"'/@])*+(?:[;{{}}]|\z)"
 # An opening bracket that the patterns cannot pass over: what it holds nests too deep, or is not closed.
 _IN_TYPE = r"[^<>;{}()=&|\"']"
-DEEP = (
-    rf"{LITERAL}|{COMMENT}|(?<deep>\({ARGS}\(|{_VALUE_BRACE}{BRACES}\{{|<{_nested_angles(DEPTH - 1, _IN_TYPE)}<)"
+_DEEP = rf"\({ARGS}\(|{_VALUE_BRACE}{BRACES}\{{|<{_nested_angles(DEPTH - 1, _IN_TYPE)}<"
+# The text up to the first of these; what follows is not read.
+DEEP = rf"\A(?:{LITERAL}|{COMMENT}|[^\"'/({{<]++|(?!{_DEEP})[\s\S])*+(?:{_DEEP})"
+# Text in front of a bracket that leaves the depths as they are.
+_PLAIN = r"[^\"'/@(){}<>;=&|]*+"
+_MARK = rf"@{ID}++(?:\.{ID}++)*+\s*+\("
+# Brackets of one kind that follow each other are one piece, so a file has few pieces however deep it nests.
+PIECE = (
+    rf"{LITERAL}|{COMMENT}|{_MARK}(?:\s*+\{{\s*+{_MARK})*+|(?:{_PLAIN}\()++|(?:{_PLAIN}<)++|\)++|\{{++|\}}++|>++|;"
+    r"|[^\"'/@(){}<>;]++|[\"'/@]"
 )
-PIECE = rf"{LITERAL}|{COMMENT}|@{ID}++(?:\.{ID}++)*+\s*+\(|[(){{}}<>;]|[^\"'/@(){{}}<>;]++|[\"'/@]"
 
 # Words that may stand before a declaration.
 MODIFIERS = (
@@ -99,60 +106,108 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, then) -> Column:
+    """What `then` makes of `value`, which is worked out once however often it is named there."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
+def runs_of(items: Column) -> Column:
+    """`items` in runs of RUN_PIECES, for walks that join their results at the end."""
+    starts = F.sequence(F.lit(0), F.floor(F.size(items) / RUN_PIECES).cast("int"))
+    return F.transform(starts, lambda i: F.slice(items, i * RUN_PIECES + 1, F.lit(RUN_PIECES)))
+
+
 def is_deep(content: Column) -> Column:
     """Whether brackets may nest below the levels that the patterns follow."""
-    return F.exists(_all(content, DEEP, 1), lambda found: found != "")
+    return content.rlike(DEEP)
+
+
+def _fold_from(text: Column, opener: str, plain: Column, count: Column) -> Column:
+    """`text` with `count` opening brackets, those after the first `plain` ones folded."""
+    head = F.call_function("substring_index", text, F.lit(opener), plain)
+    sign = FOLDED[BRACKETS.index(opener)]
+    rest = F.replace(F.substring(text, F.length(head) + 2, F.length(text)), F.lit(opener), F.lit(sign))
+    return F.when(plain >= count, text).when(plain <= 0, F.replace(text, F.lit(opener), F.lit(sign))).otherwise(F.concat(head, F.lit(opener), rest))
+
+
+def _fold_to(closer: str, folded: Column, count: Column) -> Column:
+    """`count` closing brackets, the first `folded` ones folded."""
+    deep = F.least(F.greatest(folded, F.lit(0)), count)
+    return F.concat(F.repeat(F.lit(FOLDED[BRACKETS.index(closer)]), deep), F.repeat(F.lit(closer), count - deep))
 
 
 def fold(content: Column) -> Column:
     """`content` with other signs for the brackets below DEPTH levels, so that patterns of that depth hold.
 
-    Pieces (literals, comments, brackets, the rest) are walked in order with the depth of parentheses, of braces of an
-    initialiser and of angle brackets. Parentheses start anew at the end of a statement. The walk goes over runs of
-    RUN_PIECES pieces, whose texts are joined at the end, so its cost grows with the length of the text.
+    Pieces (literals, comments, runs of one kind of bracket, the rest) are walked in order with the depth of parentheses,
+    of braces of an initialiser and of angle brackets. Parentheses start anew at the end of a statement. The walk goes
+    over runs of RUN_PIECES pieces, whose texts are joined at the end, so its cost grows with the length of the text.
     """
-    none = F.struct(*[F.lit(0).alias(c) for c in ("parens", "annotation", "braces", "angles")], F.lit("").alias("before"), F.lit("").alias("out"))
-
-    def after(s: Column, x: Column) -> Column:
+    names = ("parens", "annotation", "braces", "angles", "before")
+    none = F.struct(*[F.lit(0).alias(c) for c in names[:4]], F.lit("").alias("before"), F.lit("").alias("out"))
+
+    def described(x: Column) -> Column:
+        """A piece with its kind (what it ends with: a bracket, `;`; else text or other) and how many of these it has."""
+        first, last = F.left(x, F.lit(1)), F.right(x, F.lit(1))
+        kind = F.when(first.isin('"', "'") | x.startswith("//") | x.startswith("/*"), "other").when(
+            (first == "@") & (last == "("), "@").when(last.isin(*BRACKETS, ";"), last).otherwise("text")
+        opener = F.when(first == "@", "(").otherwise(last)
+        count = F.when(kind.isin("other", "text"), 0).otherwise(F.length(x) - F.length(F.replace(x, opener, F.lit(""))))
+        return F.struct(x.alias("x"), kind.alias("kind"), count.cast("int").alias("count"))
+
+    def after(s: Column, piece: Column) -> Column:
         parens, annotation, braces, angles = s["parens"], s["annotation"], s["braces"], s["angles"]
+        x, kind, count = piece["x"], piece["kind"], piece["count"]
         plain = annotation == 0
-        marks = x.startswith("@") & x.endswith("(")
-        opens, closes = (x == "(") | marks, x == ")"
-        value = (braces > 0) | s["before"].isin("=", "]", "default")
-        braces_after = F.when(plain & (x == "{") & value, braces + 1).when(plain & (x == "}"), F.greatest(braces - 1, F.lit(0))).otherwise(braces)
-        ends = plain & (braces == 0) & (braces_after == 0) & x.isin(";", "{", "}")
-        parens_after = F.when(opens, parens + 1).when(closes, F.greatest(parens - 1, F.lit(0))).when(ends, 0).otherwise(parens)
-        angles_after = (
-            F.when(x == "<", angles + 1).when(x == ">", F.greatest(angles - 1, F.lit(0)))
-            .when(x.rlike(r"^[(){};]$|^[^\"'/].*[=&|]|^[=&|]"), 0).otherwise(angles)
-        )
-        deep = (
-            F.when(opens | closes, F.greatest(parens, parens_after) > DEPTH)
-            .when(x.isin("{", "}"), plain & (F.greatest(braces, braces_after) > DEPTH))
-            .when(x.isin("<", ">"), F.greatest(angles, angles_after) > DEPTH).otherwise(F.lit(False))
-        )
+        value = plain & ((braces > 0) | s["before"].isin("=", "]", "default"))
+        zero = F.lit(0)
+        closed = lambda depth: F.greatest(depth - count, zero)
+
+        def become(out: Column, **changed: Column) -> Column:
+            return F.struct(*[changed.get(name, s[name]).alias(name) for name in names], F.concat(s["out"], out).alias("out"))
+
         bare = F.rtrim(x, F.lit(" \t\n\r\f"))
-        seen = F.when((bare == "") | x.rlike(r"^/[/*]"), s["before"]).when(bare.rlike(r"(?s)(^|\W)default$"), "default").otherwise(F.right(bare, F.lit(1)))
-        return F.struct(
-            parens_after.alias("parens"),
-            F.when(plain & marks, parens + 1).when(closes & (parens == annotation), 0).otherwise(annotation).alias("annotation"),
-            braces_after.alias("braces"), angles_after.alias("angles"), seen.alias("before"),
-            F.concat(s["out"], F.when(deep, F.translate(x, BRACKETS, FOLDED)).otherwise(x)).alias("out"),
+        comment = x.startswith("//") | x.startswith("/*")
+        seen = F.when((bare == "") | comment, s["before"]).when(bare.rlike(r"(?s)(^|\W)default$"), "default").otherwise(F.right(bare, F.lit(1)))
+        opened = _fold_from(x, "(", DEPTH - parens, count)
+        return (
+            F.when(kind == "other", become(x, before=seen))
+            .when(kind == "text", become(x, before=seen, angles=F.when(x.rlike(r"^[^\"'/].*[=&|]|^[=&|]"), 0).otherwise(angles)))
+            .when(kind == "(", become(opened, parens=parens + count, angles=zero, before=kind))
+            .when(kind == ")", become(
+                _fold_to(")", parens - DEPTH, count), parens=closed(parens), angles=zero, before=kind,
+                annotation=F.when(annotation > closed(parens), 0).otherwise(annotation),
+            ))
+            .when(kind == "{", become(
+                F.when(value, _fold_from(x, "{", DEPTH - braces, count)).otherwise(x), braces=F.when(value, braces + count).otherwise(braces),
+                parens=F.when(plain & ~value, 0).otherwise(parens), angles=zero, before=kind,
+            ))
+            .when(kind == "}", become(
+                F.when(plain, _fold_to("}", braces - DEPTH, count)).otherwise(x), braces=F.when(plain, closed(braces)).otherwise(braces),
+                parens=F.when(plain & (count > braces), 0).otherwise(parens), angles=zero, before=kind,
+            ))
+            .when(kind == "<", become(_fold_from(x, "<", DEPTH - angles, count), angles=angles + count, before=kind))
+            .when(kind == ">", become(_fold_to(">", angles - DEPTH, count), angles=closed(angles), before=kind))
+            # Braces between the marks of a run stand inside the first one's parentheses.
+            .when(kind == "@", become(
+                opened, parens=parens + count, annotation=F.when(plain, parens + 1).otherwise(annotation),
+                angles=F.when(x.contains("{"), 0).otherwise(angles), before=F.lit("("),
+            ))
+            .otherwise(become(x, parens=F.when(plain & (braces == 0), 0).otherwise(parens), angles=zero, before=kind))
         )
 
     def with_out(s: Column, out: Column) -> Column:
-        return F.struct(*[s[name].alias(name) for name in ("parens", "annotation", "braces", "angles", "before")], out.alias("out"))
+        return F.struct(*[s[name].alias(name) for name in names], out.alias("out"))
 
     def walk(s: Column, run: Column) -> Column:
         last = F.aggregate(run, with_out(s["state"], F.lit("")), after)
-        return F.struct(last.alias("state"), F.array_append(s["outs"], last["out"]).alias("outs"))
+        return let(last, lambda found: F.struct(found.alias("state"), F.array_append(s["outs"], found["out"]).alias("outs")))
 
-    pieces = _all(content, PIECE)
-    runs = F.transform(F.sequence(F.lit(0), F.floor(F.size(pieces) / RUN_PIECES).cast("int")), lambda i: F.slice(pieces, i * RUN_PIECES + 1, F.lit(RUN_PIECES)))
+    runs = let(F.transform(_all(content, PIECE), described), runs_of)
     start = F.struct(none.alias("state"), F.array().cast("array<string>").alias("outs"))
     return F.array_join(F.aggregate(runs, start, walk)["outs"], "")
 

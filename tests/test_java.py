@@ -379,3 +379,21 @@ def test_file_documents_hold_scopes(spark):
     assert calls(types["B"]["run"]) == [("method", [(11, "", "helper")])]
     plain = J.file_documents(J.statements(files)).where("file_name = 'A.java'").first()
     assert [m["name"] for m in plain["types"][0]["methods"]] == [m["name"] for m in found["A.java"]["types"][0]["methods"]]
+
+
+def test_deep_brackets_are_few_pieces(spark):
+    from sqltrail.functions import java as text
+
+    code = "class A { int k = " + "f(" * 60 + "1" + ")" * 60 + "; Object[] o = " + "{" * 50 + "}" * 50 + "; " + "Map<" * 40 + "B" + ">" * 40 + " m; }"
+    files = spark.createDataFrame([(code,)], "content string")
+    pieces, folded = files.select(F.size(text._all(F.col("content"), text.PIECE)), text.fold(F.col("content"))).first()
+    assert pieces < 40
+    shut = dict(zip(text.BRACKETS, text.FOLDED, strict=True))
+
+    def nest(opener, inside, closer, depth):
+        left, right = opener[:-1] + shut[opener[-1]], shut[closer]
+        return opener * 8 + left * (depth - 8) + inside + right * (depth - 8) + closer * 8
+
+    assert folded == (
+        "class A { int k = " + nest("f(", "1", ")", 60) + "; Object[] o = " + nest("{", "", "}", 50) + "; " + nest("Map<", "B", ">", 40) + " m; }"
+    )
