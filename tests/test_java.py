@@ -397,3 +397,10 @@ def test_deep_brackets_are_few_pieces(spark):
     assert folded == (
         "class A { int k = " + nest("f(", "1", ")", 60) + "; Object[] o = " + nest("{", "", "}", 50) + "; " + nest("Map<", "B", ">", 40) + " m; }"
     )
+
+
+def test_tasks_grow_with_the_text(spark, monkeypatch):
+    monkeypatch.setattr(J, "TASK_BYTES", 100)
+    found = stmts(spark, *["class A { int a; }" for _ in range(100)])
+    assert found.rdd.getNumPartitions() == 18
+    assert found.count() == 300
