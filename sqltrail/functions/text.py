@@ -17,6 +17,8 @@ WS = r"\x20\t-\r\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x
 # Common characters come first in a class: the regex engine tries its parts in order.
 WORD = r"a-z_A-Z0-9\p{L}\p{N}"
 _WIDE_WS = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+#: The characters of WS.
+_BLANKS = "".join(map(chr, (0x20, *range(9, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _NOT_DELIMITER = rf"[<-\x7f\--9!-+\x00-\x08\x0e-\x1b[^\x00-\x7f{_WIDE_WS}]]"
 _DELIMITER = rf"[\x20,;:\t-\r\x1c-\x1f{_WIDE_WS}]"
 
@@ -54,7 +56,8 @@ def _all(text: Column, pattern: str, group: int = 0) -> Column:
 
 def py_strip(text: Column) -> Column:
     """Drop white space of any kind at both ends."""
-    return F.regexp_replace(text, rf"^[{WS}]++|[{WS}]++$", "")
+    # A pattern for the end would be tried at every blank inside the text.
+    return F.btrim(text, F.lit(_BLANKS))
 
 
 def decode_as(content: Column, encoding: str) -> Column:

@@ -11,6 +11,7 @@ from sqltrail.functions import text as X
 from sqltrail.operators.catalog import catalog_relations
 from sqltrail.operators.references import keep_known
 from sqltrail.schemas import FILE_KEY
+from sqltrail.session import write_once
 
 
 def tag_lines(lines: DataFrame, text: str = "line") -> DataFrame:
@@ -136,8 +137,10 @@ def usage_report_lines(tags: DataFrame) -> DataFrame:
     """The printed report, one row per text line, sorted by table.
 
     A heading row per table is followed by a row per occurrence. `tags` carries file_path,
-    package_name, class_name and line_number.
+    package_name, class_name and line_number. Its rows are written to the checkpoint folder, as the headings, the
+    bounds of the sort and the sort itself would each search the texts again.
     """
+    tags = write_once(tags.select("table_name", "read", "modified", "file_path", "package_name", "class_name", "line_number"))
     headings = table_usage(tags).select(
         "table_name",
         F.lit(0).alias("part"),

@@ -249,3 +249,10 @@ def test_a_report_can_be_replayed(spark):
         spark.createDataFrame(sorted(lines), LINES), make_catalog(spark, *{r["object_name"] for r in first})
     ).collect()
     assert Counter(again) == Counter(first)
+
+
+def test_report_searches_texts_once(spark):
+    lines = spark.createDataFrame([("p/A.java", "p", "A", 3, "select a from T_1 x")], "file_path string, package_name string, class_name string, line_number int, line string")
+    report = U.usage_report_lines(U.tag_lines(lines))
+    assert "regexp" not in report._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["text"] for r in report.collect()] == ["T_1: read", "  - File: p/A.java, Package: p, Class: A, Lines: 3"]
