@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -123,6 +125,15 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = PIECE
             held += size or 0
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
+
+
+def give_back() -> None:
+    """Hand memory that is free back to the system: a worker lives on between tasks and would keep what its largest one took."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
 
 
 def ship_code(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ sampled place, its context, is `LEFT` bytes before and `WINDOW` bytes from it on
 from __future__ import annotations
 
 import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sqltrail.llm.common import in_map, pieces, ship_code, slot_map, slot_of, stored, text_of, whole_row
+from sqltrail.llm.common import give_back, in_map, pieces, ship_code, slot_map, slot_of, stored, text_of, whole_row
 
 #: Bytes of a string that counts as repeated, of the part that a suffix is sampled by, and before it.
 WINDOW, LEAD = 200, 48
@@ -32,6 +33,8 @@ GROUP_ROWS = 32_000
 SLOTS = 1 << 20
 #: Bytes whose hashes are computed at a time.
 BLOCK = 1 << 16
+#: Contexts that are copied or compared at a time.
+STEP_ROWS = 4_096
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -237,16 +240,31 @@ def multikey_quicksort(words: np.ndarray) -> np.ndarray:
     return order
 
 
-def _matrix(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows filled up with zero bytes, and their lengths."""
-    filled = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(-1, width)
-    return filled, np.fromiter(map(len, rows), np.int64, len(rows))
+def _matrix(rows: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows filled up with zero bytes, and their lengths; the bytes are copied once, from one Arrow buffer."""
+    array = pa.concat_arrays([chunk.cast(pa.binary()) for chunk in rows.chunks])
+    _, offsets, data = array.buffers()
+    ends = np.frombuffer(offsets, np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    sizes = np.diff(ends)
+    filled = np.zeros((len(array), width), np.uint8)
+    if len(sizes) and (sizes == width).all():
+        filled[:] = data[ends[0] : ends[-1]].reshape(-1, width)
+        return filled, sizes
+    for low in range(0, len(sizes), STEP_ROWS):
+        part = sizes[low : low + STEP_ROWS]
+        held = np.arange(width) < part[:, None]
+        filled[low : low + STEP_ROWS][held] = data[ends[low] : ends[low + len(part)]]
+    return filled, sizes
 
 
 def _shared_bytes(matrix: np.ndarray, sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
     """How many leading bytes each row in `order` shares with the next."""
-    differ = matrix[order[:-1]] != matrix[order[1:]]
-    found = np.where(differ.any(1), differ.argmax(1), matrix.shape[1])
+    found = np.zeros(len(order) - 1, np.int64)
+    for low in range(0, len(found), STEP_ROWS):
+        part = order[low : low + STEP_ROWS + 1]
+        differ = matrix[part[:-1]] != matrix[part[1:]]
+        found[low : low + STEP_ROWS] = np.where(differ.any(1), differ.argmax(1), matrix.shape[1])
     return np.minimum(found, np.minimum(sizes[order[:-1]], sizes[order[1:]]))
 
 
@@ -257,16 +275,22 @@ class _Contexts:
     the most that any other context shares on either side.
     """
 
-    def __init__(self, right: list[bytes], left: list[bytes]):
-        self.right, self.left = right, left
+    def __init__(self, right: pa.ChunkedArray, left: pa.ChunkedArray):
         self.rights, self.right_sizes = _matrix(right, WINDOW)
         self.lefts, self.left_sizes = _matrix(left, LEFT)
         n = len(right)
         self.a, self.b, self.before, self.after = (np.zeros(n, np.int64) for _ in range(4))
 
+    def right(self, i: int) -> bytes:
+        return self.rights[i, : self.right_sizes[i]].tobytes()
+
+    def left(self, i: int) -> bytes:
+        return self.lefts[i, : self.left_sizes[i]].tobytes()
+
     def words(self, *parts: np.ndarray) -> np.ndarray:
-        joined = np.ascontiguousarray(np.concatenate(parts, axis=1))
-        return joined.view(">u8").astype(np.uint64)
+        """Rows as numbers whose order is that of their bytes."""
+        joined = np.ascontiguousarray(np.concatenate(parts, axis=1)).view(np.uint64)
+        return joined.byteswap(inplace=True) if sys.byteorder == "little" else joined
 
     def compare(self, order: np.ndarray) -> np.ndarray:
         """Take the repeats that neighbours in `order` share; True between neighbours of one lead."""
@@ -302,18 +326,26 @@ class _Contexts:
         """Compare every window of contexts of one lead."""
         seen: dict[tuple, int] = {}
         spans = [(int(i), range(max(0, WINDOW - int(self.after[i])), int(self.before[i]) + 1)) for i in rows]
-        keys = lambda i, o: (self.left[i][:o], self.right[i][: WINDOW - o])
+        keys = lambda i, span: [(left[:o], right[: WINDOW - o]) for left, right in [(self.left(i), self.right(i))] for o in span]
         for i, span in spans:
-            for o in span:
-                key = keys(i, o)
+            for key in keys(i, span):
                 seen[key] = seen.get(key, 0) + 1
         for i, span in spans:
-            for o in span:
-                if seen[keys(i, o)] > 1:
+            for o, key in zip(span, keys(i, span)):
+                if seen[key] > 1:
                     self.a[i] = max(self.a[i], o)
                     self.b[i] = max(self.b[i], WINDOW - o)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, _Contexts] | None:
+    """All rows of a task without their contexts, and these; None if there are no rows."""
+    held = list(batches)
+    table = pa.Table.from_batches(held) if held else None
+    if table is None or not table.num_rows:
+        return None
+    return table.drop_columns(["right", "left"]), _Contexts(table.column("right"), table.column("left"))
+
+
 SORTED = "doc long, place long, a int, b int, bound int, part int, edge int, right binary, left binary"
 
 
@@ -331,11 +363,10 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     A lead at either end of the task may go on in the next one. Its rows are handed on with their contexts and
     with what the sort by suffix shows; the outermost rows are marked (edge 1: first, 2: last).
     """
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
+    if (gathered := _gathered(batches)) is None:
         return
+    table, rows = gathered
     doc, place, dup = (table.column(c).to_numpy() for c in ("doc", "place", "dup"))
-    rows = _Contexts(table.column("right").to_pylist(), table.column("left").to_pylist())
     order = multikey_quicksort(rows.words(rows.rights, rows.lefts))
     alike = rows.compare(order)
     group = np.zeros(len(order), np.int64)
@@ -347,21 +378,22 @@ def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     edge[order[-1]] += 2
     part = TaskContext.get().partitionId()
     o = np.nonzero(open_)[0]
-    yield _rows_out(doc[o], place[o], rows.a[o], rows.b[o], rows.after[o], part, edge[o], [rows.right[i] for i in o], [rows.left[i] for i in o])
+    yield _rows_out(doc[o], place[o], rows.a[o], rows.b[o], rows.after[o], part, edge[o], [rows.right(i) for i in o], [rows.left(i) for i in o])
     inner = np.nonzero(~open_)[0]
     if len(inner):
         rows.settle(inner, group)
         found = inner[(rows.b[inner] > 0) & ~dup[inner]]
         none = [None] * len(found)
         yield _rows_out(doc[found], place[found], rows.a[found], rows.b[found], rows.after[found], part, np.full(len(found), -1), none, none)
+    del gathered, table, rows, order
+    give_back()
 
 
 def _settle_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All repeats of the leads that have come together in a task."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
+    if (gathered := _gathered(batches)) is None:
         return
-    rows = _Contexts(table.column("right").to_pylist(), table.column("left").to_pylist())
+    table, rows = gathered
     order = multikey_quicksort(rows.words(rows.rights, rows.lefts))
     group = np.zeros(len(order), np.int64)
     group[order] = np.concatenate([[0], np.cumsum(~rows.compare(order))])
@@ -373,16 +405,15 @@ def _settle_leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _sort_lefts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sort contexts of open leads by lead and the bytes before the place, and compare neighbours."""
-    table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-    if table is None or not table.num_rows:
+    if (gathered := _gathered(batches)) is None:
         return
-    rows = _Contexts(table.column("right").to_pylist(), table.column("left").to_pylist())
+    table, rows = gathered
     order = multikey_quicksort(rows.words(rows.rights[:, :LEAD], rows.lefts, rows.rights[:, LEAD:]))
     rows.compare(order)
     edge = np.zeros(len(order), np.int64)
     edge[order[0]] += 1
     edge[order[-1]] += 2
-    keep = lambda values: [v if e else None for v, e in zip(values, edge)]
+    keep = lambda value: [value(i) if e else None for i, e in enumerate(edge)]
     doc, place = table.column("doc").to_numpy(), table.column("place").to_numpy()
     yield _rows_out(doc, place, rows.a, rows.b, rows.before, TaskContext.get().partitionId(), edge, keep(rows.right), keep(rows.left))
 
@@ -401,7 +432,7 @@ def _across_edges(found: DataFrame, side: str) -> DataFrame:
         if 2 not in by_part[here] or 1 not in by_part[there]:
             continue
         pair = (by_part[here][2], by_part[there][1])
-        both = _Contexts([bytes(r["right"]) for r in pair], [bytes(r["left"]) for r in pair])
+        both = _Contexts(*(pa.chunked_array([pa.array([bytes(r[c]) for r in pair], pa.binary())]) for c in ("right", "left")))
         both.compare(np.arange(2))
         bound = both.after if side == "right" else both.before
         made += [(r["doc"], r["place"], int(both.a[i]), int(both.b[i]), int(bound[i])) for i, r in enumerate(pair)]

@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -208,6 +210,31 @@ def test_places_are_the_same_in_equal_windows():
         assert first & second
 
 
+def test_a_sorted_context_takes_little_memory(monkeypatch):
+    class Task:
+        partitionId = staticmethod(lambda: 0)  # noqa: N815
+        get = classmethod(lambda cls: cls)
+
+    monkeypatch.setattr(suffix_dedup, "TaskContext", Task)
+    rng, n = np.random.default_rng(1), 5000
+    texts = lambda size: pa.array([rng.integers(0, 256, size, np.uint8).tobytes() for _ in range(n)])
+    columns = [pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), texts(suffix_dedup.WINDOW), texts(suffix_dedup.LEFT)]
+    batch = pa.RecordBatch.from_arrays(columns, ["doc", "place", "dup", "right", "left"])
+    tracemalloc.start()
+    found = list(suffix_dedup._sort_suffixes(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in found) == 2 and peak < 1400 * n
+
+
+def test_contexts_of_any_length_and_chunk():
+    rows = [b"abc", b"", b"x" * 8, b"\0\0", b"yy"] * 2000
+    chunks = pa.chunked_array([pa.array(rows[:7]), pa.array([], pa.binary()), pa.array([b"no", *rows[7:]]).slice(1)])
+    matrix, sizes = suffix_dedup._matrix(chunks, 8)
+    assert sizes.tolist() == [len(r) for r in rows]
+    assert [r.tobytes() for r in matrix] == [r.ljust(8, b"\0") for r in rows]
+
+
 def test_multikey_quicksort():
     rows = np.random.default_rng(3).integers(0, 3, (5000, 6)).astype(np.uint64)
     order = suffix_dedup.multikey_quicksort(rows)
