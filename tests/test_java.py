@@ -404,3 +404,19 @@ def test_tasks_grow_with_the_text(spark, monkeypatch):
     found = stmts(spark, *["class A { int a; }" for _ in range(100)])
     assert found.rdd.getNumPartitions() == 18
     assert found.count() == 300
+
+
+def test_owners_need_no_rows_for_each_level(spark, monkeypatch):
+    text = "class A { void m() { if (a) { String s = \"x\"; } } class B { int n() { return 1; } } }"
+    files = spark.createDataFrame([("r", "p", "F.java", text)], "repo_name string, file_path string, file_name string, content string")
+    found = J.statements(files, partitions=2)
+    assert found.schema["depth"].metadata["levels"] >= 3
+    assert "Aggregate" not in J.methods(found)._jdf.queryExecution().optimizedPlan().toString()
+    beside = sorted(map(repr, J.methods(found).collect()))
+    monkeypatch.setattr(J, "LEVELS", -1)
+    assert beside == sorted(map(repr, J.methods(found).collect()))
+
+
+def test_tasks_are_bounded_by_their_text():
+    mb = 1024 * 1024
+    assert [J._partitions(n * mb, 8) for n in (0, 3, 100, 1600)] == [None, 3, 8, 100]
