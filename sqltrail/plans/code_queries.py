@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from sqltrail.operators import builders as bld
 from sqltrail.operators import definitions as dfn
 from sqltrail.operators import java as jav
-from sqltrail.plans.inputs import java_files, view
+from sqltrail.plans.inputs import deep_files, java_files, view
 from sqltrail.plans.queries import _generic_text, _int, _joined, _rows_sql, query
 
 # --- brackets of any depth ---
 
 
 def _deep(spark, sf_dir):
-    return jav.statements(view(spark, sf_dir, "deep_files"))
+    return jav.statements(deep_files(spark, sf_dir))
 
 
 @query(

@@ -299,6 +299,10 @@ def java_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over_spread(spark, sf_dir, "orders", columns, "java_files")
 
 
+def deep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _over_spread(spark, sf_dir, "part", ["p_partkey", "p_size"], "deep_files")
+
+
 def with_views(sql: str, *names: str) -> str:
     """`sql` with the derived inputs it reads put in front, for DuckDB."""
     head = ", ".join(f"{name} AS ({VIEWS[name]})" for name in names)

@@ -420,3 +420,14 @@ def test_owners_need_no_rows_for_each_level(spark, monkeypatch):
 def test_tasks_are_bounded_by_their_text():
     mb = 1024 * 1024
     assert [J._partitions(n * mb, 8) for n in (0, 3, 100, 1600)] == [None, 3, 8, 100]
+
+
+def test_deep_files_are_measured_by_all_cores(spark, tmp_path, monkeypatch):
+    from sqltrail.plans.queries import REGISTRY
+    import sqltrail.plans.code_queries  # noqa: F401  registers its queries
+
+    spark.range(40).selectExpr("id AS p_partkey", "CAST(id % 9 AS INT) AS p_size").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    tasks, measured = [], J._measured
+    monkeypatch.setattr(J, "_measured", lambda dealt: tasks.append(dealt.rdd.getNumPartitions()) or measured(dealt))
+    assert REGISTRY["deep_fields"].plan(spark, str(tmp_path)).count() == 200
+    assert tasks == [spark.sparkContext.defaultParallelism]
