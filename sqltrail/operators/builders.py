@@ -15,7 +15,7 @@ from sqltrail.constants import RELATION_TYPES
 from sqltrail.functions import java as J
 from sqltrail.functions import text as X
 from sqltrail.operators.edges import NARROW_KEY, build_edges, refs_to_edges
-from sqltrail.operators.java import _ids, builder_calls
+from sqltrail.operators.java import _file, _rest, builder_calls
 from sqltrail.operators.references import where_owner, where_type
 from sqltrail.operators.sizing import scaled_join
 from sqltrail.schemas import CODE_REFS, FILE_KEY
@@ -30,7 +30,8 @@ def builder_fragments(stmts: DataFrame, by: str = "instance", keys: Sequence[str
     keys = list(keys)
     calls = builder_calls(stmts, by, keys).filter(~F.col("declares"))
     piece = F.struct("pos", "idx", J.fragments_of(F.col("chain"), F.col("line_number")).alias("fragments"))
-    grouped = calls.groupBy(*_ids(keys), "variable", "decl_id", "decl_line").agg(F.array_sort(F.collect_list(piece)).alias("_pieces"))
+    file = _file(stmts, keys)
+    grouped = calls.groupBy(*file, "variable", "decl_id", "decl_line").agg(*_rest(keys, file), F.array_sort(F.collect_list(piece)).alias("_pieces"))
     return grouped.select(
         *keys, "variable", "decl_line", F.flatten(F.transform("_pieces", lambda p: p["fragments"])).alias("fragments")
     ).withColumn("content", F.array_join(F.transform("fragments", lambda f: f["text"]), ""))

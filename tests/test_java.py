@@ -431,3 +431,20 @@ def test_deep_files_are_measured_by_all_cores(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(J, "_measured", lambda dealt: tasks.append(dealt.rdd.getNumPartitions()) or measured(dealt))
     assert REGISTRY["deep_fields"].plan(spark, str(tmp_path)).count() == 200
     assert tasks == [spark.sparkContext.defaultParallelism]
+
+
+def test_methods_and_builders_read_statements_once(spark, monkeypatch):
+    found = stmts(spark, SCOPED, "class B { void f() { class C { void g() { StringBuilder s = new StringBuilder(); s.append(\"x\"); h(); } } } }")
+    read = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Generate posexplode(regexp_extract_all(")
+    assert read(J.method_documents(found)) == 1
+    assert "Aggregate" not in J.builder_calls(found)._jdf.queryExecution().optimizedPlan().toString()
+    once = [sorted(map(repr, df.collect())) for df in (J.method_documents(found), J.builder_calls(found))]
+    monkeypatch.setattr(J, "LEVELS", -1)
+    assert once == [sorted(map(repr, df.collect())) for df in (J.method_documents(found), J.builder_calls(found))]
+
+
+def test_files_that_share_keys_and_lone_files_have_the_same_documents(spark):
+    lone = J.file_documents(stmts(spark, SCOPED), with_scopes=True).drop("file_name")
+    files = spark.createDataFrame([("r", "p", "f0", SCOPED), ("r", "p", "g", "class Z { }"), ("r", "p", "g", "class Z { }")], SCHEMA)
+    shared = J.file_documents(J.statements(files), with_scopes=True).where("file_name = 'f0'").drop("file_name")
+    assert list(map(repr, lone.collect())) == list(map(repr, shared.collect()))
